@@ -1,8 +1,9 @@
 """Query and oracle pairs.
 
 A query is a Spark callable ``(spark, sf_dir) -> DataFrame``; its oracle is independent SQL over the
-same tables.  Both sides round their double columns to the same number of decimals, because the two
-engines add floating-point numbers in different orders.
+same tables.  Both sides bring their double columns to the same number of decimals, because the two
+engines add floating-point numbers in different orders; the step boundary lies off the half, since
+short decimals often fall exactly on a half and the engines break such ties differently.
 """
 
 from __future__ import annotations
@@ -17,11 +18,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+STEP_OFFSET = 0.4371
+
+
+def stepped(x, digits: int):
+    return F.floor(x * float(10**digits) + F.lit(STEP_OFFSET)) / float(10**digits)
+
+
 def rounded_query(run: Query, digits: int, special: dict[str, int]) -> Query:
     def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = run(spark, sf_dir)
         return df.select(*[
-            (F.round(F.col(f"`{name}`"), special.get(name, digits)) + F.lit(0.0)).alias(name)
+            stepped(F.col(f"`{name}`"), special.get(name, digits)).alias(name)
             if dtype == "double" else F.col(f"`{name}`")
             for name, dtype in df.dtypes
         ])
@@ -45,7 +53,9 @@ def add(
     if sql is not None:
         if doubles:
             parts = ", ".join(
-                f'(round(CAST("{c}" AS DOUBLE), {special.get(c, digits)}) + 0.0) AS "{c}"' for c in doubles
+                f'floor(CAST("{c}" AS DOUBLE) * 1e{special.get(c, digits)} + {STEP_OFFSET})'
+                f' / 1e{special.get(c, digits)} AS "{c}"'
+                for c in doubles
             )
             # The WITH clause stays in front; the final SELECT becomes a subquery.
             sql = f"SELECT * REPLACE ({parts}) FROM (\n{sql.strip()}\n) AS q"

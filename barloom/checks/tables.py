@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import DAY_MS, WEEK_MS, FIRST_MONDAY_MS, epoch_ms, with_year
-from barloom.operators.asof import factor_inputs, feature_inputs
+from barloom.operators.asof import Companion, asof_join, factor_inputs, feature_inputs
 
 HOUR_MS = 3_600_000
 TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -105,48 +105,43 @@ def returns_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_relative_returns(bars_1d(spark, sf_dir), btc="Brand#1", eth="Brand#2")
 
 
-def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every companion value per brand and week, from one scan."""
     week = (F.floor((F.col("day") - FIRST_MONDAY_MS) / WEEK_MS) * WEEK_MS + FIRST_MONDAY_MS).cast("long")
-    return trades(spark, sf_dir).withColumn("week", week).groupBy("symbol", "week")
+    qty, one = F.col("l_quantity"), F.lit(1.0)
+    return (
+        trades(spark, sf_dir)
+        .groupBy("symbol", week.alias("week"))
+        .agg(
+            (F.avg("l_tax") - F.avg("l_discount")).alias("funding_rate"),
+            F.avg("price").alias("mark_price"),
+            F.sum("l_quantity").alias("open_interest"),
+            _side("l_linestatus", "O", qty).alias("buy_volume"),
+            _side("l_linestatus", "F", qty).alias("sell_volume"),
+            (_side("l_returnflag", "A", one) / F.count("price")).alias("long_account"),
+            (_side("l_returnflag", "R", one) / F.count("price")).alias("short_account"),
+        )
+        .withColumn("long_short_ratio", F.try_divide("long_account", "short_account"))
+    )
 
 
 def funding_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _weekly(spark, sf_dir)
-        .agg((F.avg("l_tax") - F.avg("l_discount")).alias("funding_rate"), F.avg("price").alias("mark_price"))
-        .select("symbol", (F.col("week") + 500).alias("funding_time"), "funding_rate", "mark_price")
+    return weekly(spark, sf_dir).select(
+        "symbol", (F.col("week") + 500).alias("funding_time"), "funding_rate", "mark_price"
     )
 
 
 def oi_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _weekly(spark, sf_dir)
-        .agg(F.sum("l_quantity").alias("open_interest"))
-        .select("symbol", F.col("week").alias("timestamp"), "open_interest")
-    )
+    return weekly(spark, sf_dir).select("symbol", F.col("week").alias("timestamp"), "open_interest")
 
 
 def taker_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qty = F.col("l_quantity")
-    return (
-        _weekly(spark, sf_dir)
-        .agg(_side("l_linestatus", "O", qty).alias("buy_volume"), _side("l_linestatus", "F", qty).alias("sell_volume"))
-        .select("symbol", F.col("week").alias("timestamp"), "buy_volume", "sell_volume")
-    )
+    return weekly(spark, sf_dir).select("symbol", F.col("week").alias("timestamp"), "buy_volume", "sell_volume")
 
 
 def ls_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.lit(1.0)
-    return (
-        _weekly(spark, sf_dir)
-        .agg(
-            (_side("l_returnflag", "A", one) / F.count("price")).alias("long_account"),
-            (_side("l_returnflag", "R", one) / F.count("price")).alias("short_account"),
-        )
-        .select(
-            "symbol", F.col("week").alias("timestamp"), "long_account", "short_account",
-            F.try_divide("long_account", "short_account").alias("long_short_ratio"),
-        )
+    return weekly(spark, sf_dir).select(
+        "symbol", F.col("week").alias("timestamp"), "long_account", "short_account", "long_short_ratio"
     )
 
 
@@ -155,11 +150,19 @@ def companions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def factor_inputs_1d(spark: SparkSession, sf_dir: str, extras: bool = False) -> DataFrame:
-    return factor_inputs(bars_1d(spark, sf_dir, extras), *companions(spark, sf_dir))
+    """Factor inputs with the weekly companions attached as one series, so that it is scanned once."""
+    values = {"funding_rate": "funding_rate", "mark_price": "mark_price", "open_interest": "open_interest",
+              "buy_volume": "taker_buy_volume", "sell_volume": "taker_sell_volume",
+              "long_short_ratio": "long_short_ratio"}
+    return asof_join(bars_1d(spark, sf_dir, extras), [Companion("weekly", weekly(spark, sf_dir), "week", values)])
+
+
+def assembled_factor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir))
 
 
-def feature_inputs_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir))
+def feature_inputs_1d(spark: SparkSession, sf_dir: str, trim: bool = True) -> DataFrame:
+    return feature_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir), trim=trim)
 
 
 def dirty_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
