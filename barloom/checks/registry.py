@@ -8,6 +8,7 @@ short decimals often fall exactly on a half and the engines break such ties diff
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,7 @@ def add(
         raise ValueError(f"query already registered: {name}")
     special = special or {}
     QUERIES[name] = rounded_query(run, digits, special)
+    QUERIES[name].origin = sys._getframe(1).f_globals["__name__"]
     if sql is not None:
         if doubles:
             parts = ", ".join(

@@ -6,16 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import DAY_MS, WEEK_MS, FIRST_MONDAY_MS, epoch_ms, with_year
+from barloom.plans.stages import StageStore
 from barloom.operators.asof import Companion, asof_join, factor_inputs, feature_inputs
 
 HOUR_MS = 3_600_000
 TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
 
 
+_STORES: dict[tuple[str, str], StageStore] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> StageStore:
+    """The stage tables derived from one data folder in one Spark application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = StageStore(spark)
+    return _STORES[key]
+
+
+def forget_stages() -> None:
+    """Start over, so that the next query pays for its own stages."""
+    _STORES.clear()
+
+
+def staged(build):
+    """Keep a view of the driver's tables as a stage table under its own name."""
+
+    def view(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+        suffix = "".join(f"_{k}" for k, v in sorted(options.items()) if v)
+        return store(spark, sf_dir).table(build.__name__ + suffix, lambda: build(spark, sf_dir, **options))
+
+    view.__name__ = build.__name__
+    view.__doc__ = build.__doc__
+    return view
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@staged
 def bars_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of event values, one symbol per event type."""
     events = read(spark, sf_dir, "events")
@@ -64,7 +94,8 @@ def _side(column: str, value: str, amount):
     return F.sum(F.when(F.col(column) == value, amount).otherwise(F.lit(0.0)))
 
 
-def bars_1d(spark: SparkSession, sf_dir: str, extras: bool = False) -> DataFrame:
+@staged
+def bars_1d(spark: SparkSession, sf_dir: str, *, extras: bool = False) -> DataFrame:
     """Daily bars per brand; ``extras`` adds the microstructure, basis and liquidation inputs."""
     order = F.struct(*TIE_BREAK)
     qty = F.col("l_quantity")
@@ -98,6 +129,7 @@ def bars_1d(spark: SparkSession, sf_dir: str, extras: bool = False) -> DataFrame
     return _bar_columns(bars, "1d", DAY_MS)
 
 
+@staged
 def returns_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own, two benchmark-asset and market-mean returns per bar."""
     from barloom.operators.relative_inputs import with_relative_returns
@@ -105,6 +137,7 @@ def returns_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_relative_returns(bars_1d(spark, sf_dir), btc="Brand#1", eth="Brand#2")
 
 
+@staged
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every companion value per brand and week, from one scan."""
     week = (F.floor((F.col("day") - FIRST_MONDAY_MS) / WEEK_MS) * WEEK_MS + FIRST_MONDAY_MS).cast("long")
@@ -149,20 +182,22 @@ def companions(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [f(spark, sf_dir) for f in (funding_w, oi_w, taker_w, ls_w)]
 
 
-def factor_inputs_1d(spark: SparkSession, sf_dir: str, extras: bool = False) -> DataFrame:
+@staged
+def factor_inputs_1d(spark: SparkSession, sf_dir: str, *, extras: bool = False) -> DataFrame:
     """Factor inputs with the weekly companions attached as one series, so that it is scanned once."""
     values = {"funding_rate": "funding_rate", "mark_price": "mark_price", "open_interest": "open_interest",
               "buy_volume": "taker_buy_volume", "sell_volume": "taker_sell_volume",
               "long_short_ratio": "long_short_ratio"}
-    return asof_join(bars_1d(spark, sf_dir, extras), [Companion("weekly", weekly(spark, sf_dir), "week", values)])
+    return asof_join(bars_1d(spark, sf_dir, extras=extras), [Companion("weekly", weekly(spark, sf_dir), "week", values)])
 
 
 def assembled_factor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir))
 
 
-def feature_inputs_1d(spark: SparkSession, sf_dir: str, trim: bool = True) -> DataFrame:
-    return feature_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir), trim=trim)
+@staged
+def feature_inputs_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_inputs(bars_1d(spark, sf_dir), *companions(spark, sf_dir))
 
 
 def dirty_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
