@@ -63,29 +63,53 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Attach the average rank of ``value``; null values stay out of the ranking and the result."""
-    ranks = value_ranks(df, keys, value).select(*keys, value, F.col("avg_rank").alias(name))
-    return df.withColumn(value, F.col(value) + F.lit(0.0)).join(ranks, [*keys, value])
+# Groups up to this many rows are ranked by a window in one task; larger ones by value bins.
+ROWS_PER_TASK = 4_000_000
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rank_ic") -> DataFrame:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; one small aggregate, read to choose the plan."""
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
+    return row.n or 0
+
+
+def spearman(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rank_ic", rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Pooled rank correlation per key over complete pairs, with the pair count ``pairs``."""
     keys = list(keys)
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = with_rank(with_rank(pairs, keys, x, "_rx"), keys, y, "_ry")
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys, (F.col(x) + F.lit(0.0)).alias("_x"), (F.col(y) + F.lit(0.0)).alias("_y")
+    )
+    if largest_group(pairs, keys) <= rows_per_task:
+        ranked = pairs.select(*keys, *[
+            (F.rank().over(Window.partitionBy(*keys).orderBy(v))
+             + (F.count(F.lit(1)).over(Window.partitionBy(*keys, v)) - 1) / 2).alias(r)
+            for v, r in (("_x", "_rx"), ("_y", "_ry"))
+        ])
+    else:
+        # Both lookups are built from the pairs themselves, so neither repeats the other's join.
+        ranked = pairs
+        for v, r in (("_x", "_rx"), ("_y", "_ry")):
+            lookup = value_ranks(pairs, keys, v).select(*keys, v, F.col("avg_rank").alias(r))
+            ranked = ranked.join(lookup, [*keys, v])
     return ranked.groupBy(*keys).agg(
         pearson(F.col("_rx"), F.col("_ry")).alias(name), F.count(F.lit(1)).alias("pairs")
     )
 
 
-def with_ordinal(df: DataFrame, keys: Sequence[str], value: str, time: str, tie: str, name: str) -> DataFrame:
-    """Attach the ordinal rank (1..n) by value, then time, then ``tie``, over an unbounded group.
+def with_ordinal(
+    df: DataFrame, keys: Sequence[str], value: str, time: str, tie: str, name: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Attach the ordinal rank (1..n) by value, then time, then ``tie``; rows without a value go.
 
-    Rows of equal value are numbered time by time, each time bucket offset by prefix counts.
+    In large groups, rows of equal value are numbered time by time, each time offset by prefix counts.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value) + F.lit(0.0))
+    if largest_group(rows, keys) <= rows_per_task:
+        order = Window.partitionBy(*keys).orderBy(value, time, tie)
+        return rows.withColumn(name, F.row_number().over(order).cast("long"))
     starts = value_ranks(rows, keys, value).select(*keys, value, "before")
     earlier = Window.partitionBy(*keys, value).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     slots = (
