@@ -56,19 +56,22 @@ add("out_of_sample_rows",
     f"""WITH {ORDERED} SELECT timeframe, fold, 'OOS' AS partition, CASE WHEN count(future_return_1) FILTER (selected) > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
   count(*) AS rows, avg(factor_value) AS mean_value FROM oos GROUP BY timeframe, fold""", ["mean_value"])
 STATS = """count(future_return_1) AS oos_non_null_returns, avg(future_return_1) AS oos_return_mean, stddev_samp(future_return_1) AS oos_return_std,
-  avg(CASE WHEN future_return_1 > 0 THEN 1.0 WHEN future_return_1 IS NOT NULL THEN 0.0 END) AS oos_positive_rate, sum(ln(1 + future_return_1)) AS oos_log_growth"""
+  avg(CASE WHEN future_return_1 > 0 THEN 1.0 WHEN future_return_1 IS NOT NULL THEN 0.0 END) AS oos_positive_rate, product(1 + future_return_1) - 1 AS growth, sign(growth) * ln(1 + abs(growth)) AS oos_log_growth"""
+
+SHORT_STATS = STATS[: STATS.index(", product")]
 
 
 def log_growth(df):
-    """Compounded returns of a fold span many magnitudes; their logarithm is compared."""
-    return df.withColumn("oos_log_growth", F.ln(F.col("oos_cumulative_return") + 1)).drop("oos_cumulative_return")
+    """Compounded returns of a fold span many magnitudes; their signed logarithm is compared."""
+    growth = F.col("oos_cumulative_return")
+    return df.withColumn("oos_log_growth", F.signum(growth) * F.ln(1 + F.abs(growth))).drop("oos_cumulative_return")
 
 
 OOS_DOUBLES = ["oos_return_mean", "oos_return_std", "oos_positive_rate", "oos_log_growth"]
 add("oos_fold_metrics", lambda s, d: log_growth(folds.oos_fold_metrics(fold_rows(s, d))), f"""WITH {ORDERED},
 st AS (SELECT timeframe, fold, {STATS}, min(future_return_1) AS oos_return_min, max(future_return_1) AS oos_return_max FROM oos WHERE selected GROUP BY ALL)
 SELECT m.timeframe, m.fold, m.test_rows AS oos_rows, m.train_rows, coalesce(oos_non_null_returns, 0) AS oos_non_null_returns,
-  st.* EXCLUDE (timeframe, fold, oos_non_null_returns), m.status FROM metrics m LEFT JOIN st USING (timeframe, fold)""",
+  st.* EXCLUDE (timeframe, fold, oos_non_null_returns, growth), m.status FROM metrics m LEFT JOIN st USING (timeframe, fold)""",
     [*OOS_DOUBLES, "oos_return_min", "oos_return_max"])
 add("factor_train_counts", lambda s, d: folds.factor_train_counts(fold_rows(s, d)).filter(F.col("timeframe") == "1h"), f"""WITH {ORDERED}
 SELECT nf.timeframe, factor_name, factor_version, CAST(nf.k + 1 AS INTEGER) AS fold, count(*) AS train_rows
@@ -93,14 +96,14 @@ add("fold_factor_metrics",
     lambda s, d: log_growth(folds.fold_factor_metrics(folds.out_of_sample(fold_rows(s, d), folds.Layout()))).withColumn(
         "selected_direction", F.col("selected_direction").cast("int")), f"""WITH {ORDERED},
 st AS (SELECT {FF}, count(*) AS oos_rows, {STATS}, max(selection_ic) AS selection_ic, max(selected_direction) AS selected_direction FROM oos WHERE selected GROUP BY ALL)
-SELECT st.*, raw_oos_ic, oriented_oos_ic, oriented_oos_ic AS oos_ic FROM st LEFT JOIN {ic_pair_sql(FF, 'oos')} i USING ({FF})""",
+SELECT st.* EXCLUDE (growth), raw_oos_ic, oriented_oos_ic, oriented_oos_ic AS oos_ic FROM st LEFT JOIN {ic_pair_sql(FF, 'oos')} i USING ({FF})""",
     [*OOS_DOUBLES, "selection_ic", "raw_oos_ic", "oriented_oos_ic", "oos_ic"])
 add("walk_forward_summary",
     lambda s, d: folds.panel_summary(folds.oos_fold_metrics(fold_rows(s, d)), folds.out_of_sample(fold_rows(s, d), folds.Layout())).drop(
         "oos_cumulative_return"), f"""WITH {ORDERED}
 SELECT timeframe, folds, train_rows, oos_rows, oos_non_null_returns, oos_return_mean, oos_return_std, oos_positive_rate, unique_selected_factors, 'PASS' AS status
 FROM (SELECT timeframe, count(*) AS folds, CAST(sum(train_rows) AS BIGINT) AS train_rows, CAST(sum(test_rows) AS BIGINT) AS oos_rows FROM metrics GROUP BY timeframe)
-JOIN (SELECT timeframe, {STATS.rsplit(',', 1)[0]}, count(DISTINCT factor_name) AS unique_selected_factors FROM oos WHERE selected GROUP BY timeframe) USING (timeframe)""",
+JOIN (SELECT timeframe, {SHORT_STATS}, count(DISTINCT factor_name) AS unique_selected_factors FROM oos WHERE selected GROUP BY timeframe) USING (timeframe)""",
     OOS_DOUBLES[:3])
 
 # -- purged folds -----------------------------------------------------------------------------------
@@ -135,7 +138,7 @@ add("purged_observations",
     lambda s, d: purged_oos(s, d).groupBy("timeframe", "fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("selected_rows")),
     f"WITH {PURGED} SELECT timeframe, fold, count(*) AS rows, count(*) FILTER (selected) AS selected_rows FROM poos GROUP BY ALL")
 add("purged_fold_metrics", lambda s, d: folds.purged_fold_metrics(purged_oos(s, d)).drop("oos_cumulative_return"), f"""WITH {PURGED},
-st AS (SELECT timeframe, fold, {STATS.rsplit(',', 1)[0]}, median(future_return_1) AS oos_return_median FROM poos WHERE selected GROUP BY ALL)
+st AS (SELECT timeframe, fold, {SHORT_STATS}, median(future_return_1) AS oos_return_median FROM poos WHERE selected GROUP BY ALL)
 SELECT st.*, raw_oos_ic, oriented_oos_ic, oriented_oos_ic AS oos_ic FROM st LEFT JOIN {ic_pair_sql('timeframe, fold', 'poos')} i USING (timeframe, fold)""",
     ["oos_return_mean", "oos_return_std", "oos_positive_rate", "oos_return_median", "raw_oos_ic", "oriented_oos_ic", "oos_ic"])
 add("purged_factor_metrics",
