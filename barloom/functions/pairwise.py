@@ -67,9 +67,10 @@ class PairMoments:
 
 
 def pair_correlations(
-    wide: DataFrame, group: str, columns: Sequence[str], signals: Callable[[np.ndarray], np.ndarray] | None = None
+    wide: DataFrame, group: str, columns: Sequence[str], signals: Callable[[np.ndarray], np.ndarray] | None = None,
+    signed: bool = False,
 ) -> DataFrame:
-    """Absolute correlation and overlap of every pair of ``columns`` per group.
+    """Absolute (or signed) correlation and overlap of every pair of ``columns`` per group.
 
     ``signals`` may turn the column matrix of a batch into another matrix whose columns are paired
     instead.  Output: group, a, b (column positions, a < b), overlap, abs_corr (null if undefined).
@@ -104,9 +105,10 @@ def pair_correlations(
     )
     corr = F.when(
         (F.col("overlap") >= 2) & (F.col("sxx") > 0) & (F.col("syy") > 0),
-        F.abs(F.col("sxy")) / F.sqrt(F.col("sxx") * F.col("syy")),
+        F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")),
     )
-    return summed.select(F.col("grp").alias(group), "a", "b", "overlap", corr.alias("abs_corr"))
+    value = corr.alias("corr") if signed else F.abs(corr).alias("abs_corr")
+    return summed.select(F.col("grp").alias(group), "a", "b", "overlap", value)
 
 
 DECISION = "position int, rejected boolean, reference int, abs_corr double, overlap long"

@@ -126,6 +126,38 @@ def with_ordinal(
     )
 
 
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles per key, as an array ``quantiles``.
+
+    Small groups use the percentile aggregate; large ones read the order statistics off the value
+    ranks, so no task holds a group.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull())
+    if not keys:
+        return quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], value, probabilities, rows_per_task).drop("_all")
+    if largest_group(rows, keys) <= rows_per_task:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        return rows.groupBy(*keys).agg(F.percentile(value, wanted).alias("quantiles"))
+    ranks = value_ranks(rows, keys, value)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranks.join(sizes, keys)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("before") <= position) & (position < F.col("before") + F.col("ties")), F.col(value)))
+
+    parts = []
+    for p in probabilities:
+        place = (F.col("_n") - 1) * float(p)
+        low = F.floor(place)
+        parts.append((at(low), at(F.least(low + 1, F.col("_n") - 1)), F.max(place - low)))
+    return placed.groupBy(*keys).agg(
+        F.array(*[lo + (hi - lo) * share for lo, hi, share in parts]).alias("quantiles")
+    )
+
+
 def with_row_index(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """Attach a 0-based index over ``(bucket, *order)`` within ``group``.
 
