@@ -17,7 +17,7 @@ from .registry import add
 from .sql import BARS_1D, BARS_1H
 
 PANEL_FACTORS = ["momentum", "price_zscore", "sma_distance", "trend_slope", "relative_volume", "donchian_position",
-                 "rolling_return_mean", "bollinger_width", "atr_percent", "stochastic_k"]
+                 "rolling_return_mean", "distance_from_high", "atr_percent", "stochastic_k"]
 BAR_INPUT = ["symbol", "timeframe", "open_time", "open", "high", "low", "close", "volume", "year"]
 ID_SQL = "factor_name, factor_version, timeframe"
 

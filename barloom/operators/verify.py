@@ -106,7 +106,7 @@ RETURNS = tuple(f"future_return_{h}" for h in (1, 5, 10, 20))
 DIRECTIONS = tuple(f"direction_{h}" for h in (1, 5, 10, 20))
 MODEL = ("model_name", "model_version")
 IDENTITY = ("factor_name", "factor_version", "timeframe")
-LINEAGE = ("model_name", "model_version", "optimizer", "policy", "manager")
+SNAPSHOT = (*BAR_KEY, "position_id")
 
 
 def _ledger(keys, time, numbers, filled=(), members=None, rules=None, required=()) -> Checks:
@@ -117,7 +117,6 @@ def catalog() -> dict[str, Checks]:
     """Rule lists by dataset name (needs an active Spark session for its column expressions)."""
     from barloom.operators.features import FEATURES
 
-    price = {"price_rule_rows": F.col("current_price") < 0}
     return {
         "ohlcv": _bars(),
         "funding": _companion("funding_time", ("funding_rate", "mark_price"), ("funding_rate",), signed=True),
@@ -141,7 +140,7 @@ def catalog() -> dict[str, Checks]:
                    | ((F.col("signal") == "HOLD") & (F.col("target_weight") != 0))}),
         "risk": _wide(
             ("target_weight", "approved_weight"), ("decision", "reason"), filled=("decision", "reason"),
-            members={"decision": ("APPROVE", "REDUCE", "REJECT")},
+            members={"decision": ("APPROVE", "RESIZE", "REJECT")},
             rules={"weight_range_rows": F.abs("approved_weight") > 1}),
         "orders": _ledger(
             ("order_id",), "created_at", ("quantity",), ("order_id", "symbol", "timeframe"),
@@ -149,42 +148,45 @@ def catalog() -> dict[str, Checks]:
              "status": ("PENDING", "SUBMITTED", "PARTIALLY_FILLED", "FILLED", "CANCELLED", "REJECTED", "EXPIRED")},
             {"quantity_rows": F.col("quantity") <= 0}),
         "executions": _ledger(
-            ("execution_id",), "execution_time", ("executed_quantity", "executed_price", "fees"),
+            ("order_id",), "execution_time", ("executed_quantity", "executed_price", "fees", "slippage"),
             ("order_id", "symbol", "timeframe"), {"side": ("BUY", "SELL")},
             {"quantity_rows": F.col("executed_quantity") < 0, "price_rows": F.col("executed_price") < 0}),
         "positions": _ledger(
             ("position_id",), "opened_at",
             ("quantity", "average_entry_price", "market_price", "realized_pnl", "unrealized_pnl", "fees_paid"),
-            ("symbol", "timeframe", *LINEAGE), {"side": ("LONG",), "status": ("OPEN", "CLOSED")},
+            ("symbol", "timeframe"), {"side": ("LONG",), "status": ("OPEN", "CLOSED")},
             {"closed_at_rows": (F.col("status") == "CLOSED") != F.col("closed_at").isNotNull(),
              "quantity_rows": F.col("quantity") < 0}),
         "accounting": _ledger(
-            ("position_id", "timestamp"), "timestamp",
-            ("cash_balance", "market_value", "equity", "total_pnl", "return_pct", "gross_exposure", "net_exposure"),
-            ("symbol", "timeframe", *LINEAGE)),
+            SNAPSHOT, "open_time", ("quantity", "average_entry_price", "mark_price", "cash", "equity", "total_pnl", "return_pct",
+                                    "gross_exposure", "net_exposure"), ("symbol", "timeframe", "position_id"),
+            {"position_status": ("OPEN", "CLOSED")}),
         "portfolio_risk": _ledger(
-            ("position_id", "timestamp"), "timestamp", ("equity", "peak_equity", "drawdown"), ("symbol", "timeframe"),
-            {"risk_state": ("NORMAL", "WARNING", "SHUTDOWN", "COOLDOWN")},
-            {"cooldown_rows": F.col("cooldown_active") != F.col("cooldown_until").isNotNull()}),
+            SNAPSHOT, "open_time", ("equity", "daily_return_pct", "daily_drawdown_pct"), ("symbol", "timeframe", "position_id"),
+            {"portfolio_risk_state": ("NORMAL", "WARNING", "SHUTDOWN")},
+            {"cooldown_rows": (F.col("portfolio_risk_state") == "SHUTDOWN") != F.col("cooldown_until").isNotNull(),
+             "entry_rows": F.col("allow_new_entries") != (F.col("portfolio_risk_state") == "NORMAL")}),
         "trade_management": _ledger(
-            ("position_id", "timestamp"), "timestamp", ("current_price", "highest_price", "lowest_price"),
-            ("symbol", "timeframe"),
-            {"action": ("HOLD", "UPDATE_STOP", "BREAKEVEN")},
-            {**price, "extreme_rows": F.col("highest_price") < F.col("lowest_price")}),
+            SNAPSHOT, "open_time", ("current_price", "highest_price", "lowest_price", "trail_price"), ("symbol", "timeframe", "position_id"),
+            {"management_action": ("NONE", "UPDATE_STOP"), "action_reason": ("NONE", "TRAILING_STOP", "BREAKEVEN")},
+            {"price_rows": (F.col("highest_price") < F.col("current_price")) | (F.col("lowest_price") > F.col("current_price"))}),
         "pyramiding": _ledger(
-            ("position_id", "timestamp"), "timestamp", ("current_size", "add_size"), ("symbol", "timeframe"), {},
-            {"negative_size_rows": F.least("current_size", "add_size") < 0}),
+            SNAPSHOT, "open_time", ("position_size", "additional_size", "recommended_size", "profit_pct"), ("symbol", "timeframe", "position_id"), {},
+            {"negative_size_rows": F.least("position_size", "additional_size", "recommended_size") < 0,
+             "add_rows": F.col("add_number") > F.col("max_adds")}),
         "exit_engine": _ledger(
-            ("position_id", "timestamp"), "timestamp", ("exit_percent", "exit_quantity"), ("symbol", "timeframe"),
+            SNAPSHOT, "open_time", ("recommended_percent", "recommended_quantity", "risk_reward_ratio"), ("symbol", "timeframe", "position_id"),
             {"exit_action": ("HOLD", "PARTIAL_EXIT", "FULL_EXIT")},
-            {"percent_rows": (F.col("exit_percent") < 0) | (F.col("exit_percent") > 1),
-             "quantity_rows": F.col("exit_quantity") < 0}),
+            {"percent_rows": (F.col("recommended_percent") < 0) | (F.col("recommended_percent") > 1),
+             "quantity_rows": F.col("recommended_quantity") < 0}),
         "backtesting": _ledger(
-            ("timestamp",), "timestamp",
-            ("cash_balance", "equity", "peak_equity", "drawdown", "period_return", "cumulative_return"), (),
-            {"status": ("RUNNING", "FINISHED")}),
-        "performance": _ledger(("timestamp",), "timestamp", ("total_return", "volatility", "max_drawdown")),
-        "analytics": _ledger(("timestamp",), "timestamp", ("total_return", "max_drawdown", "net_profit")),
+            BAR_KEY, "open_time", ("cash", "equity", "peak_equity", "drawdown", "daily_return", "cumulative_return", "max_drawdown"),
+            ("symbol", "timeframe"), {"status": ("ACTIVE", "FINISHED")},
+            {"peak_rows": F.col("peak_equity") < F.col("equity"), "trade_rows": F.col("winning_trades") + F.col("losing_trades") > F.col("trade_count")}),
+        "performance": _ledger(
+            BAR_KEY, "open_time", ("total_return", "volatility", "max_drawdown", "expectancy"), ("symbol", "timeframe"), {"status": ("ACTIVE", "FINISHED")}),
+        "analytics": _ledger(
+            BAR_KEY, "open_time", ("rolling_return", "rolling_volatility", "rolling_max_drawdown"), ("symbol", "timeframe"), {"status": ("ACTIVE", "FINISHED")}),
         "factor_validation": Checks(
             IDENTITY, "validation_time", ("observations", "status"), ("information_coefficient", "turnover"),
             filled=("factor_name", "factor_version", "factor_category"), members={"status": ("PASS", "FAIL")}),
@@ -195,20 +197,19 @@ def catalog() -> dict[str, Checks]:
             IDENTITY[:2], None, ("best_timeframe", "selected"), ("best_selection_score",), filled=("best_timeframe",),
             rules={"selected_rows": F.col("selected") != (F.col("status") == "PASS")}),
         "combinations": Checks(
-            ("combination_id",), None, ("timeframe", "combination_score"), ("combination_score",),
-            filled=("combination_id", "timeframe"),
+            ("combination_id",), None, ("timeframe", "combination_score"), ("combination_score",), filled=("combination_id", "timeframe"),
             rules={"size_rows": F.size("factor_names") != F.col("combination_size")}),
         "orthogonalization": Checks(
-            ("combination_id",), None, ("selected",), ("combination_score",), filled=("combination_id",)),
+            ("combination_id",), None, ("selected",), ("source_combination_score",), filled=("combination_id",)),
         "alpha": Checks(
             ("combination_id", *BAR_KEY), "open_time", ("alpha_score",), ("alpha_score",), filled=("combination_id",)),
         "walk_forward": Checks(
-            ("timeframe", "fold"), None, ("train_start", "train_end", "test_start", "test_end"), ("mean_return",),
+            ("timeframe", "fold"), None, ("train_start", "train_end", "test_start", "test_end"), ("train_score", "test_score"),
             filled=("timeframe",),
             rules={"time_rows": (F.col("train_end") > F.col("test_start")) | (F.col("test_end") < F.col("test_start"))}),
         "purged_cv": Checks(
-            ("timeframe", "fold"), None, ("test_start", "test_end"), (), filled=("timeframe",),
-            rules={"time_rows": F.col("test_end") < F.col("test_start")}),
+            ("timeframe", "purged_fold"), None, ("test_start_time", "test_end_time"), ("train_score", "test_score"), filled=("timeframe",),
+            rules={"time_rows": F.col("test_end_time") < F.col("test_start_time")}),
         "factors": Checks(
             (*BAR_KEY, "factor_name", "factor_version"), "open_time", (), ("factor_value",),
             filled=("factor_name", "factor_version", "factor_category")),
