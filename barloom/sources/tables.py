@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,16 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table, with ``timeframe`` as text.
+
+    Partition type inference would read the directory ``timeframe=1d`` as the number 1.0.
+    """
+    inferred = spark.read.parquet(path).schema
+    fixed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "timeframe" else f for f in inferred])
+    return spark.read.schema(fixed).parquet(path)
+
+
 def read_panel(
     spark: SparkSession,
     path: str,
@@ -31,7 +43,7 @@ def read_panel(
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Long panel restricted by factor, version and time; all four filters reach the Parquet scan."""
-    df = spark.read.parquet(path)
+    df = read_table(spark, path)
     return restrict_panel(df, factors, versions, start, end, columns)
 
 
@@ -75,17 +87,18 @@ def merge_rows(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> D
 def upsert(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] = PARTITIONS) -> None:
     """Merge ``incoming`` into the table at ``path``, rewriting only the partitions it touches."""
     try:
-        stored = spark.read.parquet(path)
-    except Exception:  # no table yet
+        stored = read_table(spark, path)
+    except AnalysisException:  # no table yet
         write_partitions(incoming, path, partitions)
         return
     touched = incoming.select(*partitions).distinct()
     # Partitions touched by one load: a handful of (timeframe, year) pairs, bounded by the calendar.
     old = stored.join(F.broadcast(touched), list(partitions), "left_semi").select(*incoming.columns)
     merged = merge_rows(old, incoming, keys)
-    staging = f"{path}_staging"
+    staging = f"{path}_staging/{uuid.uuid4().hex[:12]}"
     write_partitions(merged, staging, partitions)
-    write_partitions(spark.read.parquet(staging), path, partitions)
+    # The merge reads the partitions it replaces, so it is written aside first.
+    write_partitions(read_table(spark, staging), path, partitions)
 
 
 def split_by_year(df: DataFrame, time: str = "open_time") -> DataFrame:
