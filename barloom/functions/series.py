@@ -192,3 +192,24 @@ def evaluate(df: DataFrame, formulas: dict[str, Formula], keep: Iterable[str], k
 
 def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def split_series(df: DataFrame, reach: int, rows_per_part: int, keys: Iterable[str] = SERIES_KEYS) -> DataFrame:
+    """Cut every series into parts of ``rows_per_part`` rows, each led by the ``reach`` rows before it.
+
+    Adds ``_part`` and ``_carried`` (true on the leading copies).  A row lands in at most two parts.
+    """
+    from barloom.functions.clock import timeframe_ms
+    from barloom.functions.stats import with_row_index
+
+    if reach > rows_per_part:
+        raise ValueError("a part must hold at least as many rows as windows reach back")
+    bucket = F.floor(F.col("open_time") / (timeframe_ms(F.col("timeframe")) * rows_per_part))
+    indexed = with_row_index(df.withColumn("_bucket", bucket), list(keys), "_bucket", ["open_time"], "_row")
+    part = F.floor(F.col("_row") / rows_per_part)
+    near_end = F.pmod(F.col("_row"), F.lit(rows_per_part)) >= rows_per_part - reach
+    places = F.when(
+        near_end,
+        F.array(F.struct(part.alias("_part"), F.lit(False).alias("_carried")), F.struct((part + 1).alias("_part"), F.lit(True).alias("_carried"))),
+    ).otherwise(F.array(F.struct(part.alias("_part"), F.lit(False).alias("_carried"))))
+    return indexed.withColumn("_place", F.explode(places)).select(*df.columns, "_place.*")

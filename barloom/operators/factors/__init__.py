@@ -9,10 +9,12 @@ from .catalog import (
     metadata_frame,
     register,
     required_datasets,
+    split_factor_frame,
 )
 from .model import Factor
 
 __all__ = [
     "CATALOG", "Factor", "dependency_class", "executable", "factor_frame", "factor_long",
     "metadata_frame", "register", "required_datasets",
+    "split_factor_frame",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import SERIES_KEYS, Series
+from barloom.functions.series import SERIES_KEYS, Series, split_series
 
 from . import derivatives, flow, price, relative
 from .model import Factor
@@ -76,33 +76,50 @@ def metadata_frame(spark: SparkSession, factors: Iterable[Factor]) -> DataFrame:
     )
 
 
-def _aligned_inputs(series: Series, factor: Factor) -> tuple[str, ...]:
+def _companions_needed(factor: Factor) -> list[str]:
+    """Companion columns whose first complete bar starts the factor; none if only one input is read."""
+    needed = sorted(c for c in factor.inputs if c in COMPANION_OF)
+    return needed if needed and len(set(factor.inputs)) > 1 else []
+
+
+def _start_name(needed: Iterable[str]) -> str:
+    return "_start_" + "_".join(needed)
+
+
+def _present(columns: Iterable[str]) -> Column:
+    test = F.lit(True)
+    for column in columns:
+        test = test & F.col(column).isNotNull()
+    return test
+
+
+def _aligned_inputs(series: Series, factor: Factor, known: Iterable[str] = ()) -> tuple[str, ...]:
     """Input names, nulled before the first bar on which every needed companion is present.
 
     A guarded rolling window over nulled inputs gives exactly what it gives over a frame that starts
     at that bar.  Inputs that all come from one companion column are null there already.
     """
-    needed = sorted(c for c in factor.inputs if c in COMPANION_OF)
-    if not needed or len(set(factor.inputs)) == 1:
+    needed = _companions_needed(factor)
+    if not needed:
         return factor.inputs
-    tag = "_".join(needed)
-    present = F.lit(True)
-    for column in needed:
-        present = present & F.col(column).isNotNull()
-    whole = Window.partitionBy(*series.keys).orderBy(series.order).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    start = f"_start_{tag}"
-    series.over(start, F.min(F.when(present, F.col(series.order))).over(whole), *needed)
+    tag, start = "_".join(needed), _start_name(needed)
+    if start not in known:
+        whole = Window.partitionBy(*series.keys).orderBy(series.order).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
+        series.over(start, F.min(F.when(_present(needed), F.col(series.order))).over(whole), *needed)
     return tuple(
         series.let(f"{column}__{tag}", F.when(F.col(series.order) >= F.col(start), F.col(column)), column, start)
         for column in factor.inputs
     )
 
 
-def factor_columns(series: Series, factors: Iterable[Factor], align: bool = True) -> dict[str, Column]:
+def factor_columns(
+    series: Series, factors: Iterable[Factor], align: bool = True, known: Iterable[str] = ()
+) -> dict[str, Column]:
+    known = set(known)
     return {
-        f.name: f.formula(series, _aligned_inputs(series, f) if align else f.inputs) for f in factors
+        f.name: f.formula(series, _aligned_inputs(series, f, known) if align else f.inputs) for f in factors
     }
 
 
@@ -126,6 +143,47 @@ def factor_frame(
     return series.attach(df).select(*keep, *[v.cast("double").alias(n) for n, v in values.items()])
 
 
+# Factors whose value depends on the whole history of a series, not on a bounded look-back.
+WHOLE_HISTORY = frozenset({
+    "accumulation_distribution", "on_balance_volume", "price_volume_trend", "ema_distance", "price_oscillator", "rsi",
+})
+
+
+def split_factor_frame(
+    df: DataFrame,
+    factors: Iterable[Factor] | None = None,
+    keep: Iterable[str] = ("symbol", "timeframe", "open_time"),
+    rows_per_part: int = 1_000_000,
+) -> DataFrame:
+    """The same matrix for series too long for one task, such as a year of one-second bars.
+
+    Series are cut into parts by row index and each part carries the few rows before it that its
+    windows reach back to.  Whole-history factors need running state only, which a window streams
+    through, and are joined to the rest.
+    """
+    chosen, keep = executable(df.columns, factors), list(keep)
+    bounded = [f for f in chosen if f.name not in WHOLE_HISTORY]
+    rest = [f for f in chosen if f.name in WHOLE_HISTORY]
+    if not bounded:
+        return factor_frame(df, rest, keep)
+    groups = {_start_name(n): n for n in map(_companions_needed, bounded) if n}
+    frame = df
+    if groups:
+        starts = df.groupBy(*SERIES_KEYS).agg(
+            *[F.min(F.when(_present(n), F.col("open_time"))).alias(name) for name, n in groups.items()]
+        )
+        frame = df.join(starts, list(SERIES_KEYS))
+    # Formulas look back at most two windows of their look-back and a few bars.
+    reach = 2 * max(f.lookback for f in bounded) + 10
+    parts = split_series(frame, reach, max(rows_per_part, reach))
+    series = Series((*SERIES_KEYS, "_part"))
+    values = factor_columns(series, bounded, known=groups)
+    out = series.attach(parts).filter(~F.col("_carried")).select(*keep, *[v.cast("double").alias(n) for n, v in values.items()])
+    if rest:
+        out = out.join(factor_frame(df, rest, keep), keep)
+    return out.select(*keep, *[f.name for f in chosen])
+
+
 def factor_long(wide: DataFrame, keys: Iterable[str] = ("symbol", "timeframe", "open_time")) -> DataFrame:
     """Long factor panel with catalog metadata (twelve columns)."""
     keys = list(keys)

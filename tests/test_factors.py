@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from helpers import bars, column
+from helpers import DAY, START, bars, column
 from pyspark.sql import functions as F
 
 from barloom.operators import factors
@@ -105,6 +105,23 @@ def test_companions_align_before_windows_start(spark):
     assert column(out, "volume_trend")[19] is not None
 
 
+def test_split_series_give_the_same_factors(spark):
+    rng = np.random.default_rng(8)
+    closes = list(100 + rng.normal(size=700).cumsum())
+    frame = bars(spark, closes).union(bars(spark, closes[:90], symbol="B")).filter(~F.col("open_time").between(START + 200 * DAY, START + 330 * DAY))
+    day = (F.col("open_time") - START) / DAY
+    frame = frame.withColumn("open_interest", F.when((day > 12) & (F.floor(day) % 150 > 3), F.col("close") * 2)).withColumn("trade_count", F.lit(3).cast("long"))
+    whole = factor_frame(frame)
+    split = factors.split_factor_frame(frame, rows_per_part=128)
+    assert whole.columns == split.columns and len(whole.columns) > 55
+    a, b = whole.orderBy("symbol", "open_time").collect(), split.orderBy("symbol", "open_time").collect()
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        for c in whole.columns[3:]:
+            assert (x[c] is None) == (y[c] is None), (c, x.open_time)
+            assert x[c] is None or x[c] == pytest.approx(y[c], rel=1e-6, abs=1e-9), (c, x.open_time)
+
+
 def test_long_panel_carries_metadata(spark):
     long = factor_long(factor_frame(bars(spark, [1.0, 2.0]), [CATALOG["momentum"], CATALOG["rsi"]]))
     assert long.columns[3:] == ["factor_name", "factor_version", "factor_category", "factor_group", "factor_value", "lookback",
