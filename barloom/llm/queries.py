@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import sharding, topk
+from barloom.llm import bytebpe, records, sharding, topk
+from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_token_records")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as records in doc_id order and read back."""
+    path = f"{Workspace(spark, 'records').path}"
+    manifest = records.write_records(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), 2)
+    return records.digests(spark, manifest)
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the multilingual ranks, and the bytes decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytebpe.digests(bytebpe.encode_and_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken")))
