@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; the arrays of a pass take some 60 times as much.
 BATCH_BYTES = 2 << 20
@@ -67,7 +68,7 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES):
     """Parts of a record batch with about ``limit`` bytes of the column each; one row at least."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     part = (np.cumsum(sizes) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)] if len(sizes) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
