@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, records, sharding, topk
+from barloom.llm import bytebpe, licenses, records, sharding, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual ranks, and the bytes decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bytebpe.digests(bytebpe.encode_and_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken")))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document; the fit uses labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.is_held_out()
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    return toxicity.with_score(docs, toxicity.fit(docs, labels)).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
