@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, licenses, records, sharding, topk, toxicity
+from barloom.llm import bytebpe, hmm, licenses, records, sharding, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_hmm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and hidden Markov scores of every document, trained on those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = hmm.is_held_out()
+    language = hmm.train(docs.where(~held_out))
+    return hmm.with_likelihood(docs, language).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(language.words.total).cast("long").alias("train_tokens"),
+        "base_score", "score")
