@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, hmm, licenses, records, sharding, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, records, sharding, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.with_likelihood(docs, language).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(language.words.total).cast("long").alias("train_tokens"),
         "base_score", "score")
+
+
+@query("op3_benchmark_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers, names and units."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", F.round("share", 6).alias("share"), "exact")
