@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, records, sharding, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, records, sharding, suffixdedup, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other numbers, names and units."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", F.round("share", 6).alias("share"), "exact")
+
+
+@query("op5_repeated_strings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that stand elsewhere too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.without_repeats(docs).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"))
