@@ -133,7 +133,7 @@ def _coder(vocabulary: str, text: str):
     return run
 
 
-def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Token count and SHA-256 of ids and decoded bytes."""
-    return coded.select(key, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, token count, SHA-256 of ids and decoded bytes, and any more of its columns."""
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

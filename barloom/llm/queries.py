@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, records, sharding, suffixdedup, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, pathjoin, records, sharding, suffixdedup, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.without_repeats(docs).select(
         "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_removed", "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and links of every document."""
+    return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")

@@ -5,11 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm.work import Workspace
+from barloom.llm import bytebpe, decontaminate, pathjoin, suffixdedup, toxicity
+from barloom.llm.queries import table, vocabulary
+from barloom.llm.work import Workspace, free_name
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; the classifier learns from labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.is_held_out())
+    score = free_name(docs, "_toxicity")
+    scored = toxicity.with_score(docs, toxicity.fit(docs.select("doc_id", "text"), labels), score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
+
+
+def one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return pathjoin.one_of_each(docs)
+
+
+def no_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts without repeated strings; characters cut in two go, and n_chars follows the text."""
+    kept, spans, removed = (free_name(docs, x) for x in ("_kept", "_spans", "_removed"))
+    left = F.col(kept).cast("string")
+    clean = F.when(F.is_valid_utf8(left), left).otherwise(F.replace(F.make_valid_utf8(left), F.lit("�"), F.lit("")))
+    cut = suffixdedup.without_repeats(docs, kept, spans, removed).withColumn("text", F.when(F.col(removed) > 0, clean).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def no_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded bytes."""
+    coded = bytebpe.encode_and_decode(docs.select("doc_id", "text"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bytebpe.digests(coded, "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
+    ("near duplicates", one_near_copy),
+    ("repeated strings", no_repeated_strings),
+    ("benchmark decontamination", no_benchmark_items),
+    ("byte-level BPE", token_ids),
+]
 
 #: The trained classifier, the randomised join and the suffix sort have no counterpart in SQL.
 ORACLE_SQL = None
@@ -18,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's table is written and read again."""
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = work.store(name, stage(spark, docs, sf_dir))
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = work.store(f"stage-{i}", stage(spark, docs, sf_dir))
     return docs
