@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.textops import NON_SPACE_BYTES, ASCII_LOWER, SpanHash, buffers, mix, slices, spans
+from barloom.llm.textops import NON_SPACE_BYTES, ASCII_LOWER, SpanHash, binary_column, buffers, mix, slices, spans
 from barloom.llm.work import Workspace, free_name
 
-STATES = 6
+STATES = 4
 SEGMENT = 64
+RESCALE = 8  # steps between rescalings
 OWN_CLASSES = 1 << 15  # words with a class of their own
 SHARED_CLASSES = 1 << 10  # classes of the other training words
 KNOWN_WORDS = 2_000_000  # commonest words whose counts every task holds (16 bytes each); others are joined
-ITERATIONS = 3
+ITERATIONS = 4
 PRIOR = 10.0
 #: Counts travel as whole multiples of this, so that sums do not depend on their order.
 UNIT = 2.0**-20
@@ -117,62 +118,55 @@ class Model:
 
 
 class Passes:
-    """Scaled forward and backward recursions over all documents of a batch at once."""
+    """Scaled forward and backward recursions over all documents of a batch at once.
+
+    Segments stand in order of their size, so that those still running at a step are a leading slice.
+    """
 
     def __init__(self, model: Model, classes: np.ndarray, at: np.ndarray):
-        self.model, self.at, k = model, at, model.emit.shape[1]
+        self.model, k = model, model.emit.shape[1]
         lengths = np.diff(at)
         pieces = -(-lengths // SEGMENT)
-        self.first = np.concatenate([[0], np.cumsum(pieces)])  # a document's first segment
+        self.first = np.concatenate([[0], np.cumsum(pieces)])  # a document's first segment, in text order
         n = int(self.first[-1])
         doc = np.repeat(np.arange(len(lengths)), pieces)
         offset = at[doc] + (np.arange(n) - self.first[doc]) * SEGMENT
         size = np.minimum(SEGMENT, at[doc + 1] - offset)
-        # Padding emits with probability 1 and moves by the identity: it changes nothing.
-        place = offset[:, None] + np.arange(SEGMENT)
-        self.live = np.arange(SEGMENT) < size[:, None]
-        self.place = np.where(self.live, place, 0)
-        self.emitted = model.emit[classes]
-        self.n, self.k, self.doc, self.size = n, k, doc, size
-
-    def step(self, t: int) -> np.ndarray:
-        return np.where(self.live[:, t, None], self.emitted[self.place[:, t]], 1.0)
+        order = np.argsort(-size, kind="stable")
+        self.slot = np.empty(n, np.int64)  # where a segment in text order stands
+        self.slot[order] = np.arange(n)
+        self.running = np.searchsorted(-size[order], -np.arange(SEGMENT))  # segments longer than t
+        self.running[0] = n
+        place = np.minimum(offset[order][None, :] + np.arange(SEGMENT)[:, None], max(len(classes) - 1, 0))
+        self.classes = classes[place]
+        self.emitted = model.emit[self.classes]
+        self.n, self.k = n, k
 
     def transfer(self) -> tuple[np.ndarray, np.ndarray]:
         """Each segment's product of move-and-emit matrices, scaled to one in its largest entry, and the log10 of the scale."""
         n, k, move = self.n, self.k, self.model.move
-        out, logs = np.broadcast_to(np.eye(k), (n, k, k)).copy(), np.zeros(n)
+        out, logs = np.tile(np.eye(k), (n, 1, 1)), np.zeros(n)
         for t in range(SEGMENT):
-            live = np.flatnonzero(self.live[:, t])
-            if not len(live):
+            m = self.running[t]
+            if not m:
                 break
-            whole = len(live) == n
-            own = out if whole else out[live]
-            new = (own.reshape(-1, k) @ move).reshape(-1, k, k) * self.emitted[self.place[live, t]][:, None, :]
-            if t % 8 == 7 or t == SEGMENT - 1:
-                scale = new.max(axis=(1, 2))
-                new /= scale[:, None, None]
-                logs[live] += np.log10(scale)
-            if whole:
-                out = new
-            else:
-                out[live] = new
+            new = (out[:m].reshape(-1, k) @ move).reshape(m, k, k)
+            np.multiply(new, self.emitted[t, :m, None, :], out=out[:m])
+            if t % RESCALE == RESCALE - 1:
+                scale = out[:m].max(axis=(1, 2))
+                out[:m] /= scale[:, None, None]
+                logs[:m] += np.log10(scale)
         scale = out.max(axis=(1, 2))
         return out / scale[:, None, None], logs + np.log10(scale)
 
     def before(self, matrices: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state vector before each segment, and each document's log10 likelihood.
-
-        The vector before the first token is such that one move gives the start probabilities.
-        """
-        k, docs = self.k, len(self.first) - 1
-        vectors = np.zeros((self.n, k))
-        total = np.zeros(docs)
-        count = np.diff(self.first)
-        state = np.tile(self.before_start(), (docs, 1))
+        """The state vector before each segment, and each document's log10 likelihood."""
+        docs, count = len(self.first) - 1, np.diff(self.first)
+        vectors, total = np.zeros((self.n, self.k)), np.zeros(docs)
+        state = np.tile(self.model.start, (docs, 1))
         for j in range(int(count.max(initial=0))):
             on = np.flatnonzero(count > j)
-            segment = self.first[on] + j
+            segment = self.slot[self.first[on] + j]
             vectors[segment] = state[on]
             new = np.einsum("nk,nkl->nl", state[on], matrices[segment])
             scale = new.sum(axis=1)
@@ -180,55 +174,55 @@ class Passes:
             state[on] = new / scale[:, None]
         return vectors, total
 
-    def before_start(self) -> np.ndarray:
-        return self.model.start
-
     def after(self, matrices: np.ndarray) -> np.ndarray:
         """The backward vector behind each segment, scaled."""
-        k, docs = self.k, len(self.first) - 1
-        vectors = np.ones((self.n, k))
-        count = np.diff(self.first)
-        state = np.ones((docs, k))
+        docs, count = len(self.first) - 1, np.diff(self.first)
+        vectors, state = np.ones((self.n, self.k)), np.ones((docs, self.k))
         for j in range(int(count.max(initial=0))):
             on = np.flatnonzero(count > j)
-            segment = self.first[on + 1] - 1 - j
+            segment = self.slot[self.first[on + 1] - 1 - j]
             vectors[segment] = state[on]
             new = np.einsum("nkl,nl->nk", matrices[segment], state[on])
             state[on] = new / new.max(axis=1, keepdims=True)
         return vectors
 
-    def counts(self, classes: np.ndarray, n_classes: int):
-        """Expected starts, moves and emissions, and the log10 likelihood, summed over the batch."""
+    def counts(self, n_classes: int):
+        """Expected starts, moves and emissions, and the log10 likelihoods of the documents."""
         matrices, logs = self.transfer()
         begin, total = self.before(matrices, logs)
-        end = self.after(matrices)
-        move, n, k = self.model.move, self.n, self.k
-        forward = np.zeros((SEGMENT + 1, n, k))
+        back = self.after(matrices)
+        move, k = self.model.move, self.k
+        forward = np.zeros((SEGMENT + 1, self.n, k))
         forward[0] = begin
         for t in range(SEGMENT):
-            new = (forward[t] @ move) * self.step(t)
-            new /= new.sum(axis=1, keepdims=True)
-            forward[t + 1] = np.where(self.live[:, t, None], new, forward[t])
-        starts, moves = np.zeros(k), np.zeros((k, k))
-        emits = np.zeros((n_classes, k))
-        back = end
+            m = self.running[t]
+            new = (forward[t, :m] @ move) * self.emitted[t, :m]
+            if t % RESCALE == RESCALE - 1:
+                new /= new.sum(axis=1, keepdims=True)
+            forward[t + 1, :m] = new
+        starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((n_classes, k))
         for t in range(SEGMENT - 1, -1, -1):
-            live = self.live[:, t]
-            ahead = self.step(t) * back
-            pair = forward[t] * (ahead @ move.T)
-            weight = pair.sum(axis=1)
-            scaled = np.where(live, 1 / np.where(weight > 0, weight, 1), 0)[:, None]
-            moves += ((forward[t] * scaled).T @ ahead) * move
-            posterior = (forward[t] @ move) * ahead * scaled
-            on = np.flatnonzero(live)
-            own = classes[self.place[on, t]]
-            for s in range(k):
-                emits[:, s] += np.bincount(own, posterior[on, s], n_classes)
+            m = self.running[t]
+            if not m:
+                continue
+            here = forward[t + 1, :m]
+            here *= back[:m]
+            here /= here.sum(axis=1, keepdims=True)  # chances of the states at this token
+            ahead = self.emitted[t, :m] * back[:m]
+            behind = ahead @ move.T
+            weight = np.einsum("nk,nk->n", forward[t, :m], behind)
+            moves += (forward[t, :m] / weight[:, None]).T @ ahead
             if t == 0:
-                starts += (forward[0] * (ahead @ move.T) * scaled)[self.first[:-1]].sum(axis=0)
-            new = ahead @ move.T
-            back = np.where(live[:, None], new / np.maximum(new.max(axis=1, keepdims=True), 1e-300), back)
-        return starts, moves, emits, total
+                one = self.slot[self.first[:-1]]
+                starts += (forward[0, one] * behind[one] / weight[one, None]).sum(axis=0)
+            if t % RESCALE == 0:
+                behind /= behind.max(axis=1, keepdims=True)
+            back[:m] = behind
+        live = np.arange(self.n) < self.running[:, None]
+        flat = self.classes[live]
+        for s in range(k):
+            emits[:, s] = np.bincount(flat, forward[1:, :, s][live], n_classes)
+        return starts, moves * move, emits, total
 
 
 def is_held_out(doc_id="doc_id"):
@@ -255,16 +249,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LanguageModel:
-    """Trained on the rows of a table; scores any rows."""
+    """Word counts and, after ``fit``, the hidden Markov model."""
 
     def __init__(self, work: Workspace, words: Words, counts: DataFrame, model: Model):
         self.work, self.words, self.counts, self.model = work, words, counts, model
 
 
-def train(documents: DataFrame, iterations: int = ITERATIONS, known_words: int = KNOWN_WORDS) -> LanguageModel:
-    """Count words and run Baum-Welch over all texts of ``documents`` (doc_id, text).
+def count_words(documents: DataFrame, known_words: int = KNOWN_WORDS) -> LanguageModel:
+    """Word counts over all texts of ``documents`` (text), and the model before training.
 
-    A null text counts as empty: one end.  Without any row, every token is unknown and the model is the base.
+    A null text counts as empty: one end.  Without any row every token is unknown and the model is the base.
     """
     spark = documents.sparkSession
     work = Workspace(spark, "hmm")
@@ -280,21 +274,15 @@ def train(documents: DataFrame, iterations: int = ITERATIONS, known_words: int =
     if distinct > len(keys):
         # The rest of the training words, summed by shared class: a row per class.
         head_words = spark.createDataFrame(head.select(["word"]).to_pandas())
-        rest = counts.join(head_words, "word", "left_anti")
-        found = rest.mapInArrow(_class_mass, "class long, mass double").groupBy("class").agg(F.sum("mass").alias("mass")).collect()
+        found = (counts.join(head_words, "word", "left_anti").mapInArrow(_class_mass, "class long, mass double")
+                 .groupBy("class").agg(F.sum("mass").alias("mass")).collect())
         for r in found:
             mass[r["class"]] += r["mass"]
     mass[unknown_class()] = 1.0
     mass /= outcomes
     order = np.argsort(keys)
     words = Words(keys[order], head.column("count").to_numpy()[order], classes[order], int(total), int(distinct), mass)
-    language = LanguageModel(work, words, counts, Model.initial(np.maximum(mass, 1e-300)))
-    if not total:
-        iterations = 0
-    prepared = _with_rare_words(language, documents)
-    for _ in range(iterations):
-        language.model = _improve(language, prepared)
-    return language
+    return LanguageModel(work, words, counts, Model.initial(np.maximum(mass, 1e-300)))
 
 
 def _class_mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,10 +312,11 @@ def _with_rare_words(language: LanguageModel, documents: DataFrame) -> DataFrame
                 both = np.unique(np.stack([key, tokens[far].view(np.int64)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["_key", "word"])
 
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
+    key = F.xxhash64("text")
+    keyed = documents.withColumn("_key", key)
     wanted = keyed.select("_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rare, "_key long, word long")
     found = (wanted.distinct().join(language.counts, "word").groupBy("_key")
-             .agg(F.sort_array(F.collect_list(F.struct("word", "count"))).alias("_found")))
+             .agg(F.collect_list(F.struct("word", "count")).alias("_found")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,70 +337,108 @@ def _extra(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts[first]
 
 
-def _improve(language: LanguageModel, prepared: DataFrame) -> Model:
+def encode(df: DataFrame, language: LanguageModel) -> DataFrame:
+    """``df`` without its text but with n_tokens, n_known, base_score, ``_inside`` and ``_classes``.
+
+    ``_inside`` is the log10 chance of the words within their classes, ``_classes`` holds the class of each token.
+    """
+    from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+
+    columns = [c for c in df.columns if c != "text"]
+    prepared = _with_rare_words(language, df).select(*[f"`{c}`" for c in columns], "text", "_rare", "_rare_counts")
+    shared = df.sparkSession.sparkContext.broadcast(language.words)  # bounded by known_words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        within = np.log10(words.class_mass)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                tokens, at = batch_tokens(*buffers(part.column("text")))
+                count, classes = words.counts_of(tokens, _extra(part))
+                chance = np.log10(count + 1) - np.log10(words.outcomes)
+                sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else x[:0]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-3], pa.array(np.diff(at)), pa.array(sums((count > 0).astype(np.int64))), pa.array(sums(chance)),
+                     pa.array(sums(chance - within[classes])), binary_column(classes.astype("<u2"), at)], [*columns, *(f"c{i}_" for i in range(5))])
+
+    fields = [StructField(n, t) for n, t in (("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()),
+                                             ("_inside", DoubleType()), ("_classes", BinaryType()))]
+    return prepared.mapInArrow(run, StructType([*(df.schema[c] for c in columns), *fields]))
+
+
+def _class_batches(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        for part in slices(batch, "_classes", 256 << 10):
+            flat, offsets = buffers(part.column("_classes"))
+            yield part, np.frombuffer(flat.tobytes(), "<u2").astype(np.int64), offsets // 2
+
+
+def fit(language: LanguageModel, encoded: DataFrame, iterations: int = ITERATIONS) -> None:
+    """Rounds of Baum-Welch over all rows of ``encoded``."""
+    if language.words.total:
+        for _ in range(iterations):
+            language.model = _improve(language, encoded)
+
+
+def _improve(language: LanguageModel, encoded: DataFrame) -> Model:
     """One round of Baum-Welch: expected counts of all partitions, summed by class."""
-    spark = prepared.sparkSession
-    shared = spark.sparkContext.broadcast((language.words, language.model))  # bounded by known_words and the classes
+    shared = encoded.sparkSession.sparkContext.broadcast(language.model)  # bounded by the classes and states
     number, k = len(language.words.class_mass), language.model.emit.shape[1]
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
+        model = shared.value
         starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((number, k))
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                tokens, at = batch_tokens(*buffers(part.column("text")))
-                _, classes = words.counts_of(tokens, _extra(part))
-                a, b, c, _ = Passes(model, classes, at).counts(classes, number)
-                starts, moves, emits = starts + a, moves + b, emits + c
+        for _, classes, at in _class_batches(batches):
+            a, b, c, _ = Passes(model, classes, at).counts(number)
+            starts, moves, emits = starts + a, moves + b, emits + c
         used = np.flatnonzero(emits.any(axis=1))
-        rows = np.concatenate([emits[used], moves, starts[None]])
-        whole = np.rint(rows / UNIT).astype(np.int64)
+        whole = np.rint(np.concatenate([emits[used], moves, starts[None]]) / UNIT).astype(np.int64)
         labels = np.concatenate([used, -1 - np.arange(k), [-1 - k]])
         yield pa.RecordBatch.from_pydict({"class": labels, **{f"s{s}": whole[:, s] for s in range(k)}})
 
     schema = "class long, " + ", ".join(f"s{s} long" for s in range(k))
-    summed = (prepared.select("text", "_rare", "_rare_counts").mapInArrow(expect, schema)
+    summed = (encoded.select("_classes").mapInArrow(expect, schema)
               .groupBy("class").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toArrow())  # a row per class
     labels = summed.column("class").to_numpy()
     values = np.stack([summed.column(f"s{s}").to_numpy() for s in range(k)], axis=1) * UNIT
-    emits, moves, starts = np.zeros((number, k)), np.zeros((k, k)), np.zeros(k)
+    emits, moves = np.zeros((number, k)), np.zeros((k, k))
     emits[labels[labels >= 0]] = values[labels >= 0]
     for s in range(k):
         moves[s] = values[labels == -1 - s].sum(axis=0)
-    starts = values[labels == -1 - k].sum(axis=0)
-    shared.unpersist()
-    return Model.from_counts(starts, moves, emits, language.words.class_mass)
+    return Model.from_counts(values[labels == -1 - k].sum(axis=0), moves, emits, language.words.class_mass)
 
 
-def with_likelihood(df: DataFrame, language: LanguageModel) -> DataFrame:
-    """``df`` with n_tokens, n_known, base_score and score (log10 probabilities) of each text; see the module's notes.
+def score(encoded: DataFrame, language: LanguageModel) -> DataFrame:
+    """``encoded`` with ``score``, the log10 likelihood of each text, in place of its working columns."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    A null or empty text is one end token.  Columns of ``df`` called like the new ones are kept with an underscore.
-    """
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-    names = ["n_tokens", "n_known", "base_score", "score"]
-    for name in names:
-        for have in [c for c in df.columns if c.lower() == name]:
-            df = df.withColumnRenamed(have, free_name(df, f"_{name}"))
-    columns = df.columns
-    prepared = _with_rare_words(language, df).select(*[f"`{c}`" for c in columns], "_rare", "_rare_counts")
-    shared = df.sparkSession.sparkContext.broadcast((language.words, language.model))
+    columns = [c for c in encoded.columns if c not in ("_inside", "_classes")]
+    shared = encoded.sparkSession.sparkContext.broadcast(language.model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                tokens, at = batch_tokens(*buffers(part.column("text")))
-                count, classes = words.counts_of(tokens, _extra(part))
-                chance = np.log10((count + 1) / words.outcomes)
-                inside = chance - np.log10(words.class_mass[classes])
-                sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else x[:0]
-                passes = Passes(model, classes, at)
-                _, likelihood = passes.before(*passes.transfer())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-2], pa.array(np.diff(at)), pa.array(sums((count > 0).astype(np.int64))),
-                     pa.array(sums(chance)), pa.array(likelihood + sums(inside))], [*columns, *(f"{x}_" for x in names)])
+        for part, classes, at in _class_batches(batches):
+            passes = Passes(shared.value, classes, at)
+            _, likelihood = passes.before(*passes.transfer())
+            inside = part.column("_inside").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(likelihood + inside)], [*columns, "score_"])
+
+    return encoded.select(*[f"`{c}`" for c in columns], "_inside", "_classes").mapInArrow(
+        run, StructType([*(encoded.schema[c] for c in columns), StructField("score", DoubleType())]))
 
-    kinds = [LongType(), LongType(), DoubleType(), DoubleType()]
-    return prepared.mapInArrow(run, StructType([*df.schema.fields, *(StructField(n, t) for n, t in zip(names, kinds, strict=True))]))
+
+def scored(documents: DataFrame, training, iterations: int = ITERATIONS, known_words: int = KNOWN_WORDS) -> tuple[DataFrame, LanguageModel]:
+    """``documents`` without text but with n_tokens, n_known, base_score and score; and the model.
+
+    The model learns from the rows where the column expression ``training`` holds.  A null or empty text is one end token;
+    repeated rows are scored each; an empty table gives no rows.  Columns of ``documents`` called like the new ones are
+    kept with a leading underscore.  Texts are read twice; the rounds of training read stored classes.
+    """
+    mark = free_name(documents, "_training")
+    df = documents.withColumn(mark, F.coalesce(training, F.lit(False)))
+    for name in ("n_tokens", "n_known", "base_score", "score"):
+        for have in [c for c in df.columns if c.lower() == name]:
+            df = df.withColumnRenamed(have, free_name(df, f"_{name}"))
+    language = count_words(df.where(mark), known_words)
+    encoded = language.work.store("classes", encode(df, language))
+    fit(language, encoded.where(mark), iterations)
+    return score(encoded, language).drop(mark), language

@@ -97,8 +97,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and hidden Markov scores of every document, trained on those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = hmm.is_held_out()
-    language = hmm.train(docs.where(~held_out))
-    return hmm.with_likelihood(docs, language).select(
+    found, language = hmm.scored(docs, ~held_out)
+    return found.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(language.words.total).cast("long").alias("train_tokens"),
         "base_score", "score")
 
