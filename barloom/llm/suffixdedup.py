@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -164,10 +164,11 @@ def without_repeats(documents: DataFrame, kept: str = "kept", spans: str = "n_sp
     key = F.xxhash64("doc_id", "text")
     texts = documents.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.mapInArrow(_regions, "key long, anchor long, content long, place long")
-    bucket = Window.partitionBy("anchor")
-    shared = work.store("shared", found.withColumns({
-        "regions": F.count("*").over(bucket), "low": F.min("content").over(bucket), "high": F.max("content").over(bucket),
-    }).where(F.col("regions") > 1).select("key", "anchor", "content", "place", (F.col("low") != F.col("high")).alias("mixed")))
+    found = work.store("regions", found)
+    # Counted with map-side aggregation and joined back, so that a very common anchor is split as a skewed join is.
+    buckets = found.groupBy("anchor").agg(F.count("*").alias("regions"), (F.min("content") != F.max("content")).alias("mixed")).where("regions > 1")
+    shared = work.store("shared", found.join(buckets, "anchor").select("key", "anchor", "content", "place", "mixed"))
+    work.drop("regions")
     distinct = work.store("distinct", shared.where("mixed").groupBy("anchor", "content").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("one")))
     wanted = distinct.groupBy("one.key").agg(F.collect_list(F.struct("one.place", "anchor", "content")).alias("wanted"))
