@@ -95,9 +95,9 @@ FF = "timeframe, fold, factor_name, factor_version"
 add("fold_factor_metrics",
     lambda s, d: log_growth(folds.fold_factor_metrics(folds.out_of_sample(fold_rows(s, d), folds.Layout()))).withColumn(
         "selected_direction", F.col("selected_direction").cast("int")), f"""WITH {ORDERED},
-st AS (SELECT {FF}, count(*) AS oos_rows, {STATS}, max(selection_ic) AS selection_ic, max(selected_direction) AS selected_direction FROM oos WHERE selected GROUP BY ALL)
+st AS (SELECT {FF}, count(*) AS oos_rows, {STATS}, max(selection_ic) AS selection_ic, max(selection_rank_ic) AS selection_rank_ic, max(selected_direction) AS selected_direction FROM oos WHERE selected GROUP BY ALL)
 SELECT st.* EXCLUDE (growth), raw_oos_ic, oriented_oos_ic, oriented_oos_ic AS oos_ic FROM st LEFT JOIN {ic_pair_sql(FF, 'oos')} i USING ({FF})""",
-    [*OOS_DOUBLES, "selection_ic", "raw_oos_ic", "oriented_oos_ic", "oos_ic"])
+    [*OOS_DOUBLES, "selection_ic", "selection_rank_ic", "raw_oos_ic", "oriented_oos_ic", "oos_ic"])
 add("walk_forward_summary",
     lambda s, d: folds.panel_summary(folds.oos_fold_metrics(fold_rows(s, d)), folds.out_of_sample(fold_rows(s, d), folds.Layout())).drop(
         "oos_cumulative_return"), f"""WITH {ORDERED}

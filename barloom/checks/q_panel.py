@@ -40,7 +40,7 @@ def panel(s, d):
 
 
 def _renamed(cte: str, suffix: str) -> str:
-    return cte.replace("bars AS (", f"bars_{suffix} AS (")
+    return cte.replace("bars AS MATERIALIZED (", f"bars_{suffix} AS MATERIALIZED (")
 
 
 _wide = staged("bars", [{"one": "1"}], {n: FACTOR_SQL[n][1] for n in PANEL_FACTORS}, "symbol, timeframe, open_time")
@@ -208,7 +208,7 @@ valid AS (SELECT symbol, {ID_SQL}, min(open_time) AS v FROM damaged WHERE factor
 SELECT finding, count(*) AS rows, count(DISTINCT symbol) AS symbols, count(DISTINCT factor_name) AS factors FROM (
   SELECT 'UNEXPECTED' AS finding, symbol, factor_name FROM damaged JOIN valid USING (symbol, {ID_SQL})
     WHERE factor_value IS NULL AND kind IS NULL AND open_time >= v
-  UNION ALL SELECT kind, symbol, factor_name FROM damaged WHERE kind IN ('POSITIVE_INFINITY', 'NEGATIVE_INFINITY')) GROUP BY finding""")
+  UNION ALL SELECT kind, symbol, factor_name FROM damaged WHERE kind = 'POSITIVE_INFINITY') GROUP BY finding""")
 
 # -- selection --------------------------------------------------------------------------------------
 TOP, CAND = 5, 8
@@ -358,7 +358,7 @@ def evaluated(s, d):
 
 
 EVAL_SQL = f"""{SELECT_SQL},
-evaluation AS MATERIALIZED (SELECT p.*, s.selected, s.information_coefficient AS selection_ic, CASE WHEN s.information_coefficient < 0 THEN -1 ELSE 1 END AS selected_direction,
+evaluation AS MATERIALIZED (SELECT p.*, s.selected, s.information_coefficient AS selection_ic, s.rank_information_coefficient AS selection_rank_ic, CASE WHEN s.information_coefficient < 0 THEN -1 ELSE 1 END AS selected_direction,
   p.open_time AS selection_time FROM panel p JOIN selection s USING ({ID_SQL}))"""
 add("evaluation_panel",
     lambda s, d: evaluated(s, d).groupBy(*IDENTITY, "selected", F.col("selected_direction").cast("int").alias("selected_direction")).agg(

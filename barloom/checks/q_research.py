@@ -76,11 +76,12 @@ add("ic_half_life", lambda s, d: research.half_life(decayed(s, d), ["symbol", "t
 SELECT symbol, timeframe, min(horizon) FILTER (abs(ic) < base / 2) AS half_life FROM (SELECT *, abs(first_value(ic) OVER (PARTITION BY symbol ORDER BY horizon)) AS base FROM dec) GROUP BY ALL""")
 BLK = f"{ID_SQL}, blk"
 STAB = f"""{PANEL_SQL},
-nb AS (SELECT {ID_SQL}, factor_value, future_return_1, (row_number() OVER (PARTITION BY {ID_SQL} ORDER BY open_time, symbol) - 1) // 500 AS blk FROM panel WHERE {PAIRS}),
+ab AS (SELECT {ID_SQL}, factor_value, future_return_1, (row_number() OVER (PARTITION BY {ID_SQL} ORDER BY open_time, symbol) - 1) // 500 AS blk FROM panel),
+nb AS (SELECT * FROM ab JOIN (SELECT {BLK} FROM ab GROUP BY ALL HAVING count(*) = 500) USING ({BLK}) WHERE {PAIRS}),
 bi AS ({IC0.format(k=BLK, src=f"SELECT {BLK}, {rank_sql(BLK, 'factor_value')} AS x, {rank_sql(BLK, 'future_return_1')} AS y FROM nb")})"""
 add("ic_stability", lambda s, d: research.stability(panel(s, d), ID), f"""WITH {STAB}
 SELECT {ID_SQL}, count(ic) AS blocks, avg(ic) AS mean_ic, coalesce(stddev_samp(ic), 0) AS std_ic, min(ic) AS min_ic, max(ic) AS max_ic,
-  coalesce(least(greatest(1 - coalesce(stddev_samp(ic), 0) / nullif(abs(avg(ic)), 0), 0), 1), 0) AS stability_score FROM bi WHERE pairs = 500 GROUP BY ALL""",
+  coalesce(least(greatest(1 - coalesce(stddev_samp(ic), 0) / nullif(abs(avg(ic)), 0), 0), 1), 0) AS stability_score FROM bi GROUP BY ALL""",
     ["mean_ic", "std_ic", "min_ic", "max_ic", "stability_score"])
 FIVE = PANEL_FACTORS[:5]
 
@@ -221,20 +222,22 @@ def stable(s, d):
 
 
 FIC = f"""{PURGED},
-fic AS MATERIALIZED (SELECT st.*, raw_oos_ic, oriented_oos_ic FROM (SELECT {FF}, count(*) AS oos_rows, max(selection_ic) AS selection_ic, max(selected_direction) AS selected_direction
+fic AS MATERIALIZED (SELECT st.*, raw_oos_ic, oriented_oos_ic FROM (SELECT {FF}, count(*) AS oos_rows, max(selection_ic) AS selection_ic, max(selection_rank_ic) AS selection_rank_ic, max(selected_direction) AS selected_direction
   FROM poos WHERE selected GROUP BY ALL) st LEFT JOIN {ic_pair_sql(FF, 'poos')} i USING ({FF})),
 fs0 AS (SELECT timeframe, factor_name, factor_version, count(oriented_oos_ic) AS folds, count(*) FILTER (oriented_oos_ic > 0) AS positive_folds,
-  count(*) FILTER (oriented_oos_ic < 0) AS negative_folds, avg(oriented_oos_ic) AS mean_oriented_ic, avg(raw_oos_ic) AS mean_raw_ic, max(selection_ic) AS selection_ic FROM fic GROUP BY ALL),
+  count(*) FILTER (oriented_oos_ic < 0) AS negative_folds, avg(oriented_oos_ic) AS mean_oriented_ic, avg(raw_oos_ic) AS mean_raw_ic,
+  count(*) FILTER (raw_oos_ic > 0) AS positive_raw_folds, count(*) FILTER (raw_oos_ic < 0) AS negative_raw_folds, max(selection_ic) AS selection_ic, max(selection_rank_ic) AS selection_rank_ic FROM fic GROUP BY ALL),
 fs AS MATERIALIZED (SELECT *, CASE WHEN folds = 0 THEN 'INSUFFICIENT_DATA' WHEN negative_folds = folds AND mean_oriented_ic < 0 THEN 'ORIENTATION_INSUFFICIENT'
   WHEN positive_folds = folds AND mean_oriented_ic > 0 THEN 'STABLE_POSITIVE' WHEN positive_folds > 0 AND negative_folds > 0 THEN 'MIXED'
   WHEN mean_oriented_ic > 0 THEN 'STABLE_POSITIVE' WHEN mean_oriented_ic < 0 THEN 'STABLE_NEGATIVE' ELSE 'MIXED' END AS stability_class FROM fs0)"""
-FS_DOUBLES = ["mean_oriented_ic", "mean_raw_ic", "selection_ic"]
+FS_DOUBLES = ["mean_oriented_ic", "mean_raw_ic", "selection_ic", "selection_rank_ic"]
 add("factor_stability", stable, f"WITH {FIC} SELECT * FROM fs", FS_DOUBLES)
 add("stability_classes", lambda s, d: stability.classified(stable(s, d)), f"""WITH {FIC}
-SELECT *, CASE WHEN folds = 0 THEN 'NEUTRAL' WHEN positive_folds = folds AND mean_oriented_ic > 0 THEN 'STABLE_POSITIVE' WHEN negative_folds = folds AND mean_oriented_ic < 0 THEN 'ORIENTATION_REVERSAL_CANDIDATE'
-  WHEN positive_folds > 0 AND negative_folds > 0 THEN 'UNSTABLE' WHEN mean_oriented_ic > 0 THEN 'STABLE_POSITIVE' WHEN mean_oriented_ic < 0 THEN 'STABLE_NEGATIVE' ELSE 'NEUTRAL' END AS orientation_class,
-  CASE WHEN selection_ic > 0 AND mean_raw_ic > 0 THEN 'IS_POSITIVE_OOS_POSITIVE' WHEN selection_ic > 0 AND mean_raw_ic < 0 THEN 'IS_POSITIVE_OOS_NEGATIVE'
-    WHEN selection_ic < 0 AND mean_raw_ic > 0 THEN 'IS_NEGATIVE_OOS_POSITIVE' WHEN selection_ic < 0 AND mean_raw_ic < 0 THEN 'IS_NEGATIVE_OOS_NEGATIVE' ELSE 'IS_NEUTRAL_OOS' END AS in_out_class FROM fs""", FS_DOUBLES)
+SELECT * EXCLUDE (ins), CASE WHEN positive_raw_folds + negative_raw_folds = 0 OR mean_raw_ic IS NULL THEN 'NEUTRAL' WHEN negative_raw_folds = 0 AND mean_raw_ic > 0 THEN 'STABLE_POSITIVE' WHEN positive_raw_folds = 0 AND mean_raw_ic < 0 THEN 'ORIENTATION_REVERSAL_CANDIDATE'
+  WHEN positive_raw_folds > 0 AND negative_raw_folds > 0 THEN 'UNSTABLE' WHEN mean_raw_ic > 0 THEN 'STABLE_POSITIVE' WHEN mean_raw_ic < 0 THEN 'STABLE_NEGATIVE' ELSE 'NEUTRAL' END AS orientation_class,
+  CASE WHEN ins > 0 AND mean_raw_ic > 0 THEN 'IS_POSITIVE_OOS_POSITIVE' WHEN ins > 0 AND mean_raw_ic < 0 THEN 'IS_POSITIVE_OOS_NEGATIVE'
+    WHEN ins < 0 AND mean_raw_ic > 0 THEN 'IS_NEGATIVE_OOS_POSITIVE' WHEN ins < 0 AND mean_raw_ic < 0 THEN 'IS_NEGATIVE_OOS_NEGATIVE' ELSE 'IS_NEUTRAL_OOS' END AS in_out_class
+FROM (SELECT *, coalesce(selection_rank_ic, selection_ic) AS ins FROM fs)""", FS_DOUBLES)
 add("cross_timeframe_consistency", lambda s, d: stability.cross_timeframe(stable(s, d)), f"""WITH {FIC},
 x AS (SELECT factor_name, factor_version, count(*) AS timeframes, count(*) FILTER (mean_oriented_ic > 0) AS u, count(*) FILTER (mean_oriented_ic < 0) AS w FROM fs GROUP BY ALL)
 SELECT factor_name, factor_version, timeframes, CASE WHEN timeframes = 1 THEN 1.0 ELSE greatest(u, w) / (u + w) END AS sign_consistency, CASE WHEN timeframes = 1 THEN 'SINGLE_TIMEFRAME'
@@ -297,7 +300,12 @@ add("target_distribution", lambda s, d: stability.target_distribution(purged_row
 SELECT timeframe, fold, count(future_return_1) AS count, avg(future_return_1) AS mean, stddev_samp(future_return_1) AS std, count(*) FILTER (future_return_1 > 0) / count(future_return_1) AS positive_share,
   count(*) FILTER (future_return_1 < 0) / count(future_return_1) AS negative_share, {', '.join(f'quantile_cont(future_return_1, {q}) AS {n}' for q, n in zip(stability.RETURN_QUANTILES, QN))}
 FROM poos WHERE selected GROUP BY ALL""", ["mean", "std", "positive_share", "negative_share", *QN])
-add("bootstrap_mean_ic", lambda s, d: stability.bootstrap_mean_ic(purged_factor_ics(s, d), ["timeframe", "factor_name"]))
+add("bootstrap_mean_ic", lambda s, d: stability.bootstrap_mean_ic(purged_factor_ics(s, d), ["timeframe", "factor_name"]), f"""WITH {FIC},
+pop AS (SELECT timeframe, factor_name, list(oriented_oos_ic ORDER BY fold) AS ics FROM fic WHERE oriented_oos_ic IS NOT NULL GROUP BY ALL),
+reps AS (SELECT timeframe, factor_name, ics, r FROM pop, (SELECT unnest(range(1, 1001)) AS r)),
+drawn AS (SELECT timeframe, factor_name, list_sum([ics[1 + CAST(CAST('0x' || left(md5('7:' || r || ':' || i), 7) AS BIGINT) % len(ics) AS BIGINT)] for i in range(len(ics))]) / len(ics) AS m FROM reps),
+sorted AS (SELECT timeframe, factor_name, list(m ORDER BY m) AS ms FROM drawn GROUP BY ALL)
+SELECT timeframe, factor_name, CAST(1000 AS BIGINT) AS replicates, ms[1 + 24] AS low, ms[1 + 974] AS high FROM sorted""", ["low", "high"])
 KEYS = "timeframe, factor_name, factor_version"
 add("quintile_profile", lambda s, d: stability.quintile_profile(purged_rows(s, d)), f"""WITH {PURGED},
 v AS (SELECT {KEYS}, open_time, future_return_1 AS y, factor_value * selected_direction AS o FROM poos WHERE {PAIRS}),

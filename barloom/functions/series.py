@@ -10,6 +10,7 @@ Rolling results are null until the window holds ``n`` non-null values.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -18,9 +19,7 @@ from pyspark.sql import functions as F
 
 SERIES_KEYS = ("symbol", "timeframe", "year")
 EWM_BLOCK = 256
-# (1 - alpha) ** (256 * 64) underflows to 0.0 in a double for every alpha >= 0.05, so a carry
-# from further back contributes exactly nothing.
-EWM_CARRY_BLOCKS = 64
+EWM_GROUP = 64  # blocks whose end values are carried into one group value
 
 
 class Series:
@@ -134,37 +133,44 @@ class Series:
         """Recursive exponentially weighted mean, ``y = (1-alpha)*y + alpha*x``, seeded by the first value.
 
         x may be null at the start of a series, not inside it.  The recurrence is unrolled in
-        blocks of 256 bars: a scaled running sum inside the block plus the value carried out of the
-        blocks before it.  Every step is a window over at most one block or 64 block ends.
+        blocks: a scaled running sum inside the block, plus what the earlier blocks of its group
+        carry, plus what all earlier groups carry.  No history is dropped; each window holds one
+        block, the block ends of one group, or the group ends of the series.
         """
         keep = 1.0 - alpha
+        # Inside a block values are scaled by up to keep ** -block, which must stay a finite double.
+        block_rows = max(1, min(EWM_BLOCK, int(250 / max(-math.log10(keep), 1e-9)))) if keep > 0 else 1
         tag = f"{x}_{alpha:.6f}".replace(".", "_")
         self.index()
         seen = self.over(f"_seen_{x}", F.count(x).over(self.running), x)
-        block = self.let("_ewm_block", F.floor((F.col("_t") - 1) / EWM_BLOCK), "_t")
-        place = self.let("_ewm_place", F.pmod(F.col("_t") - 1, F.lit(EWM_BLOCK)), "_t")
-        feed = self.let(
-            f"_feed_{tag}",
-            F.when(seen == 1, F.col(x)).when(seen > 1, F.col(x) * alpha).otherwise(0.0)
-            * F.pow(F.lit(keep), -F.col(place)),
-            x, f"_seen_{x}", place,
-        )
+        block = self.let(f"_ewm_block{block_rows}", F.floor((F.col("_t") - 1) / block_rows), "_t")
+        group = self.let(f"_ewm_group{block_rows}", F.floor(F.col(block) / EWM_GROUP), block)
+        place = self.let(f"_ewm_place{block_rows}", F.pmod(F.col("_t") - 1, F.lit(block_rows)), "_t")
+        slot = self.let(f"_ewm_slot{block_rows}", F.pmod(F.col(block), F.lit(EWM_GROUP)), block)
+        scaled = F.when(seen == 1, F.col(x)).when(seen > 1, F.col(x) * alpha).otherwise(0.0)
+        feed = self.let(f"_feed_{tag}", scaled * F.pow(F.lit(keep), -F.col(place)) if block_rows > 1 else scaled, x, f"_seen_{x}", place)
         in_block = Window.partitionBy(*self.keys, block).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
         self.over(f"_local_raw_{tag}", F.sum(feed).over(in_block), feed, block)
         local = self.let(
             f"_local_{tag}", F.col(f"_local_raw_{tag}") * F.pow(F.lit(keep), F.col(place)), f"_local_raw_{tag}", place
         )
         # Only the last bar of a block carries its local value; nulls drop out of collect_list.
-        end = self.let(f"_end_{tag}", F.when(F.col(place) == EWM_BLOCK - 1, F.col(local)), local, place)
-        reach = (
-            Window.partitionBy(*self.keys).orderBy(block).rangeBetween(-EWM_CARRY_BLOCKS, -1)
-        )
-        self.over(f"_ends_{tag}", F.collect_list(end).over(reach), end, block)
-        carry = F.aggregate(
-            F.col(f"_ends_{tag}"), F.lit(0.0), lambda acc, v: acc * F.lit(keep**EWM_BLOCK) + v
-        )
-        value = F.col(local) + carry * F.pow(F.lit(keep), F.col(place) + 1)
-        name = self.let(f"_ewm_{tag}", value, local, f"_ends_{tag}", place)
+        end = self.let(f"_end_{tag}", F.when(F.col(place) == block_rows - 1, F.col(local)), local, place)
+        in_group = Window.partitionBy(*self.keys, group).orderBy(block).rangeBetween(Window.unboundedPreceding, -1)
+        self.over(f"_ends_{tag}", F.collect_list(end).over(in_group), end, block, group)
+
+        def carried(values: Column, factor: float) -> Column:
+            return F.aggregate(values, F.lit(0.0), lambda acc, v: acc * F.lit(factor) + v)
+
+        near = self.let(f"_near_{tag}", carried(F.col(f"_ends_{tag}"), keep**block_rows), f"_ends_{tag}")
+        whole = self.let(
+            f"_whole_{tag}",
+            F.when(F.col(slot) == EWM_GROUP - 1, F.col(end) + F.col(near) * F.lit(keep**block_rows)), near, end, slot)
+        over_groups = Window.partitionBy(*self.keys).orderBy(group).rangeBetween(Window.unboundedPreceding, -1)
+        self.over(f"_wholes_{tag}", F.collect_list(whole).over(over_groups), whole, group)
+        far = carried(F.col(f"_wholes_{tag}"), keep ** (block_rows * EWM_GROUP)) * F.pow(F.lit(keep), F.col(slot) * block_rows)
+        value = F.col(local) + (F.col(near) + far) * F.pow(F.lit(keep), F.col(place) + 1)
+        name = self.let(f"_ewm_{tag}", value, local, near, f"_wholes_{tag}", place, slot)
         return F.when((seen >= min_samples) & F.col(x).isNotNull(), F.col(name))
 
     # -- evaluation --------------------------------------------------------------------

@@ -29,9 +29,16 @@ def pair_count(x: Column, y: Column) -> Column:
 
 
 def value_bin(value: Column) -> Column:
-    """Order-preserving bin number; depends on the value alone, so every evaluation agrees."""
+    """Order-preserving bin number; depends on the value alone, so every evaluation agrees.
+
+    In Spark's own order: each infinity has a bin of its own, and NaN comes after all.
+    """
     size = F.floor(F.log2(F.abs(value)) * BINS_PER_OCTAVE) + BIN_SHIFT
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    outer = F.lit(2 * BIN_SHIFT + 1).cast("long")
+    return (
+        F.when(F.isnan(value), outer + 1).when(F.abs(value) == float("inf"), F.when(value > 0, outer).otherwise(-outer))
+        .when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    )
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -63,53 +70,31 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-# Groups up to this many rows are ranked by a window in one task; larger ones by value bins.
-ROWS_PER_TASK = 4_000_000
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rank_ic") -> DataFrame:
+    """Pooled rank correlation per key over complete pairs, with the pair count ``pairs``.
 
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one small aggregate, read to choose the plan."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row.n or 0
-
-
-def spearman(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rank_ic", rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Pooled rank correlation per key over complete pairs, with the pair count ``pairs``."""
+    One method at every size: values are ranked by bins and joined back, so no task holds a group.
+    """
     keys = list(keys)
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, (F.col(x) + F.lit(0.0)).alias("_x"), (F.col(y) + F.lit(0.0)).alias("_y")
     )
-    if largest_group(pairs, keys) <= rows_per_task:
-        ranked = pairs.select(*keys, *[
-            (F.rank().over(Window.partitionBy(*keys).orderBy(v))
-             + (F.count(F.lit(1)).over(Window.partitionBy(*keys, v)) - 1) / 2).alias(r)
-            for v, r in (("_x", "_rx"), ("_y", "_ry"))
-        ])
-    else:
-        # Both lookups are built from the pairs themselves, so neither repeats the other's join.
-        ranked = pairs
-        for v, r in (("_x", "_rx"), ("_y", "_ry")):
-            lookup = value_ranks(pairs, keys, v).select(*keys, v, F.col("avg_rank").alias(r))
-            ranked = ranked.join(lookup, [*keys, v])
+    # Both lookups are built from the pairs themselves, so neither repeats the other's join.
+    ranked = pairs
+    for v, r in (("_x", "_rx"), ("_y", "_ry")):
+        ranked = ranked.join(value_ranks(pairs, keys, v).select(*keys, v, F.col("avg_rank").alias(r)), [*keys, v])
     return ranked.groupBy(*keys).agg(
         pearson(F.col("_rx"), F.col("_ry")).alias(name), F.count(F.lit(1)).alias("pairs")
     )
 
 
-def with_ordinal(
-    df: DataFrame, keys: Sequence[str], value: str, time: str, tie: str, name: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def with_ordinal(df: DataFrame, keys: Sequence[str], value: str, time: str, tie: str, name: str) -> DataFrame:
     """Attach the ordinal rank (1..n) by value, then time, then ``tie``; rows without a value go.
 
-    In large groups, rows of equal value are numbered time by time, each time offset by prefix counts.
+    Rows of equal value are numbered time by time, each time offset by prefix counts.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).withColumn(value, F.col(value) + F.lit(0.0))
-    if largest_group(rows, keys) <= rows_per_task:
-        order = Window.partitionBy(*keys).orderBy(value, time, tie)
-        return rows.withColumn(name, F.row_number().over(order).cast("long"))
     starts = value_ranks(rows, keys, value).select(*keys, value, "before")
     earlier = Window.partitionBy(*keys, value).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     slots = (
@@ -126,21 +111,15 @@ def with_ordinal(
     )
 
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per key, as an array ``quantiles``.
 
-    Small groups use the percentile aggregate; large ones read the order statistics off the value
-    ranks, so no task holds a group.
+    The order statistics are read off the value ranks, so no task holds a group.
     """
     keys = list(keys)
     rows = df.filter(F.col(value).isNotNull())
     if not keys:
-        return quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], value, probabilities, rows_per_task).drop("_all")
-    if largest_group(rows, keys) <= rows_per_task:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        return rows.groupBy(*keys).agg(F.percentile(value, wanted).alias("quantiles"))
+        return quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], value, probabilities).drop("_all")
     ranks = value_ranks(rows, keys, value)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     placed = ranks.join(sizes, keys)
@@ -153,8 +132,9 @@ def quantiles(
         place = (F.col("_n") - 1) * float(p)
         low = F.floor(place)
         parts.append((at(low), at(F.least(low + 1, F.col("_n") - 1)), F.max(place - low)))
+    # Without a fraction the lower value stands alone, so that an infinity does not meet a zero weight.
     return placed.groupBy(*keys).agg(
-        F.array(*[lo + (hi - lo) * share for lo, hi, share in parts]).alias("quantiles")
+        F.array(*[F.when((share == 0) | (lo == hi), lo).otherwise(lo + (hi - lo) * share) for lo, hi, share in parts]).alias("quantiles")
     )
 
 

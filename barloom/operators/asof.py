@@ -61,12 +61,14 @@ def _asof_pass(bars: DataFrame, companions: Sequence[Companion], per_timeframe:
             *key_columns,
             time.alias("_time"),
             F.lit(False).alias("_is_bar"),
+            F.col(c.time).alias("_exact"),
             F.struct(*[F.col(a).cast("double").alias(b) for a, b in c.values.items()]).alias(name),
         )
         stacked = stacked.unionByName(right, allowMissingColumns=True)
     upto = (
         Window.partitionBy(*keys)
-        .orderBy("_time", "_is_bar")
+        # Companion rows of one floored time follow by their own time, those of one time by their values: the last counts.
+        .orderBy("_time", "_is_bar", "_exact", *names)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     joined = stacked.select(

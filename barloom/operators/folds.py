@@ -12,7 +12,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import ROWS_PER_TASK, spearman, with_row_index
+from barloom.functions.stats import spearman, with_row_index
 
 # Default windows, in rows of the long panel, and purged fold sizes.
 TRAIN_ROWS, TEST_ROWS, STEP_ROWS = 252, 63, 63
@@ -191,16 +191,16 @@ def factor_train_counts(rows: DataFrame, layout: Layout | None = None) -> DataFr
     return train_parts(rows, layout or Layout(), FACTOR, {"train_rows": (F.count(F.lit(1)), "sum")})
 
 
-def fold_factor_metrics(oos: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def fold_factor_metrics(oos: DataFrame) -> DataFrame:
     """Per fold and factor: returns of selected rows, raw and oriented rank IC."""
     keys = ["timeframe", "fold", *FACTOR]
     chosen = oos.filter("selected").withColumn("_oriented", F.col("factor_value") * F.col("selected_direction"))
     stats = chosen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("oos_rows"), *return_statistics(),
-        F.first("selection_ic").alias("selection_ic"), F.first("selected_direction").alias("selected_direction"),
+        F.first("selection_ic").alias("selection_ic"), F.first("selection_rank_ic").alias("selection_rank_ic"), F.first("selected_direction").alias("selected_direction"),
     )
     for value, name in (("factor_value", "raw_oos_ic"), ("_oriented", "oriented_oos_ic")):
-        ic = spearman(chosen, keys, value, RETURN, name, rows_per_task).drop("pairs")
+        ic = spearman(chosen, keys, value, RETURN, name).drop("pairs")
         stats = stats.join(ic, keys, "left")
     return stats.withColumn("oos_ic", F.col("oriented_oos_ic"))
 
@@ -289,13 +289,13 @@ def map_observations(evaluation: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
-def purged_fold_metrics(oos: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def purged_fold_metrics(oos: DataFrame) -> DataFrame:
     """Per purged fold: pooled return statistics and rank ICs of the selected rows."""
     keys = ["timeframe", "fold"]
     chosen = oos.filter("selected").withColumn("_oriented", F.col("factor_value") * F.col("selected_direction"))
     stats = chosen.groupBy(*keys).agg(*return_statistics(), F.percentile(RETURN, F.lit(0.5)).alias("oos_return_median"))
     for value, name in (("factor_value", "raw_oos_ic"), ("_oriented", "oriented_oos_ic")):
-        stats = stats.join(spearman(chosen, keys, value, RETURN, name, rows_per_task).drop("pairs"), keys, "left")
+        stats = stats.join(spearman(chosen, keys, value, RETURN, name).drop("pairs"), keys, "left")
     return stats.withColumn("oos_ic", F.col("oriented_oos_ic"))
 
 

@@ -21,6 +21,7 @@ def evaluation_panel(panel: DataFrame, selection: DataFrame) -> DataFrame:
     """Panel rows with the selection decision of their factor; one row per (bar, factor)."""
     decisions = selection.select(
         *IDENTITY, "selected", F.col("information_coefficient").alias("selection_ic"),
+        F.col("rank_information_coefficient").alias("selection_rank_ic"),
         F.when(F.col("information_coefficient") < 0, -1).otherwise(1).cast("tinyint").alias("selected_direction"),
         F.lit("sign_of_ic").alias("orientation_policy"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.pairwise import pair_correlations
 from barloom.functions.stats import (
-    ROWS_PER_TASK, correlation_t, pair_count, pearson, quantiles, spearman, t_p_value, with_ordinal,
+    correlation_t, pair_count, pearson, quantiles, spearman, t_p_value, value_ranks, with_ordinal,
 )
 
 # Defaults of the toolkit.
@@ -24,11 +24,10 @@ PERCENTILES = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
 
 def information_coefficient(
     df: DataFrame, keys: Sequence[str], x: str = "factor_value", y: str = "future_return_1", method: str = "pearson",
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Pooled correlation per key with its p-value; at least two pairs."""
     if method == "spearman":
-        out = spearman(df, keys, x, y, "ic", rows_per_task)
+        out = spearman(df, keys, x, y, "ic")
     else:
         out = df.groupBy(*keys).agg(pearson(F.col(x), F.col(y)).alias("ic"), pair_count(F.col(x), F.col(y)).alias("pairs"))
     out = out.filter("pairs >= 2")
@@ -39,19 +38,18 @@ def information_coefficient(
 
 def quantile_analysis(
     df: DataFrame, keys: Sequence[str], x: str = "factor_value", y: str = "future_return_1", buckets: int = QUANTILES,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Return statistics per equal-frequency bucket of the pooled factor values."""
     keys = list(keys)
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_ordinal(pairs, keys, x, "open_time", "symbol", "_rank", rows_per_task)
+    ranked = with_ordinal(pairs, keys, x, "open_time", "symbol", "_rank")
     sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bucket = F.floor((F.col("_rank") - 1) * buckets / F.col("_n")) + 1
     placed = ranked.join(sizes, keys).withColumn("quantile", bucket.cast("int"))
     stats = placed.groupBy(*keys, "quantile").agg(
         F.count(F.lit(1)).alias("count"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max")
     )
-    medians = quantiles(placed, [*keys, "quantile"], y, [0.5], rows_per_task).withColumn("median", F.col("quantiles")[0]).drop("quantiles")
+    medians = quantiles(placed, [*keys, "quantile"], y, [0.5]).withColumn("median", F.col("quantiles")[0]).drop("quantiles")
     return stats.join(medians, [*keys, "quantile"])
 
 
@@ -67,7 +65,6 @@ def quantile_summary(stats: DataFrame, keys: Sequence[str], buckets: int = QUANT
 
 def decay(
     bars: DataFrame, keys: Sequence[str], x: str, horizons: Sequence[int] = DECAY_HORIZONS, price: str = "close",
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Rank correlation at several forward horizons; ``bars`` is wide with the factor column ``x``."""
     order = Window.partitionBy("symbol", "timeframe", "year").orderBy("open_time")
@@ -76,7 +73,7 @@ def decay(
     ).select(*keys, x, *[(F.try_divide(F.col(f"_p{h}"), F.col(price)) - 1).alias(str(h)) for h in horizons])
     long = ahead.unpivot([*keys, x], [str(h) for h in horizons], "horizon", "forward_return")
     long = long.withColumn("horizon", F.col("horizon").cast("int"))
-    return spearman(long, [*keys, "horizon"], x, "forward_return", "ic", rows_per_task)
+    return spearman(long, [*keys, "horizon"], x, "forward_return", "ic")
 
 
 def half_life(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,15 +87,17 @@ def half_life(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def stability(
     df: DataFrame, keys: Sequence[str], x: str = "factor_value", y: str = "future_return_1", block: int = STABILITY_BLOCK,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Rank correlation per consecutive block of rows, and its spread over full blocks."""
+    """Rank correlation per consecutive block of rows, and its spread over full blocks.
+
+    Blocks are cut from all rows; inside a block the correlation uses the complete pairs.
+    """
     from barloom.functions.stats import with_row_index
 
     keys = list(keys)
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    blocks = with_row_index(pairs, keys, "open_time", ["symbol"], "_row").withColumn("_block", F.floor(F.col("_row") / block))
-    ics = spearman(blocks, [*keys, "_block"], x, y, "ic", rows_per_task).filter(F.col("pairs") == block)
+    blocks = with_row_index(df, keys, "open_time", ["symbol"], "_row").withColumn("_block", F.floor(F.col("_row") / block))
+    whole = blocks.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == block)
+    ics = spearman(blocks, [*keys, "_block"], x, y, "ic").join(whole, [*keys, "_block"])
     out = ics.groupBy(*keys).agg(
         F.count("ic").alias("blocks"), F.avg("ic").alias("mean_ic"), F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("std_ic"),
         F.min("ic").alias("min_ic"), F.max("ic").alias("max_ic"),
@@ -113,9 +112,8 @@ def correlation_matrix(wide: DataFrame, group: str, factors: Sequence[str], meth
     rows = wide.filter(whole)
     if method == "spearman":
         for f in factors:
-            order = Window.partitionBy(group).orderBy(f)
-            # Ranks of one factor over one group; use the long panel and `spearman` beyond a task's size.
-            rows = rows.withColumn(f, F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(group, f)) - 1) / 2)
+            ranks = value_ranks(rows, [group], f).select(group, F.col(f).alias("_value"), F.col("avg_rank").alias("_rank"))
+            rows = rows.withColumn("_value", F.col(f) + F.lit(0.0)).join(ranks, [group, "_value"]).withColumn(f, F.col("_rank")).drop("_value", "_rank")
     pairs = pair_correlations(rows, group, list(factors), signed=True)
     names = F.array(*[F.lit(f) for f in factors])
     return pairs.select(
@@ -127,12 +125,12 @@ def highly_correlated(matrix: DataFrame, limit: float = HIGH_CORRELATION) -> Dat
     return matrix.filter(F.abs("corr") >= limit)
 
 
-def leaderboard(panel: DataFrame, horizons: Sequence[int] = (1, 5, 10, 20), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def leaderboard(panel: DataFrame, horizons: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """Mean rank correlation per factor over every symbol, timeframe and horizon, best first."""
     names = [f"future_return_{h}" for h in horizons]
     keys = ["factor_name", "symbol", "timeframe"]
     long = panel.unpivot([*keys, "factor_value"], names, "horizon", "forward_return")
-    runs = spearman(long, [*keys, "horizon"], "factor_value", "forward_return", "rank_ic", rows_per_task)
+    runs = spearman(long, [*keys, "horizon"], "factor_value", "forward_return", "rank_ic")
     out = runs.groupBy("factor_name").agg(
         F.count("rank_ic").alias("runs"), F.count_if(F.col("rank_ic").isNull()).alias("skipped"), F.avg("rank_ic").alias("mean_rank_ic")
     )
@@ -146,26 +144,26 @@ def research_summary(ics: DataFrame) -> DataFrame:
     ).agg(F.count("ic").alias("runs"), F.avg("ic").alias("mean_ic"), F.max("ic").alias("best_ic"), F.min("ic").alias("worst_ic"))
 
 
-def prediction_distribution(predictions: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def prediction_distribution(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Moments, percentiles and sign shares of predictions per key."""
     p = F.col("prediction")
     stats = predictions.groupBy(*keys).agg(
         F.count(p).alias("count"), F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"),
         (F.count_if(p > 0) / F.count(p)).alias("positive_ratio"), (F.count_if(p < 0) / F.count(p)).alias("negative_ratio"),
     )
-    cuts = quantiles(predictions, keys, "prediction", [0.5, *PERCENTILES], rows_per_task)
+    cuts = quantiles(predictions, keys, "prediction", [0.5, *PERCENTILES])
     named = cuts.select(*keys, F.col("quantiles")[0].alias("median"), *[
         F.col("quantiles")[i + 1].alias(f"p{str(q)[2:].ljust(2, '0')}") for i, q in enumerate(PERCENTILES)
     ])
     return stats.join(named, list(keys))
 
 
-def threshold_profiles(predictions: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def threshold_profiles(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Buy and sell thresholds per key and profile with the signal shares they would give."""
     keys = list(keys)
     names = list(PROFILES)
     wanted = [q for pair in PROFILES.values() for q in pair]
-    cuts = quantiles(predictions, keys, "prediction", wanted, rows_per_task)
+    cuts = quantiles(predictions, keys, "prediction", wanted)
     profiles = cuts.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(n).alias("profile"), F.col("quantiles")[2 * i].alias("buy_threshold"), F.col("quantiles")[2 * i + 1].alias("sell_threshold"))
         for i, n in enumerate(names)
@@ -178,8 +176,8 @@ def threshold_profiles(predictions: DataFrame, keys: Sequence[str], rows_per_tas
     return hits.withColumn("expected_hold_ratio", 1 - F.col("expected_buy_ratio") - F.col("expected_sell_ratio"))
 
 
-def calibrate(predictions: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def calibrate(predictions: DataFrame) -> DataFrame:
     """Profiles per (symbol, timeframe) and over all predictions of a model (symbol and timeframe ``*``)."""
     keys = ["symbol", "timeframe", "model_name", "model_version"]
     everything = predictions.withColumn("symbol", F.lit("*")).withColumn("timeframe", F.lit("*"))
-    return threshold_profiles(predictions, keys, rows_per_task).unionByName(threshold_profiles(everything, keys, rows_per_task))
+    return threshold_profiles(predictions, keys).unionByName(threshold_profiles(everything, keys))

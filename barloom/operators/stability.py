@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import ROWS_PER_TASK, quantiles
+from barloom.functions.stats import quantiles
 
 from .panel import BAR_KEY
 
@@ -26,7 +26,9 @@ def factor_stability(fold_ics: DataFrame, keys: Sequence[str] = ("timeframe", *F
     ic = F.col("oriented_oos_ic")
     out = fold_ics.groupBy(*keys).agg(
         F.count(ic).alias("folds"), F.count_if(ic > 0).alias("positive_folds"), F.count_if(ic < 0).alias("negative_folds"),
-        F.avg(ic).alias("mean_oriented_ic"), F.avg("raw_oos_ic").alias("mean_raw_ic"), F.max("selection_ic").alias("selection_ic"),
+        F.avg(ic).alias("mean_oriented_ic"), F.avg("raw_oos_ic").alias("mean_raw_ic"),
+        F.count_if(F.col("raw_oos_ic") > 0).alias("positive_raw_folds"), F.count_if(F.col("raw_oos_ic") < 0).alias("negative_raw_folds"),
+        F.max("selection_ic").alias("selection_ic"), F.max("selection_rank_ic").alias("selection_rank_ic"),
     )
     mean, folds = F.col("mean_oriented_ic"), F.col("folds")
     all_up, all_down = F.col("positive_folds") == folds, F.col("negative_folds") == folds
@@ -61,10 +63,14 @@ def in_out_class(inside: Column, outside: Column) -> Column:
 
 
 def classified(stability: DataFrame) -> DataFrame:
-    """Orientation class on the raw IC and in-sample/out-of-sample class on the oriented one."""
+    """Orientation and in-sample/out-of-sample class, both on the raw IC of the folds.
+
+    In sample counts the selection's rank IC, or its IC where there is none.
+    """
+    inside = F.coalesce("selection_rank_ic", "selection_ic")
     return stability.withColumn(
-        "orientation_class", orientation_class(F.col("mean_oriented_ic"), F.col("positive_folds"), F.col("negative_folds"))
-    ).withColumn("in_out_class", in_out_class(F.col("selection_ic"), F.col("mean_raw_ic")))
+        "orientation_class", orientation_class(F.col("mean_raw_ic"), F.col("positive_raw_folds"), F.col("negative_raw_folds"))
+    ).withColumn("in_out_class", in_out_class(inside, F.col("mean_raw_ic")))
 
 
 def cross_timeframe(stability: DataFrame) -> DataFrame:
@@ -233,37 +239,39 @@ def null_cause(table: DataFrame) -> DataFrame:
     return table.withColumn("null_cause", cause)
 
 
-def target_distribution(oos: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def target_distribution(oos: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Moments, quantiles and sign shares of the target."""
     y = F.col("future_return_1")
     stats = oos.groupBy(*keys).agg(
         F.count(y).alias("count"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"),
         (F.count_if(y > 0) / F.count(y)).alias("positive_share"), (F.count_if(y < 0) / F.count(y)).alias("negative_share"),
     )
-    cuts = quantiles(oos, keys, "future_return_1", RETURN_QUANTILES, rows_per_task)
+    cuts = quantiles(oos, keys, "future_return_1", RETURN_QUANTILES)
     named = cuts.select(*keys, *[F.col("quantiles")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(RETURN_QUANTILES)])
     return stats.join(named, list(keys))
 
 
 def bootstrap_mean_ic(fold_ics: DataFrame, keys: Sequence[str], replicates: int = 1000, seed: int = 7) -> DataFrame:
-    """95 % interval of the mean IC: every replicate draws folds with replacement.
+    """95 % interval of the mean IC: every replicate draws folds with replacement; the order statistics at both ends.
 
-    Each (replicate, slot) picks a fold by hash, so the draw does not depend on partitioning.
+    Replicate and slot pick a fold by hash, and a draw is added in slot order, so nothing depends on partitioning.  A
+    factor's fold ICs are one array, bounded by its folds.
     """
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy("fold")
-    whole = Window.partitionBy(*keys)
-    placed = fold_ics.filter(F.col("oos_ic").isNotNull()).select(
-        *keys, "oos_ic", (F.row_number().over(order) - 1).alias("_i"), F.count(F.lit(1)).over(whole).alias("_n")
-    )
-    draws = placed.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(
-        *keys, "_rep", F.pmod(F.xxhash64("_rep", "_i", F.lit(seed)), F.col("_n")).alias("_pick")
-    )
-    drawn = draws.join(placed.select(*keys, F.col("_i").alias("_pick"), "oos_ic"), [*keys, "_pick"])
-    means = drawn.groupBy(*keys, "_rep").agg(F.avg("oos_ic").alias("_mean"))
-    cut = F.percentile("_mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*keys).agg(cut.alias("_c"), F.count(F.lit(1)).alias("replicates")).select(
-        *keys, "replicates", F.col("_c")[0].alias("low"), F.col("_c")[1].alias("high")
+    ics = fold_ics.filter(F.col("oos_ic").isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("fold", "oos_ic"))).alias("_f"))
+
+    def mean(replicate):
+        def pick(i):
+            word = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), replicate.cast("string"), F.lit(":"), i.cast("string")).cast("binary")), 1, 7)
+            return F.get("_f", F.pmod(F.conv(word, 16, 10).cast("long"), F.size("_f")).cast("int"))["oos_ic"]
+
+        slots = F.sequence(F.lit(0), F.size("_f") - 1)
+        return F.aggregate(slots, F.lit(0.0), lambda total, i: total + pick(i)) / F.size("_f")
+
+    means = ics.withColumn("_means", F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(replicates)), mean)))
+    low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
+    return means.select(
+        *keys, F.lit(replicates).cast("long").alias("replicates"), F.get("_means", F.lit(low)).alias("low"), F.get("_means", F.lit(high)).alias("high")
     )
 
 

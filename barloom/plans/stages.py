@@ -16,9 +16,13 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; only a session on one machine may go without and then gets its own."""
     configured = spark.sparkContext.getConf().get(CHECKPOINT_SETTING) or spark.conf.get(CHECKPOINT_SETTING, None)
-    return configured.rstrip("/") if configured else tempfile.mkdtemp(prefix="barloom-")
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='barloom-')}"
 
 
 class StageStore:

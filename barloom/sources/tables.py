@@ -73,32 +73,40 @@ def write_partitions(df: DataFrame, path: str, partitions: Sequence[str] = PARTI
     )
 
 
-def merge_rows(stored: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merge_rows(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], arrival: str | None = None) -> DataFrame:
     """Union in which an incoming row replaces the stored row of the same key.
 
+    Of several rows of one key in a load the one with the greatest ``arrival`` stays, else the one with the greatest values.
     Newest-by-load as an aggregate rather than a window: copies of one key combine before the shuffle.
     """
     rows = stored.withColumn("_load", F.lit(0)).unionByName(incoming.withColumn("_load", F.lit(1)))
     rest = [c for c in stored.columns if c not in keys]
-    newest = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct("_load", *rest))
+    newest = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct("_load", *([arrival] if arrival else []), *rest))
     return rows.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*stored.columns)
 
 
-def upsert(spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] = PARTITIONS) -> None:
+def upsert(
+    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str], partitions: Sequence[str] = PARTITIONS, arrival: str | None = None
+) -> None:
     """Merge ``incoming`` into the table at ``path``, rewriting only the partitions it touches."""
     try:
         stored = read_table(spark, path)
-    except AnalysisException:  # no table yet
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # No table yet.
         write_partitions(incoming, path, partitions)
         return
     touched = incoming.select(*partitions).distinct()
     # Partitions touched by one load: a handful of (timeframe, year) pairs, bounded by the calendar.
     old = stored.join(F.broadcast(touched), list(partitions), "left_semi").select(*incoming.columns)
-    merged = merge_rows(old, incoming, keys)
+    merged = merge_rows(old, incoming, keys, arrival)
     staging = f"{path}_staging/{uuid.uuid4().hex[:12]}"
     write_partitions(merged, staging, partitions)
     # The merge reads the partitions it replaces, so it is written aside first.
     write_partitions(read_table(spark, staging), path, partitions)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    aside.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(aside, True)
 
 
 def split_by_year(df: DataFrame, time: str = "open_time") -> DataFrame:

@@ -166,3 +166,21 @@ def test_feature_zero_variance_rules(spark):
     last = out.orderBy(F.col("open_time").desc()).first()
     assert last.funding_zscore == 0.0 and last.oi_zscore is None and last.ratio_zscore is None and last.rolling_std == 0.0
     assert math.isclose(last.rolling_std, 0.0)
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 0.99, 1.0])
+def test_ewm_keeps_all_history(spark, alpha):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from barloom.functions.series import evaluate
+
+    values = np.random.default_rng(4).normal(100, 10, 20_000)
+    values[0] = 1e9  # a first value that a truncated history would lose
+    df = spark.createDataFrame(pd.DataFrame({
+        "symbol": "a", "timeframe": "1m", "year": 2024, "open_time": np.arange(len(values)) * 60_000, "close": values}))
+    got = evaluate(df, {"m": lambda s: s.ewm("close", alpha, 1)}, ["open_time"]).orderBy("open_time").toPandas()["m"].to_numpy()
+    want, y = [], None
+    for v in values:
+        y = v if y is None else (1 - alpha) * y + alpha * v
+        want.append(y)
+    assert np.allclose(got, want, rtol=1e-9)
