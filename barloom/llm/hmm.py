@@ -270,7 +270,7 @@ def count_words(documents: DataFrame, known_words: int = KNOWN_WORDS) -> Languag
     own = np.arange(len(keys)) < OWN_CLASSES
     classes = np.where(own, np.arange(len(keys)), shared_class(keys)).astype(np.int32)
     number, outcomes = unknown_class() + 1, float(total + distinct + 1)
-    mass = np.bincount(classes, head.column("count").to_numpy() + 1.0, number)
+    mass = np.bincount(classes, head.column("count").to_numpy() + 1.0, number).astype(float)
     if distinct > len(keys):
         # The rest of the training words, summed by shared class: a row per class.
         head_words = spark.createDataFrame(head.select(["word"]).to_pandas())

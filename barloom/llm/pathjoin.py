@@ -34,6 +34,7 @@ SIGNATURE = 64
 #: Least share of equal signature places that makes a candidate: five deviations below SIMILARITY.
 LEAST_AGREEMENT = 0.55
 BLOCK = 192  # sets of a group that are compared with as many others in one task
+WANTED_BUCKETS = 1 << 20
 _ODD = np.random.default_rng(31).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = 2.0**64
 
@@ -341,7 +342,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
                         .join(described.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("key").alias("key")), "node")
                         .withColumn("block", ((F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1) / BLOCK).cast("int")))
     blocks = groups.groupBy("root").agg((F.max("block") + 1).alias("blocks"))
-    cells = (keyed.select("key", "text").join(groups.join(blocks, "root"), "key")
+    # Few texts are wanted while the corpus is small: a table of key remainders, WANTED_BUCKETS rows at most, sifts them
+    # before the shuffle.  The join that follows is the same at every size.
+    bucket_of = F.pmod(F.col("key"), F.lit(WANTED_BUCKETS)).alias("part")
+    wanted = groups.select(bucket_of).distinct()
+    texts = keyed.select("key", "text", bucket_of).join(F.broadcast(wanted), "part", "left_semi").drop("part")
+    cells = (texts.join(groups.join(blocks, "root").hint("merge"), "key")
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("root", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "node", "block", "copies", "text"))
     verified = work.store("verified", cells.repartition(partitions, "root", "one", "two").sortWithinPartitions("root", "one", "two", "node")
