@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -30,3 +34,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(session: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    application = session.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="barloom-package-")) / "barloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    session.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(application)
