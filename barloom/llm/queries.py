@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, pathjoin, records, sharding, suffixdedup, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,20 +36,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-TOP_K_SQL = """
-WITH v AS (
-  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-
-@query("op2_top_k", TOP_K_SQL)
+@query("op2_top_k", oracles.TOP_K)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best inner products of every 20th vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), 20, 20)
@@ -86,7 +73,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", oracles.LICENSES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,7 +97,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", F.round("share", 6).alias("share"), "exact")
 
 
-@query("op5_repeated_strings")
+@query("op5_repeated_strings", oracles.REPEATED_STRINGS)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without strings of 200 bytes that stand elsewhere too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,7 +106,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op4_near_duplicates")
+@query("op4_near_duplicates", oracles.NEAR_DUPLICATES)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")
