@@ -45,8 +45,8 @@ def members(s, d):
 
 
 add("fold_row_index",
-    lambda s, d: fold_rows(s, d).select("timeframe", "row_id", "selection_time", "symbol", "factor_name").filter(F.col("timeframe") == "1h"),
-    f"WITH {ORDERED} SELECT timeframe, row_id, selection_time, symbol, factor_name FROM rows WHERE timeframe = '1h'")
+    lambda s, d: fold_rows(s, d).select("timeframe", "row_id", "selection_time", "symbol", "factor_name"),
+    f"WITH {ORDERED} SELECT timeframe, row_id, selection_time, symbol, factor_name FROM rows")
 add("fold_metrics", lambda s, d: folds.fold_metrics(fold_rows(s, d)), f"WITH {ORDERED} SELECT * FROM metrics", ["mean_return", "sharpe", "win_rate"])
 add("walk_forward", lambda s, d: folds.walk_forward(folds.fold_metrics(fold_rows(s, d))), f"WITH {ORDERED} SELECT * FROM walk",
     ["train_score", "test_score", "overfit_gap"])
@@ -73,9 +73,9 @@ st AS (SELECT timeframe, fold, {STATS}, min(future_return_1) AS oos_return_min,
 SELECT m.timeframe, m.fold, m.test_rows AS oos_rows, m.train_rows, coalesce(oos_non_null_returns, 0) AS oos_non_null_returns,
   st.* EXCLUDE (timeframe, fold, oos_non_null_returns, growth), m.status FROM metrics m LEFT JOIN st USING (timeframe, fold)""",
     [*OOS_DOUBLES, "oos_return_min", "oos_return_max"])
-add("factor_train_counts", lambda s, d: folds.factor_train_counts(fold_rows(s, d)).filter(F.col("timeframe") == "1h"), f"""WITH {ORDERED}
+add("factor_train_counts", lambda s, d: folds.factor_train_counts(fold_rows(s, d)), f"""WITH {ORDERED}
 SELECT nf.timeframe, factor_name, factor_version, CAST(nf.k + 1 AS INTEGER) AS fold, count(*) AS train_rows
-FROM nf JOIN rows r ON r.timeframe = nf.timeframe AND r.row_id >= nf.k * 63 AND r.row_id < nf.k * 63 + 252 WHERE nf.timeframe = '1h' GROUP BY ALL""")
+FROM nf JOIN rows r ON r.timeframe = nf.timeframe AND r.row_id >= nf.k * 63 AND r.row_id < nf.k * 63 + 252 GROUP BY ALL""")
 
 
 def rank_sql(keys: str, value: str) -> str:

@@ -58,14 +58,14 @@ panel AS MATERIALIZED (SELECT long.*, {', '.join(RET)} FROM long JOIN labels_all
 CATEGORY_SQL = "CASE factor_name " + " ".join(f"WHEN '{n}' THEN '{CATALOG[n].category}'" for n in PANEL_FACTORS) + " END"
 
 add("factor_panel_long",
-    lambda s, d: factor_panel(s, d).filter(F.col("timeframe") == "1h").select(
+    lambda s, d: factor_panel(s, d).select(
         "symbol", "timeframe", "open_time", "factor_name", "factor_version", "factor_category", "factor_value", "lookback"),
     f"""WITH {PANEL_SQL} SELECT symbol, timeframe, open_time, factor_name, factor_version, {CATEGORY_SQL} AS factor_category,
   factor_value, CAST(CASE factor_name {' '.join(f"WHEN '{n}' THEN {CATALOG[n].lookback}" for n in PANEL_FACTORS)} END AS INTEGER) AS lookback
-FROM long WHERE timeframe = '1h'""", ["factor_value"])
+FROM long""", ["factor_value"])
 add("long_to_wide",
-    lambda s, d: long_to_wide(factor_panel(s, d).filter(F.col("timeframe") == "1h"), PANEL_FACTORS),
-    f"WITH {PANEL_SQL} SELECT symbol, timeframe, open_time, {WIDE_COLS} FROM wide WHERE timeframe = '1h'", PANEL_FACTORS)
+    lambda s, d: long_to_wide(factor_panel(s, d), PANEL_FACTORS),
+    f"WITH {PANEL_SQL} SELECT symbol, timeframe, open_time, {WIDE_COLS} FROM wide", PANEL_FACTORS)
 add("read_panel_pushdown",
     lambda s, d: restrict_panel(factor_panel(s, d), ["momentum", "atr_percent"], ["1.0.0"], 946684800000, 978307200000,
                                 ["symbol", "open_time", "factor_name", "factor_value"]),

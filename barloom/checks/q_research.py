@@ -145,10 +145,10 @@ SELECT symbol, timeframe, open_time, model_name, model_version, CASE WHEN predic
   WHEN prediction <= quantile_cont(prediction, 0.05) OVER g THEN 'SELL' ELSE 'HOLD' END AS signal FROM predictions WINDOW g AS (PARTITION BY symbol, timeframe)""")
 add("rolling_research",
     lambda s, d: folds.fold_factor_metrics(folds.out_of_sample(
-        folds.indexed(evaluated(s, d).filter(F.col("timeframe") == "1h"), by="time"), folds.Layout(252, 63, 63))).select(
+        folds.indexed(evaluated(s, d), by="time"), folds.Layout(252, 63, 63))).select(
         "timeframe", "fold", "factor_name", "oos_rows", "raw_oos_ic"), f"""WITH {ORDERED},
 tt AS (SELECT timeframe, selection_time, row_number() OVER (PARTITION BY timeframe ORDER BY selection_time) - 1 AS ti, count(*) OVER (PARTITION BY timeframe) AS tn
-  FROM (SELECT DISTINCT timeframe, selection_time FROM evaluation WHERE timeframe = '1h')),
+  FROM (SELECT DISTINCT timeframe, selection_time FROM evaluation)),
 ro AS MATERIALIZED (SELECT e.*, CAST((ti - 252) // 63 + 1 AS INTEGER) AS fold FROM evaluation e JOIN tt USING (timeframe, selection_time) WHERE ti >= 252 AND (ti - 252) // 63 <= (tn - 315) // 63),
 st AS (SELECT {FF}, count(*) AS oos_rows FROM ro WHERE selected GROUP BY ALL)
 SELECT timeframe, fold, factor_name, oos_rows, raw_oos_ic FROM st LEFT JOIN {ic_pair_sql(FF, 'ro')} i USING ({FF})""", ["raw_oos_ic"])
@@ -284,16 +284,13 @@ add("factor_coverage", lambda s, d: stability.coverage(purged_rows(s, d)), f"WIT
 
 
 def _null_causes(s, d):
-    """Coverage with the first month's rows only for one factor, to show the causes."""
-    rows = purged_rows(s, d)
-    early = rows.filter((F.col("factor_name") != "momentum") | (F.col("open_time") < 791_596_800_000))
-    table = stability.coverage(early).withColumn("store_null_rate", F.col("null_rate")).withColumn("input_null_rate", F.lit(0.0)).withColumn(
+    table = stability.coverage(purged_rows(s, d)).withColumn("store_null_rate", F.col("null_rate")).withColumn("input_null_rate", F.lit(0.0)).withColumn(
         "store_first_value", F.col("first_value")).withColumn("effective_warmup", F.lit(40))
     return stability.null_cause(table).select("timeframe", "factor_name", "null_cause")
 
 
 add("null_causes", _null_causes, f"""WITH {PURGED},
-cv AS (SELECT timeframe, factor_name, count(*) FILTER (factor_value IS NULL) / count(*) AS r, count(DISTINCT open_time) AS b FROM poos WHERE factor_name <> 'momentum' OR open_time < 791596800000 GROUP BY ALL)
+cv AS (SELECT timeframe, factor_name, count(*) FILTER (factor_value IS NULL) / count(*) AS r, count(DISTINCT open_time) AS b FROM poos GROUP BY ALL)
 SELECT timeframe, factor_name, CASE WHEN r >= 1 AND 40 > b THEN 'ROLLING_WINDOW_TOO_LARGE' WHEN r >= 0.9 THEN 'INSUFFICIENT_HISTORY' ELSE 'UNKNOWN' END AS null_cause FROM cv""")
 QN = [f"q{int(q * 100):02d}" for q in stability.RETURN_QUANTILES]
 add("target_distribution", lambda s, d: stability.target_distribution(purged_rows(s, d).filter("selected"), ["timeframe", "fold"]), f"""WITH {PURGED}
