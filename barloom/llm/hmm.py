@@ -26,7 +26,7 @@ SEGMENT = 64
 RESCALE = 8  # steps between rescalings
 OWN_CLASSES = 1 << 15  # words with a class of their own
 SHARED_CLASSES = 1 << 10  # classes of the other training words
-KNOWN_WORDS = 2_000_000  # commonest words whose counts every task holds (16 bytes each); others are joined
+KNOWN_WORDS = 200_000  # commonest words whose counts every task holds (16 bytes each); others are joined
 ITERATIONS = 4
 PRIOR = 10.0
 #: Counts travel as whole multiples of this, so that sums do not depend on their order.
