@@ -17,7 +17,7 @@ def fold_ordered(
     """Append the ``outputs`` that ``step`` yields for every row, key by key in order.
 
     Keys are hashed to tasks and sorted there; rows stream through in Arrow batches, so a long key
-    costs time in one task but never memory.
+    costs time in one task but never memory.  A null or NaN key is a key like any other.
     """
     keys, inputs = list(keys), list(inputs)
     names = [part.strip().split()[0] for part in outputs.split(",")]
@@ -30,6 +30,7 @@ def fold_ordered(
             for key, row in zip(
                 zip(*[batch[k] for k in keys]), zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in inputs])
             ):
+                key = tuple(None if pd.isna(part) else part for part in key)
                 if key != current:
                     current, state = key, None
                 state, values = step(state, row)

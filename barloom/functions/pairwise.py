@@ -78,12 +78,13 @@ def pair_correlations(
     columns = list(columns)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        moments: dict[str, PairMoments] = {}
+        moments: dict[str | None, PairMoments] = {}
         for batch in batches:
-            for key, part in batch.groupby(group, sort=False):
+            for key, part in batch.groupby(group, sort=False, dropna=False):
                 values = part[columns].to_numpy(dtype=float)
                 values = signals(values) if signals else values
-                moments.setdefault(str(key), PairMoments(values.shape[1])).add(values)
+                name = None if pd.isna(key) else str(key)
+                moments.setdefault(name, PairMoments(values.shape[1])).add(values)
         for key, m in moments.items():
             yield m.rows(key)
 

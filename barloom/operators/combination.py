@@ -99,11 +99,12 @@ def orthogonal_combinations(
     layout = placed.select("timeframe", "position", "factor_names", "factor_versions").collect()
     factors = sorted({(n, v) for r in layout for n, v in zip(r.factor_names, r.factor_versions)})
     column = {f: f"f{i}" for i, f in enumerate(factors)}
-    wide = panel.groupBy(*BAR_KEY).agg(*[
+    values = [
         F.first(F.when((F.col("factor_name") == n) & (F.col("factor_version") == v), F.col("factor_value")), ignorenulls=True)
         .alias(column[(n, v)])
         for n, v in factors
-    ])
+    ]
+    wide = panel.groupBy(*BAR_KEY).agg(*values) if values else None
     parts = []
     for timeframe in sorted({r.timeframe for r in layout}):
         rows = sorted((r for r in layout if r.timeframe == timeframe), key=lambda r: r.position)
@@ -118,7 +119,8 @@ def orthogonal_combinations(
 
         here = wide.filter(F.col("timeframe") == timeframe)
         parts.append(pair_correlations(here, "timeframe", [column[f] for f in factors], signals))
-    pairs = parts[0]
+    # Without a combination there is no pair either.
+    pairs = parts[0] if parts else combos.sparkSession.createDataFrame([], "timeframe string, a int, b int, overlap long, abs_corr double")
     for other in parts[1:]:
         pairs = pairs.unionByName(other)
     decisions = greedy_decisions(pairs, placed, "timeframe", max_correlation, min_overlap)
