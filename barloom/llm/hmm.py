@@ -431,7 +431,8 @@ def scored(documents: DataFrame, training, iterations: int = ITERATIONS, known_w
 
     The model learns from the rows where the column expression ``training`` holds.  A null or empty text is one end token;
     repeated rows are scored each; an empty table gives no rows.  Columns of ``documents`` called like the new ones are
-    kept with a leading underscore.  Texts are read twice; the rounds of training read stored classes.
+    kept with a leading underscore.  Texts are read twice; the rounds of training read stored classes.  The model returned
+    can score the stored classes only, as its full word counts are dropped.
     """
     mark = free_name(documents, "_training")
     df = documents.withColumn(mark, F.coalesce(training, F.lit(False)))
@@ -440,5 +441,6 @@ def scored(documents: DataFrame, training, iterations: int = ITERATIONS, known_w
             df = df.withColumnRenamed(have, free_name(df, f"_{name}"))
     language = count_words(df.where(mark), known_words)
     encoded = language.work.store("classes", encode(df, language))
+    language.work.drop("counts")
     fit(language, encoded.where(mark), iterations)
     return score(encoded, language).drop(mark), language

@@ -357,6 +357,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = keyed.select("key", "doc_id").join(described.select("key", "node").distinct(), "key")
     rows = work.store("rows", rows.join(classes, "node", "left").join(links, "node", "left")
                       .withColumn("class", F.coalesce("root", "node")).drop("root"))
+    for name in ("sets", *(f"level-{depth}" for depth in range(LEVELS)), "groups", "verified"):
+        work.drop(name)  # what follows reads the rows alone
     # Counts of copies and classes combine before the shuffle.
     copies = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
     sizes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))

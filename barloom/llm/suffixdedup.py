@@ -177,6 +177,7 @@ def without_repeats(documents: DataFrame, kept: str = "kept", spans: str = "n_sp
     runs = (cut.repartition(partitions, "anchor").sortWithinPartitions("anchor", "content")
             .mapInArrow(_sort_buckets, "anchor long, content long, runs array<long>"))
     settled = work.store("settled", distinct.select("anchor", "content", "copies").join(runs, ["anchor", "content"], "left"))
+    work.drop("distinct")
     whole = F.array("place")
     inside = F.transform("runs", lambda r: F.col("place") - F.col("place").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)) + r)
     spans_of = (shared.where(~F.col("mixed")).select("key", whole.alias("found")).unionByName(
