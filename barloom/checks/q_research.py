@@ -263,7 +263,22 @@ def _status(s, d):
     return stability.timeframe_status(stable(s, d), pooled, pooled)
 
 
-add("stability_status", _status)
+add("stability_status", _status, f"""WITH {FIC},
+sf AS (SELECT timeframe, fold FROM poos WHERE selected GROUP BY ALL),
+pool AS (SELECT timeframe, avg(oriented_oos_ic) AS ic, count(*) AS folds, count(*) FILTER (oriented_oos_ic < 0) AS negative_folds
+  FROM sf LEFT JOIN {ic_pair_sql('timeframe, fold', 'poos')} i USING (timeframe, fold) GROUP BY timeframe),
+fa AS (SELECT timeframe, count(*) AS factors, {', '.join(f"count(*) FILTER (stability_class = '{label}') AS {name}" for label, name in (
+    ('STABLE_POSITIVE', 'up'), ('MIXED', 'mixed'), ('STABLE_NEGATIVE', 'down'), ('ORIENTATION_INSUFFICIENT', 'turned'), ('INSUFFICIENT_DATA', 'empty')))},
+  avg(CAST(mean_oriented_ic > 0 AS INTEGER)) AS positive_share, count(*) FILTER (abs(selection_ic) > 0 AND mean_oriented_ic < 0) AS lost FROM fs GROUP BY timeframe),
+ss AS (SELECT fa.*, ic AS walk_ic, folds, negative_folds, ic AS purged_ic, CASE WHEN factors = empty THEN 'INSUFFICIENT_DATA'
+  WHEN turned > 0 AND turned >= up AND turned >= mixed AND NOT coalesce(ic > 0, false) THEN 'ORIENTATION_INSUFFICIENT' WHEN 2 * lost > factors THEN 'SELECTION_DEGRADATION'
+  WHEN positive_share >= 0.5 AND down = 0 AND (up > 0 OR (mixed > 0 AND positive_share >= 0.9 AND turned = 0)) AND ic > 0 THEN 'STABLE_SIGNAL' ELSE 'MIXED_STABILITY' END AS status
+  FROM fa LEFT JOIN pool USING (timeframe))
+SELECT * EXCLUDE (ic_weak), CASE WHEN status = 'INSUFFICIENT_DATA' OR coalesce(folds, 0) = 0 THEN 'INSUFFICIENT_DATA' WHEN ic_weak AND 2 * negative_folds > folds THEN 'TIMEFRAME_SIGNAL_WEAKNESS'
+  WHEN 2 * lost > factors THEN 'SELECTION_OVERFITTING' WHEN status = 'ORIENTATION_INSUFFICIENT' THEN 'FACTOR_ORIENTATION_INSUFFICIENT' WHEN status = 'STABLE_SIGNAL' THEN 'STABLE_SIGNAL'
+  WHEN ic_weak THEN 'TIMEFRAME_SIGNAL_WEAKNESS' WHEN walk_ic > 0 AND positive_share >= 0.5 THEN 'STABLE_SIGNAL' WHEN walk_ic > 0 THEN 'SELECTION_OVERFITTING'
+  WHEN walk_ic IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'TIMEFRAME_SIGNAL_WEAKNESS' END AS verdict
+FROM (SELECT *, coalesce(walk_ic <= 0, false) AS ic_weak FROM ss)""", ["positive_share", "walk_ic", "purged_ic"])
 add("redundancy_groups",
     lambda s, d: stability.redundancy_groups(research.correlation_matrix(wide_five(s, d), "timeframe", FIVE, "spearman"), 0.6), f"""WITH RECURSIVE m AS MATERIALIZED ({_matrix_sql('spearman')}),
 e AS (SELECT timeframe, factor_a AS a, factor_b AS b FROM m WHERE abs(corr) >= 0.6 UNION SELECT timeframe, factor_b, factor_a FROM m WHERE abs(corr) >= 0.6),
