@@ -18,7 +18,7 @@ from barloom.llm.textops import ALNUM_BYTES, ASCII_LOWER, SpanHash, buffers, mix
 from barloom.llm.work import Workspace
 
 WIDTH = 8  # words of a window
-LEAST_LITERAL = 3  # of them, those that must not be placeholders
+LEAST_LITERAL = 3  # of them, those that are literal; with fewer, numbers, names and units count by value
 LEAST_SHARE = 0.5  # of an item's windows
 FILTER_WINDOWS = 4_000_000  # benchmark windows up to which their hashes (8 bytes each) sift the documents' windows early
 
@@ -27,6 +27,7 @@ UNITS = ("mm cm m km mg g kg t ml l s ms min h hr hrs hour hours minute minutes
          " months year years meter meters metre metres mile miles foot feet inch inches gram grams liter liters litre litres"
          " percent dollar dollars euro euros cent cents usd eur gbp degree degrees").split()
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F3A5C7E9B2D4F61, 0x2E4B6D8FA1C3E507, 0x3D5F7A9CBED0F218))
+_STEP, _EXACT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5B7D9FA1C3E50719)
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?\n:"]] = True
 
@@ -64,10 +65,13 @@ def template_windows(raw: np.ndarray, offsets: np.ndarray, widths: list[int], wh
     """Windows of the given widths: hash, document, first word, width, and slots of each of its words.
 
     With ``whole`` a document shorter than WIDTH words has one window of all its words and others have windows of WIDTH.
+    Windows of fewer than LEAST_LITERAL literal words (all of them, in shorter windows) hold the slot values themselves in
+    place of the placeholders, so only the same numbers and names meet there.
     """
     canonical, slot, doc = templates(raw, offsets)
     length = np.bincount(doc, minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1, np.int64)
     begin = np.cumsum(length) - length
+    by_value = np.where(slot == 0, canonical, slot)
     out = []
     for width in widths:
         n = len(canonical) - width + 1
@@ -76,11 +80,12 @@ def template_windows(raw: np.ndarray, offsets: np.ndarray, widths: list[int], wh
         first = np.flatnonzero(doc[:n] == doc[width - 1:])
         if whole:
             first = first[length[doc[first]] == width] if width < WIDTH else first
-        total, literal = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        total, exact, literal = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
         for k in range(width):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + canonical[k:k + n]
+            total = total * _STEP + canonical[k:k + n]
+            exact = exact * _STEP + by_value[k:k + n]
             literal += slot[k:k + n] == 0
-        first = first[literal[first] >= min(LEAST_LITERAL, width)]
+        total = np.where(literal >= min(LEAST_LITERAL, width), total, exact + _EXACT)
         out.append((mix(total[first] + np.uint64(width)), doc[first], first, np.full(len(first), width)))
     if not out:
         out = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))]
@@ -113,7 +118,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored.  ``key`` is a hash of
     doc_id and text that equal rows share; repeated rows give one row.  ``share`` is the part of the item's windows found,
     ``exact`` tells whether all slots are as in the item.  Null or empty texts hold nothing and leak nothing; an item of
-    fewer than WIDTH words has one window of all its words.  Repeated items are reported by each of their ids.
+    fewer than WIDTH words has one window of all its words.  Where few words are literal, numbers and names must be the same.  Repeated items are reported by each of their ids.
     """
     spark = documents.sparkSession
     work = Workspace(spark, "decontaminate")

@@ -161,6 +161,13 @@ def test_leaks_without_the_early_filter_are_the_same(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == want
 
 
+def test_leaks_of_items_with_few_literal_words(spark):
+    items = [(1, "What is 12 + 7 * 30 - 5 / 2"), (2, "Add 4 8 15 16 23 42 108 and 9"), (3, "Answer 42")]
+    docs = [(i, f"Some words first. {text}. Some words last.") for i, text in items] + [(4, "Well. What is 13 + 8 * 31 - 6 / 3"), (5, "Reply 42. Answer 43.")]
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 3, True)}
+
+
 def test_license_places_and_notices(spark):
     docs = [(1, "CC BY, cc-by. Cc By"), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0."), (5, "apache version license 2.0 the under"),
             (6, "x" * 50_000 + " all rights   reserved! General Public\nLicense"), (7, "---"), (7, "---"), (None, "Knnow all rights reserved")]
