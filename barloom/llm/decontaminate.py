@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates: windows of canonical words are hash-joined, then slots are checked.
 
-Numbers, names and units become typed placeholders, so a question with other numbers or names keeps its template.  A
-document leaks an item where enough of the item's template windows stand in it, at one relative position, with slot values
-that map one to one: the same number or name in the item is the same one in the document, and the other way round.
+Numbers (3, 3.5, 1,250), runs of names and units become typed placeholders, so a question with other numbers or names keeps
+its template.  A document leaks an item where template windows that stand in it, at neighbouring relative positions, hold
+enough of the item's words, with slot values that map one to one: the same number or name in the item is the same one in the
+document, and the other way round.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from barloom.llm.work import Workspace
 WIDTH = 8  # words of a window
 LEAST_LITERAL = 3  # of them, those that are literal; with fewer, numbers, names and units count by value
 LEAST_SHARE = 0.5  # of an item's windows
+NEAR_SHIFTS = 8  # relative positions that add up, so that words put in or left out do not part a copy
+LONG_RUN = 24  # consecutive words of an item that are a leak whatever their share
 FILTER_WINDOWS = 4_000_000  # benchmark windows up to which their hashes (8 bytes each) sift the documents' windows early
 
 #: Words that are units when they follow a number.
@@ -30,10 +33,17 @@ _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F3A5C7E9B2D4F61, 0x2E4B6D8FA1
 _STEP, _EXACT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5B7D9FA1C3E50719)
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?\n:"]] = True
+_POINT, _JOINS_NAMES = np.zeros(256, bool), np.zeros(256, bool)
+_POINT[[ord(c) for c in ".,"]] = True
+_JOINS_NAMES[[ord(c) for c in " \t\r-'"]] = True
 
 
 def templates(raw: np.ndarray, offsets: np.ndarray):
-    """Canonical word hashes, slot values (0 for literal words) and document of every word."""
+    """Canonical word hashes, slot values (0 for literal words) and document of every word.
+
+    Digit groups joined by one point or comma are one word, and so are names with nothing but white space, hyphens or
+    apostrophes between them.
+    """
     low = ASCII_LOWER[raw]
     starts, ends, doc = spans(low, offsets, ALNUM_BYTES)
     own = SpanHash(low)
@@ -58,11 +68,20 @@ def templates(raw: np.ndarray, offsets: np.ndarray):
     unit &= ~number
     name &= ~unit
     canonical = np.where(number, _NUMBER, np.where(name, _NAME, np.where(unit, _UNIT, value)))
-    return canonical, np.where(number | name | unit, value | np.uint64(1), np.uint64(0)), doc
+    between, breaks = starts[1:] - ends[:-1], total(~_JOINS_NAMES[raw])
+    one = doc[1:] == doc[:-1]
+    follows = np.zeros(len(starts), bool)
+    follows[1:] = one & number[1:] & number[:-1] & (between == 1) & _POINT[raw[ends[:-1].clip(0, len(raw) - 1)]]
+    follows[1:] |= one & name[1:] & name[:-1] & (breaks[starts[1:]] == breaks[ends[:-1]])
+    head = np.flatnonzero(~follows)
+    place = np.arange(len(starts)) - head[np.cumsum(~follows) - 1]
+    value = np.add.reduceat(np.where(place == 0, value, mix(value + place.astype(np.uint64))), head)
+    canonical, doc, literal = canonical[head], doc[head], ~(number | name | unit)[head]
+    return canonical, np.where(literal, np.uint64(0), value | np.uint64(1)), doc
 
 
 def template_windows(raw: np.ndarray, offsets: np.ndarray, widths: list[int], whole: bool):
-    """Windows of the given widths: hash, document, first word, width, and slots of each of its words.
+    """Windows of the given widths: hash, document, first word, width, words of the document, and slots of each of its words.
 
     With ``whole`` a document shorter than WIDTH words has one window of all its words and others have windows of WIDTH.
     Windows of fewer than LEAST_LITERAL literal words (all of them, in shorter windows) hold the slot values themselves in
@@ -90,7 +109,7 @@ def template_windows(raw: np.ndarray, offsets: np.ndarray, widths: list[int], wh
     if not out:
         out = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))]
     hashes, of, first, width = (np.concatenate(x) for x in zip(*out, strict=True))
-    return hashes, of, first - begin[of], width, first, slot
+    return hashes, of, first - begin[of], width, length[of], first, slot
 
 
 def _windows_of(column: str, widths: list[int], whole: bool, keep=None):
@@ -98,34 +117,81 @@ def _windows_of(column: str, widths: list[int], whole: bool, keep=None):
         wanted = keep.value if keep is not None else None
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, of, at, width, first, slot = template_windows(*buffers(part.column("text")), widths, whole)
+                hashes, of, at, width, length, first, slot = template_windows(*buffers(part.column("text")), widths, whole)
                 if wanted is not None:
                     place = np.searchsorted(wanted, hashes).clip(0, max(len(wanted) - 1, 0))
                     hit = np.flatnonzero(wanted[place] == hashes) if len(wanted) else np.zeros(0, np.int64)
-                    hashes, of, at, width, first = (x[hit] for x in (hashes, of, at, width, first))
+                    hashes, of, at, width, length, first = (x[hit] for x in (hashes, of, at, width, length, first))
                 ends = np.concatenate([[0], np.cumsum(width)])
                 index = np.repeat(first - ends[:-1], width) + np.arange(ends[-1])
                 values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot[index].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(column).take(pa.array(of)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int64)), values],
-                    [column, "window", "at", "slots"])
+                    [part.column(column).take(pa.array(of)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int64)),
+                     pa.array(length.astype(np.int64)), values], [column, "window", "at", "words", "slots"])
     return run
 
 
+def _covered(windows: list[int], width: int) -> int:
+    """The item's words in windows that begin at the given words, as bits."""
+    found = 0
+    for at in windows:
+        found |= ((1 << width) - 1) << at
+    return found
+
+
+def _has_run(bits: int, length: int) -> bool:
+    have = 1
+    while have < length and bits:
+        step = min(have, length - have)
+        bits &= bits >> step
+        have += step
+    return bits != 0
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Share of each item in the windows found at neighbouring shifts whose slots map one to one together.
+
+    The share counts the covered words beyond the first WIDTH - 1, so one unbroken run counts as its windows do, and a
+    word put in, left out or changed inside costs no more than itself.
+    """
+    for batch in batches:
+        rows = []
+        for key, item, words, shifts in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "words", "shifts")), strict=True):
+            width = min(WIDTH, words)
+            parts = sorted(((_covered(x["found"], width), x["shift"], x["same"], x["slots"]) for x in shifts), key=lambda x: (-x[0].bit_count(), x[1]))
+            best = None
+            for lead in parts:  # at most 2 * NEAR_SHIFTS of them
+                bits, same, there, back = 0, True, {}, {}
+                for more, _, alike, slots in [lead, *(x for x in parts if x is not lead)]:
+                    if more | bits == bits or any(there.get(a, b) != b or back.get(b, a) != a for a, b in map(dict.values, slots)):
+                        continue
+                    bits, same = bits | more, same and alike
+                    for a, b in map(dict.values, slots):
+                        there[a], back[b] = b, a
+                share = (bits.bit_count() - width + 1) / (words - width + 1)
+                if share >= LEAST_SHARE or _has_run(bits, LONG_RUN):
+                    best = max(best or (share, same), (share, same))
+            if best is not None:
+                rows.append((key, item, *best))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["key", "item", "share", "same"])
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that it leaks: key, doc_id, item_id, share, exact.
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text; other columns are ignored.  ``key`` is a hash of
     doc_id and text that equal rows share; repeated rows give one row.  ``share`` is the part of the item's windows found,
+    where windows parted by a few other words count as one run; runs of LONG_RUN words are reported with any share.
     ``exact`` tells whether all slots are as in the item.  Null or empty texts hold nothing and leak nothing; an item of
-    fewer than WIDTH words has one window of all its words.  Where few words are literal, numbers and names must be the same.  Repeated items are reported by each of their ids.
+    fewer than WIDTH words has one window of all its words.  Where few words are literal, numbers and names must be the same.
+    Repeated items are reported by each of their ids.  An item without WIDTH words in a row unchanged is not found.
     """
     spark = documents.sparkSession
     work = Workspace(spark, "decontaminate")
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = work.store("items", named.select(F.xxhash64("item_id", "text").alias("item"), "text")
-                       .mapInArrow(_windows_of("item", list(range(1, WIDTH + 1)), True), "item long, window long, at long, slots array<long>"))
-    totals = items.groupBy("item").agg(F.count("*").alias("windows"))
+                       .mapInArrow(_windows_of("item", list(range(1, WIDTH + 1)), True), "item long, window long, at long, words long, slots array<long>"))
     widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect())  # at most WIDTH of them
     n = items.count()
     keep = None
@@ -133,18 +199,22 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = items.select("window").distinct().toArrow().column("window").to_numpy().view(np.uint64)
         keep = spark.sparkContext.broadcast(np.sort(found))
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    windows = keyed.select("key", "text").mapInArrow(_windows_of("key", widths, False, keep), "key long, window long, at long, slots array<long>")
-    pairs = (windows.join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "window")
-             .select("key", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+    windows = keyed.select("key", "text").mapInArrow(_windows_of("key", widths, False, keep), "key long, window long, at long, words long, slots array<long>")
+    pairs = (windows.drop("words").join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "window")
+             .select("key", "item", "words", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
                      F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots")))
     slots = F.array_distinct(F.flatten(F.collect_set("slots")))
     # Groups are bounded by an item's windows: at one relative position each stands once.
-    placed = pairs.groupBy("key", "item", "shift").agg(F.collect_set("item_at").alias("found"), slots.alias("slots"))
+    placed = pairs.groupBy("key", "item", "words", "shift").agg(F.collect_set("item_at").alias("found"), slots.alias("slots"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side]))) == F.size("slots")
     consistent = placed.where(one_way("item_slots") & one_way("slots")).withColumn(
         "same", F.forall("slots", lambda x: x["item_slots"] == x["slots"]))
-    best = (consistent.join(totals, "item").withColumn("share", F.size("found") / F.col("windows"))
-            .groupBy("key", "item").agg(F.max(F.struct("share", "same")).alias("best")).where(F.col("best.share") >= LEAST_SHARE))
+    # Each shift is in two ranges of 2 * NEAR_SHIFTS, so any two that near meet in one; groups stay bounded.
+    cell = F.floor(F.col("shift") / NEAR_SHIFTS)
+    near = (consistent.withColumn("cell", F.explode(F.array(cell, cell - 1))).groupBy("key", "item", "words", "cell")
+            .agg(F.collect_list(F.struct("shift", "found", "same", "slots")).alias("shifts")))
+    best = (near.select("key", "item", "words", "shifts").mapInArrow(_added_up, "key long, item long, share double, same boolean")
+            .groupBy("key", "item").agg(F.max(F.struct("share", "same")).alias("best")))
     return (best.join(named.select(F.xxhash64("item_id", "text").alias("item"), "item_id"), "item")
             .join(keyed.select("key", "doc_id").distinct(), "key")
             .select("key", "doc_id", "item_id", F.col("best.share").alias("share"), F.col("best.same").alias("exact")))

@@ -168,6 +168,19 @@ def test_leaks_of_items_with_few_literal_words(spark):
     assert got == {(1, 1, True), (2, 2, True), (3, 3, True)}
 
 
+def test_leaks_with_longer_values_and_words_put_in_or_left_out(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(59)]
+    story = "every morning the baker Ann sells 3 loaves to her oldest neighbour and keeps 40 more for the small village school"
+    plain, long = " ".join(words[:20]), " ".join(words)
+    items = [(1, story), (2, plain), (3, long)]
+    docs = [(1, "So. " + story.replace("3", "3.5").replace("40", "1,250").replace("Ann", "Mary Ann") + " then."),
+            (2, " ".join([*words[:10], "really", *words[10:20]])), (3, " ".join([*words[:9], *words[10:20]])), (4, " ".join([*words[:10], "really", *words[11:20]])),
+            (5, "before " + " ".join(words[25:55]) + " after"), (6, " ".join(words[22:37])), (7, " ".join([*words[:8], *(["gap"] * 40), *words[12:20]]))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3)}
+
+
 def test_license_places_and_notices(spark):
     docs = [(1, "CC BY, cc-by. Cc By"), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0."), (5, "apache version license 2.0 the under"),
             (6, "x" * 50_000 + " all rights   reserved! General Public\nLicense"), (7, "---"), (7, "---"), (None, "Knnow all rights reserved")]
