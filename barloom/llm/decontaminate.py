@@ -3,7 +3,8 @@
 Numbers (3, 3.5, 1,250), runs of names and units become typed placeholders, so a question with other numbers or names keeps
 its template.  A document leaks an item where template windows that stand in it, at neighbouring relative positions, hold
 enough of the item's words, with slot values that map one to one: the same number or name in the item is the same one in the
-document, and the other way round.
+document, and the other way round.  Lower-cased windows without placeholders are joined beside them, so that exact copies do
+not depend on capitals or on what stands before a word.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from barloom.llm.work import Workspace
 WIDTH = 8  # words of a window
 LEAST_LITERAL = 3  # of them, those that are literal; with fewer, numbers, names and units count by value
 LEAST_SHARE = 0.5  # of an item's windows
+LEAST_EVIDENCE = 3  # words, or edges of the sentence, line or text, that the copy of a very short item must have
 NEAR_SHIFTS = 8  # relative positions that add up, so that words put in or left out do not part a copy
 LONG_RUN = 24  # consecutive words of an item that are a leak whatever their share
 FILTER_WINDOWS = 4_000_000  # benchmark windows up to which their hashes (8 bytes each) sift the documents' windows early
@@ -30,7 +32,7 @@ UNITS = ("mm cm m km mg g kg t ml l s ms min h hr hrs hour hours minute minutes
          " months year years meter meters metre metres mile miles foot feet inch inches gram grams liter liters litre litres"
          " percent dollar dollars euro euros cent cents usd eur gbp degree degrees").split()
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F3A5C7E9B2D4F61, 0x2E4B6D8FA1C3E507, 0x3D5F7A9CBED0F218))
-_STEP, _EXACT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5B7D9FA1C3E50719)
+_STEP, _EXACT, _PLAIN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x5B7D9FA1C3E50719, 0x4C6E8A0B2D4F6183))
 _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?\n:"]] = True
 _POINT, _JOINS_NAMES = np.zeros(256, bool), np.zeros(256, bool)
@@ -38,18 +40,26 @@ _POINT[[ord(c) for c in ".,"]] = True
 _JOINS_NAMES[[ord(c) for c in " \t\r-'"]] = True
 
 
+def lower_case(raw: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters in lower case, byte for byte."""
+    low = ASCII_LOWER[raw]
+    second = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
+    low[second] += 32
+    return low
+
+
 def templates(raw: np.ndarray, offsets: np.ndarray):
-    """Canonical word hashes, slot values (0 for literal words) and document of every word.
+    """Canonical word hashes, slot values (0 for literal words), document and number of edges before and after every word; then the plain words so.
 
     Digit groups joined by one point or comma are one word, and so are names with nothing but white space, hyphens or
     apostrophes between them.
     """
-    low = ASCII_LOWER[raw]
+    low = lower_case(raw)
     starts, ends, doc = spans(low, offsets, ALNUM_BYTES)
     own = SpanHash(low)
     value = own.of(starts, ends)
     if not len(starts):
-        return value, value, doc
+        return [(value, value, doc, doc, doc)] * 2
     total = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     digits, capitals, stops = total((raw >= 48) & (raw < 58)), total((raw >= 65) & (raw < 91)), total(_SENTENCE_END[raw])
     number = digits[ends] - digits[starts] == ends - starts
@@ -73,43 +83,52 @@ def templates(raw: np.ndarray, offsets: np.ndarray):
     follows = np.zeros(len(starts), bool)
     follows[1:] = one & number[1:] & number[:-1] & (between == 1) & _POINT[raw[ends[:-1].clip(0, len(raw) - 1)]]
     follows[1:] |= one & name[1:] & name[:-1] & (breaks[starts[1:]] == breaks[ends[:-1]])
+    opens &= ~follows
+    before, after = opens.astype(np.int64), np.append(opens[1:], True).astype(np.int64)
+    plain = value, np.zeros(len(value), np.uint64), doc, before, after
     head = np.flatnonzero(~follows)
+    tail = np.append(head[1:], len(starts)) - 1
     place = np.arange(len(starts)) - head[np.cumsum(~follows) - 1]
     value = np.add.reduceat(np.where(place == 0, value, mix(value + place.astype(np.uint64))), head)
     canonical, doc, literal = canonical[head], doc[head], ~(number | name | unit)[head]
-    return canonical, np.where(literal, np.uint64(0), value | np.uint64(1)), doc
+    return [(canonical, np.where(literal, np.uint64(0), value | np.uint64(1)), doc, before[head], after[tail]), plain]
 
 
 def template_windows(raw: np.ndarray, offsets: np.ndarray, widths: list[int], whole: bool):
-    """Windows of the given widths: hash, document, first word, width, words of the document, and slots of each of its words.
+    """Windows of the given widths: hash, document, first word, width, words of the document, whether plain, and slots of each of its words.
 
     With ``whole`` a document shorter than WIDTH words has one window of all its words and others have windows of WIDTH.
     Windows of fewer than LEAST_LITERAL literal words (all of them, in shorter windows) hold the slot values themselves in
     place of the placeholders, so only the same numbers and names meet there.
     """
-    canonical, slot, doc = templates(raw, offsets)
-    length = np.bincount(doc, minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1, np.int64)
-    begin = np.cumsum(length) - length
-    by_value = np.where(slot == 0, canonical, slot)
-    out = []
-    for width in widths:
-        n = len(canonical) - width + 1
-        if n <= 0 or width < 1:
-            continue
-        first = np.flatnonzero(doc[:n] == doc[width - 1:])
-        if whole:
-            first = first[length[doc[first]] == width] if width < WIDTH else first
-        total, exact, literal = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        for k in range(width):
-            total = total * _STEP + canonical[k:k + n]
-            exact = exact * _STEP + by_value[k:k + n]
-            literal += slot[k:k + n] == 0
-        total = np.where(literal >= min(LEAST_LITERAL, width), total, exact + _EXACT)
-        out.append((mix(total[first] + np.uint64(width)), doc[first], first, np.full(len(first), width)))
-    if not out:
-        out = [tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))]
-    hashes, of, first, width = (np.concatenate(x) for x in zip(*out, strict=True))
-    return hashes, of, first - begin[of], width, length[of], first, slot
+    out, slots, behind = [tuple(np.zeros(0, t) for t in (np.uint64, *[np.int64] * 5, bool))], [], 0
+    for is_plain, (canonical, slot, doc, before, after) in zip((False, True), templates(raw, offsets), strict=True):
+        length = np.bincount(doc, minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1, np.int64)
+        begin = np.cumsum(length) - length
+        by_value = np.where(slot == 0, canonical, slot)
+        for width in widths:
+            n = len(canonical) - width + 1
+            if n <= 0 or width < 1:
+                continue
+            first = np.flatnonzero(doc[:n] == doc[width - 1:])
+            if whole:
+                first = first[length[doc[first]] == width] if width < WIDTH else first
+            if width < LEAST_EVIDENCE:
+                first = first[width + before[first] + after[first + width - 1] >= LEAST_EVIDENCE]
+            total, exact, literal = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+            for k in range(width):
+                total = total * _STEP + canonical[k:k + n]
+                if not is_plain:
+                    exact = exact * _STEP + by_value[k:k + n]
+                    literal += slot[k:k + n] == 0
+            total = total + _PLAIN if is_plain else np.where(literal >= min(LEAST_LITERAL, width), total, exact + _EXACT)
+            of = doc[first]
+            out.append((mix(total[first] + np.uint64(width)), of, first - begin[of], np.full(len(first), width), length[of], first + behind,
+                        np.full(len(first), is_plain)))
+        slots.append(slot)
+        behind += len(slot)
+    hashes, of, at, width, length, first, plain = (np.concatenate(x) for x in zip(*out, strict=True))
+    return hashes, of, at, width, length, plain, first, np.concatenate(slots)
 
 
 def _windows_of(column: str, widths: list[int], whole: bool, keep=None):
@@ -117,17 +136,17 @@ def _windows_of(column: str, widths: list[int], whole: bool, keep=None):
         wanted = keep.value if keep is not None else None
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, of, at, width, length, first, slot = template_windows(*buffers(part.column("text")), widths, whole)
+                hashes, of, at, width, length, plain, first, slot = template_windows(*buffers(part.column("text")), widths, whole)
                 if wanted is not None:
                     place = np.searchsorted(wanted, hashes).clip(0, max(len(wanted) - 1, 0))
                     hit = np.flatnonzero(wanted[place] == hashes) if len(wanted) else np.zeros(0, np.int64)
-                    hashes, of, at, width, length, first = (x[hit] for x in (hashes, of, at, width, length, first))
+                    hashes, of, at, width, length, plain, first = (x[hit] for x in (hashes, of, at, width, length, plain, first))
                 ends = np.concatenate([[0], np.cumsum(width)])
                 index = np.repeat(first - ends[:-1], width) + np.arange(ends[-1])
                 values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slot[index].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(column).take(pa.array(of)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int64)),
-                     pa.array(length.astype(np.int64)), values], [column, "window", "at", "words", "slots"])
+                     pa.array(length.astype(np.int64)), pa.array(plain), values], [column, "window", "at", "words", "plain", "slots"])
     return run
 
 
@@ -185,13 +204,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     where windows parted by a few other words count as one run; runs of LONG_RUN words are reported with any share.
     ``exact`` tells whether all slots are as in the item.  Null or empty texts hold nothing and leak nothing; an item of
     fewer than WIDTH words has one window of all its words.  Where few words are literal, numbers and names must be the same.
-    Repeated items are reported by each of their ids.  An item without WIDTH words in a row unchanged is not found.
+    Repeated items are reported by each of their ids.  An item without WIDTH words in a row unchanged is not found,
+    and one of one or two words only where it has LEAST_EVIDENCE words and edges: one stands alone in its sentence, line or
+    text, two begin or end it.
     """
     spark = documents.sparkSession
     work = Workspace(spark, "decontaminate")
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = work.store("items", named.select(F.xxhash64("item_id", "text").alias("item"), "text")
-                       .mapInArrow(_windows_of("item", list(range(1, WIDTH + 1)), True), "item long, window long, at long, words long, slots array<long>"))
+                       .mapInArrow(_windows_of("item", list(range(1, WIDTH + 1)), True), "item long, window long, at long, words long, plain boolean, slots array<long>"))
     widths = sorted(r[0] for r in items.select(F.size("slots")).distinct().collect())  # at most WIDTH of them
     n = items.count()
     keep = None
@@ -199,19 +220,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = items.select("window").distinct().toArrow().column("window").to_numpy().view(np.uint64)
         keep = spark.sparkContext.broadcast(np.sort(found))
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    windows = keyed.select("key", "text").mapInArrow(_windows_of("key", widths, False, keep), "key long, window long, at long, words long, slots array<long>")
-    pairs = (windows.drop("words").join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "window")
-             .select("key", "item", "words", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+    windows = keyed.select("key", "text").mapInArrow(_windows_of("key", widths, False, keep), "key long, window long, at long, words long, plain boolean, slots array<long>")
+    pairs = (windows.drop("words", "plain").join(items.withColumnsRenamed({"at": "item_at", "slots": "item_slots"}), "window")
+             .select("key", "item", "words", "plain", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
                      F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots")))
     slots = F.array_distinct(F.flatten(F.collect_set("slots")))
     # Groups are bounded by an item's windows: at one relative position each stands once.
-    placed = pairs.groupBy("key", "item", "words", "shift").agg(F.collect_set("item_at").alias("found"), slots.alias("slots"))
+    placed = pairs.groupBy("key", "item", "words", "plain", "shift").agg(F.collect_set("item_at").alias("found"), slots.alias("slots"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side]))) == F.size("slots")
     consistent = placed.where(one_way("item_slots") & one_way("slots")).withColumn(
         "same", F.forall("slots", lambda x: x["item_slots"] == x["slots"]))
     # Each shift is in two ranges of 2 * NEAR_SHIFTS, so any two that near meet in one; groups stay bounded.
     cell = F.floor(F.col("shift") / NEAR_SHIFTS)
-    near = (consistent.withColumn("cell", F.explode(F.array(cell, cell - 1))).groupBy("key", "item", "words", "cell")
+    near = (consistent.withColumn("cell", F.explode(F.array(cell, cell - 1))).groupBy("key", "item", "words", "plain", "cell")
             .agg(F.collect_list(F.struct("shift", "found", "same", "slots")).alias("shifts")))
     best = (near.select("key", "item", "words", "shifts").mapInArrow(_added_up, "key long, item long, share double, same boolean")
             .groupBy("key", "item").agg(F.max(F.struct("share", "same")).alias("best")))

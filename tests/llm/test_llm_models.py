@@ -181,6 +181,15 @@ def test_leaks_with_longer_values_and_words_put_in_or_left_out(spark):
     assert got == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3)}
 
 
+def test_leaks_whatever_the_capitals_and_the_word_before(spark):
+    story = "Today Anna visits Rome while Peter and Ärne wait near Paris until Maria calls"
+    items = [(1, "Which planet orbits closest to the bright Sun"), (2, story), (3, "Gravity")]
+    docs = [(1, "Quiz 7, Which planet orbits closest to the bright Sun"), (2, "so " + story.lower()), (3, "so " + story.upper()),
+            (4, "Everybody knows gravity and the falling apple"), (5, "It is said. Gravity. So it is.")]
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (3, 2, True), (5, 3, True)}
+
+
 def test_license_places_and_notices(spark):
     docs = [(1, "CC BY, cc-by. Cc By"), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0."), (5, "apache version license 2.0 the under"),
             (6, "x" * 50_000 + " all rights   reserved! General Public\nLicense"), (7, "---"), (7, "---"), (None, "Knnow all rights reserved")]
