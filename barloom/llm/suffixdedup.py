@@ -3,7 +3,8 @@
 Every string of ``LENGTH`` bytes is assigned to an anchor: of the shorter strings of ``GRAM`` bytes in it, the one with
 the least hash.  Equal strings have equal anchors at equal places, so they meet in the bucket of the anchor's hash.  The
 strings that share one anchor in a document follow one another; together they are a region.  A bucket with one region
-holds no repeat, a bucket of copies of one region nothing else; only buckets with different regions are sorted.
+holds no repeat, a bucket of copies of one region nothing else; only buckets with different regions are sorted.  Buckets of
+more than HOT_REGIONS regions are not sorted in a task: the hashes of their strings are counted by all tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from barloom.llm.suffixsort import deep_shallow
-from barloom.llm.textops import SpanHash, binary_column, buffers, ragged, slices
+from barloom.llm.textops import SpanHash, binary_column, buffers, mix, ragged, slices
 from barloom.llm.work import Workspace, free_name
 
 LENGTH = 200
@@ -25,6 +26,7 @@ GRAM = 64
 SPAN = LENGTH - GRAM + 1  # anchors that compete in one string; at most so many strings are in a region
 _COUNT_BITS = 8
 SORTED_AT_ONCE = 1 << 20  # suffixes
+HOT_REGIONS = 4096  # regions up to which one task sorts a bucket: some 561,000 suffixes
 
 
 def regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,6 +81,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(fields[1]), pa.array(fields[2]), binary_column(raw[index], np.r_[0, np.cumsum(size)])], ["anchor", "content", "bytes"])
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of each wanted region: a hash of anchor and bytes, and its place as a run of one."""
+    for batch in batches:
+        for cut in _cut_out([batch]):
+            for part in slices(cut, "bytes"):
+                raw, offsets = buffers(part.column("bytes"))
+                count = np.diff(offsets) - LENGTH + 1
+                region, start = np.repeat(np.arange(len(count)), count), ragged(offsets[:-1], count)
+                anchor = part.column("anchor").to_numpy(zero_copy_only=False).view(np.uint64)[region]
+                string = mix(SpanHash(raw).of(start, start + LENGTH) + anchor)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("anchor").take(pa.array(region)), part.column("content").take(pa.array(region)), pa.array(string.view(np.int64)),
+                     pa.array(((start - offsets[region]) << _COUNT_BITS) | 1)], ["anchor", "content", "string", "run"])
+
+
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, content): each bucket's regions are suffix-sorted; runs of repeated strings are returned."""
     anchors, contents, texts, waiting = [], [], [], 0
@@ -167,15 +184,25 @@ def without_repeats(documents: DataFrame, kept: str = "kept", spans: str = "n_sp
     found = work.store("regions", found)
     # Counted with map-side aggregation and joined back, so that a very common anchor is split as a skewed join is.
     buckets = found.groupBy("anchor").agg(F.count("*").alias("regions"), (F.min("content") != F.max("content")).alias("mixed")).where("regions > 1")
-    shared = work.store("shared", found.join(buckets, "anchor").select("key", "anchor", "content", "place", "mixed"))
+    hot = (F.col("mixed") & (F.col("regions") > HOT_REGIONS)).alias("hot")
+    shared = work.store("shared", found.join(buckets, "anchor").select("key", "anchor", "content", "place", "mixed", hot))
     work.drop("regions")
     distinct = work.store("distinct", shared.where("mixed").groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("one")))
-    wanted = distinct.groupBy("one.key").agg(F.collect_list(F.struct("one.place", "anchor", "content")).alias("wanted"))
-    cut = texts.join(wanted, "key").select("text", "wanted").mapInArrow(_cut_out, "anchor long, content long, bytes binary")
+        F.count("*").alias("copies"), F.min(F.struct("key", "place")).alias("one"), F.max("hot").alias("hot")))
+
+    def wanted(which: DataFrame) -> DataFrame:
+        lists = which.groupBy("one.key").agg(F.collect_list(F.struct("one.place", "anchor", "content")).alias("wanted"))
+        return texts.join(lists, "key").select("text", "wanted")
+
+    cut = wanted(distinct.where(~F.col("hot"))).mapInArrow(_cut_out, "anchor long, content long, bytes binary")
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = (cut.repartition(partitions, "anchor").sortWithinPartitions("anchor", "content")
             .mapInArrow(_sort_buckets, "anchor long, content long, runs array<long>"))
+    if distinct.where("hot").take(1):
+        # Equal strings of one bucket stand in different regions, so two contents tell them whatever rows are repeated.
+        strings = work.store("strings", wanted(distinct.where("hot")).mapInArrow(_strings, "anchor long, content long, string long, run long"))
+        several = strings.groupBy("string").agg((F.min("content") != F.max("content")).alias("several")).where("several").select("string")
+        runs = runs.unionByName(strings.join(several, "string").groupBy("anchor", "content").agg(F.collect_set("run").alias("runs")))
     settled = work.store("settled", distinct.select("anchor", "content", "copies").join(runs, ["anchor", "content"], "left"))
     work.drop("distinct")
     whole = F.array("place")

@@ -140,3 +140,24 @@ def test_repeated_strings_equal_brute_force(spark):
     assert sorted(key(r.doc_id, (r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest())) for r in got.collect()) == sorted(
         key(d, x) for (d, _), x in zip(rows, removed([t for _, t in rows])))
     assert suffixdedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_a_line_in_many_documents_is_not_sorted_by_one_task(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9)))
+    line = "".join(rnd.choice("nopqrst") for _ in range(150))
+    found = [" ".join(word() for _ in range(60)) + line + " ".join(word() for _ in range(60)) for _ in range(40)]
+    found += [found[k][40 + k:-60] + word() for k in range(6)]
+    rows = [(i, t) for i, t in enumerate(found)] + [(3, found[3])]
+    sort = suffixdedup._sort_buckets
+
+    def small_buckets(batches):
+        for batch in batches:
+            assert max(Counter(batch.column("anchor").to_pylist()).values(), default=0) <= 8
+            yield from sort([batch])
+
+    monkeypatch.setattr(suffixdedup, "HOT_REGIONS", 8, raising=False)
+    monkeypatch.setattr(suffixdedup, "_sort_buckets", small_buckets)
+    got = suffixdedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()) == sorted(
+        (d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows])))
