@@ -56,6 +56,9 @@ def _search(k: int):
             nonlocal best, pending, queries
             if not pending:
                 return
+            if not len(queries):  # vectors of a length that no query has
+                pending = []
+                return
             if isinstance(queries, list):
                 queries = matrix(queries)
             ids, rows = matrix(pending)
@@ -63,15 +66,18 @@ def _search(k: int):
             tile, width = 1 << TILE_BITS, rows.shape[1]
             for r in range(0, len(ids), tile):
                 lists = []
+                # A query meets at most so many rows of its own id.
+                own_rows = int(np.unique(ids[r:r + tile], return_counts=True)[1].max())
                 step = max(1, SCORE_CELLS // tile)
                 for q in range(0, len(queries[0]), step):
                     own_id = queries[0][q:q + step]
-                    scores, at = best_of_tile(queries[1][q:q + step], rows[r:r + tile], min(k + 1, len(rows[r:r + tile])))
+                    scores, at = best_of_tile(queries[1][q:q + step], rows[r:r + tile], min(k + own_rows, len(rows[r:r + tile])))
                     found = ids[r:r + tile][at]
-                    # A query's own row drops behind every other.
+                    # Rows of a query's own id drop behind every other.
                     own = found == own_id[:, None]
                     scores, found = np.where(own, -_LONG - 1, scores), np.where(own, _LONG, found)
-                    lists.append((scores, found))
+                    order = np.argsort(own, axis=1, kind="stable")[:, :k]
+                    lists.append((np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)))
                 one = tuple(np.concatenate(x) for x in zip(*lists, strict=True))
                 best = one if best is None else merge_lists(best, one, k)
             assert width == queries[1].shape[1]
@@ -119,8 +125,8 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0
     ``df`` has vec_id (integer) and embedding (array of float or double); other columns are ignored.  A component x
     counts as floor(scale * x).  Queries are the rows whose id is divisible by ``query_every``; candidates are all rows
     with another id.  Rows with a null id, null vector, or null or non-finite component take no part; vectors meet only
-    vectors of their own length (empty ones score 0).  Ties go to the smaller id.  An id must be unique: of repeated ids
-    the row with the smallest vector stands.  With fewer than ``k`` candidates all are returned; an empty table gives none.
+    vectors of their own length (empty ones score 0).  Ties go to the smaller id.  Rows of a repeated id are
+    candidates of their own, and as queries they fill one list together.  With fewer than ``k`` candidates all are returned; an empty table gives none.
 
     Queries are cut into blocks and rows into parts; a task holds one block and streams its part, so memory does not
     grow.  Rows are copied once per query block: that is the least a stated query set against all rows takes.
@@ -136,19 +142,18 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0
     vectors = (df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
                .where(~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)))
                .select(F.col("vec_id").cast("long").alias("vec_id"), quantised.alias("values"))
-               .groupBy("vec_id").agg(F.min("values").alias("values"))
                .withColumn("dim", F.size("values")))
     is_query = F.pmod(F.col("vec_id"), F.lit(query_every)) == 0
     n_queries = max(1, vectors.where(is_query).count())
     blocks = -(-n_queries // QUERY_BLOCK)
     parts = max(1, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // blocks))
-    hashed = F.xxhash64("vec_id")
+    hashed = F.xxhash64("vec_id", "values")  # of a repeated id too, the rows go to different cells
     queries = vectors.where(is_query).select(
         F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), "dim", F.lit(0).alias("kind"), "vec_id", "values",
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     rows = vectors.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "dim", F.lit(1).alias("kind"), "vec_id", "values",
-        F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(parts)).cast("int").alias("part"))
+        F.pmod(F.xxhash64(F.lit(1), "vec_id", "values"), F.lit(parts)).cast("int").alias("part"))
     cells = (queries.unionByName(rows).repartition(blocks * parts, "block", "dim", "part")
              .sortWithinPartitions("block", "dim", "part", "kind", "vec_id"))
     lists = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long, part int")

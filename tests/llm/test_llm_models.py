@@ -124,6 +124,18 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert [got[i].n_links for i in range(41)] == want and {got[i].class_id for i in range(41)} == {0}
 
 
+def test_top_k_of_repeated_ids_and_lengths_without_queries(spark):
+    rows = [(20, [1.0, 0.5]), (20, [0.25, -1.0]), (40, [0.5, 0.5]), *[(1, [k / 8, 1.0]) for k in range(6)], *[(20, [9.0, k / 4]) for k in range(5)],
+            (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 2.0, 3.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4).select("query_id", "rank", "vec_id", "score").collect()]
+    exact = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for query in (20, 40):
+        pairs = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in exact for j, w in exact if i == query != j and len(v) == len(w))
+        want += [(query, n + 1, j, -score) for n, (score, j) in enumerate(pairs[:4])]
+    assert sorted(got) == want
+
+
 def test_runs_reach_the_target():
     assert pathjoin.runs_needed() == 25 and pathjoin.runs_needed(levels=1, target=0.99) == 5
 
