@@ -12,7 +12,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import spearman, with_row_index
+from barloom.functions.stats import quantiles, spearman, with_row_index
 
 # Default windows, in rows of the long panel, and purged fold sizes.
 TRAIN_ROWS, TEST_ROWS, STEP_ROWS = 252, 63, 63
@@ -293,7 +293,8 @@ def purged_fold_metrics(oos: DataFrame) -> DataFrame:
     """Per purged fold: pooled return statistics and rank ICs of the selected rows."""
     keys = ["timeframe", "fold"]
     chosen = oos.filter("selected").withColumn("_oriented", F.col("factor_value") * F.col("selected_direction"))
-    stats = chosen.groupBy(*keys).agg(*return_statistics(), F.percentile(RETURN, F.lit(0.5)).alias("oos_return_median"))
+    median = quantiles(chosen, keys, RETURN, [0.5]).select(*keys, F.col("quantiles")[0].alias("oos_return_median"))
+    stats = chosen.groupBy(*keys).agg(*return_statistics()).join(median, keys, "left")
     for value, name in (("factor_value", "raw_oos_ic"), ("_oriented", "oriented_oos_ic")):
         stats = stats.join(spearman(chosen, keys, value, RETURN, name).drop("pairs"), keys, "left")
     return stats.withColumn("oos_ic", F.col("oriented_oos_ic"))

@@ -119,3 +119,11 @@ def test_scaler_without_spread_and_round_trip(spark):
     fitted = ml.fit_scaler(df, ["a", "b"])
     assert [tuple(r) for r in ml.scale(df, fitted).collect()] == [(-1.0, 0.0), (1.0, 0.0), (None, 0.0)]
     assert [tuple(r) for r in ml.unscale(ml.scale(df, fitted), fitted).collect()] == [tuple(r) for r in df.collect()]
+
+
+def test_the_median_of_a_purged_fold_is_not_gathered_in_one_buffer(spark):
+    rows = [("1d", f, True, float(i % 7), 1, r) for f, returns in enumerate([[0.4, -0.1, 0.2, 0.2, None], [0.3, 0.1], [None]]) for i, r in enumerate(returns)]
+    got = folds.purged_fold_metrics(spark.createDataFrame(
+        rows, "timeframe string, fold int, selected boolean, factor_value double, selected_direction int, future_return_1 double"))
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.fold: r.oos_return_median for r in got.collect()} == {0: 0.2, 1: pytest.approx(0.2), 2: None}
