@@ -19,6 +19,25 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+HARD_NEGATIVES = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+a AS MATERIALIZED (SELECT min(r) AS a, vec_id AS anchor_id, label, e FROM v WHERE vec_id % 50 = 0 GROUP BY ALL),
+s AS MATERIALIZED (
+  SELECT a, anchor_id, vec_id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM a JOIN v ON anchor_id <> vec_id AND len(a.e) = len(v.e)),
+p AS (SELECT * FROM (SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY a, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (a) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3
+"""
+
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT r, hash(list_slice(w, i, i + 4)) AS g

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, negatives, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and links of every document."""
     return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")
+
+
+@query("op13_hard_negatives", oracles.HARD_NEGATIVES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector, with wrong labels planted."""
+    return negatives.hard_negatives(negatives.moved_labels(table(spark, sf_dir, "embeddings")))
