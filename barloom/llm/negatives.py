@@ -29,15 +29,16 @@ def packed_scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     Components are shifted to be non-negative, so that a field is never negative and no carry leaves it.  A field is as
     wide as the largest product sum; as many rows as fit share one number: field j of a lane holds row j * lanes + lane.
     One product sum per anchor and lane then holds a score per field, and the shifts are taken out again.
-    Numbers too large for one field of a double are packed in Python integers; their scores end at 64 bits.
+    Numbers too large for one field of a double, or for 64 bits with their shifts, are packed in Python integers; their
+    scores end at 64 bits.
     """
     n, width = rows.shape
     if not n or not len(anchors) or not width:
         return np.zeros((len(anchors), n), np.int64)
-    low_a, low_r = int(anchors.min()), int(rows.min())
-    bits = max(1, (width * (int(anchors.max()) - low_a) * (int(rows.max()) - low_r)).bit_length())
+    low_a, low_r, high_a, high_r = int(anchors.min()), int(rows.min()), int(anchors.max()), int(rows.max())
+    bits = max(1, (width * (high_a - low_a) * (high_r - low_r)).bit_length())
     fields = EXACT_BITS // bits
-    exact = fields > 0
+    exact = fields > 0 and width * max(-low_a, high_a) * max(-low_r, high_r) < 1 << 61  # the shifts fit 64 bits too
     if exact:
         a, r = (anchors - low_a).astype(float), (rows - low_r).astype(float)
     else:
@@ -57,7 +58,7 @@ def packed_scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     own_a, own_r = (a.astype(np.int64).sum(1), r.astype(np.int64).sum(1)) if exact else (a.sum(1), r.sum(1))
     # (A - la)(R - lr) summed is score - lr * sum A - la * sum R + width * la * lr, and sum A is own_a + width * la.
     scores = scores + low_r * own_a[:, None] + low_a * own_r[None, :] + width * low_a * low_r
-    return scores if exact else np.clip(scores, -_LONG - 1, _LONG).astype(np.int64)
+    return scores if exact else np.frompyfunc(lambda x: max(-_LONG - 1, min(_LONG, x)), 1, 1)(scores).astype(np.int64)
 
 
 def _keys(scores: np.ndarray, take: np.ndarray) -> np.ndarray | None:

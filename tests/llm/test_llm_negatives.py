@@ -17,7 +17,12 @@ def test_packed_scores_equal_plain_products(width, low, high):
     a, r = rng.integers(low, high, (7, width)), rng.integers(low, high, (29, width))
     want = [[max(-LIMIT, min(LIMIT - 1, sum(int(x) * int(y) for x, y in zip(p, q)))) for q in r] for p in a]
     assert negatives.packed_scores(a, r).tolist() == want
-    assert negatives.packed_scores(a.astype(float), r.astype(float)).shape == (7, 29)
+
+
+def test_shifts_beyond_64_bits_stay_exact():
+    far = np.array([[2.0**55], [2.0**55]])
+    assert negatives.packed_scores(far, far[:1]).tolist() == [[LIMIT - 1], [LIMIT - 1]]
+    assert negatives.packed_scores(far, np.array([[4], [5]])).tolist() == [[2**57, 5 * 2**55]] * 2
 
 
 def test_selection_equals_sorting():
