@@ -38,6 +38,21 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 WHERE rank <= 3
 """
 
+REVISITS = """
+WITH p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha,
+    [instr('0123456789abcdef', substr(sha, CAST(i AS INTEGER) + 1, 1)) - 1 for i in range(40)] AS nibbles FROM pages),
+b AS (SELECT *, [(nibbles[i // 4 + 1] >> CAST(3 - i % 4 AS INTEGER)) & 1 for i in range(160)] AS bits FROM p),
+d AS (SELECT r, page_id, url, html, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * bits[5 * i + 1] + 8 * bits[5 * i + 2] + 4 * bits[5 * i + 3] + 2 * bits[5 * i + 4] + bits[5 * i + 5] AS INTEGER), 1)
+    for i in range(32)], '') AS payload_digest FROM b),
+o AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_page FROM d
+  WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS FIRST, r))
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first_page END AS refers_to
+FROM o
+"""
+
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT r, hash(list_slice(w, i, i + 4)) AS g

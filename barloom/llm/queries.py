@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, negatives, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity
+from barloom.llm import bytebpe, decontaminate, hmm, licenses, negatives, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity, warc
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")
 
 
+@query("op12_warc_revisits", oracles.REVISITS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record in the deduplicated archives says, read back and resolved."""
+    index = warc.deduplicated(table(spark, sf_dir, "pages"), Workspace(spark, "warc").path)
+    return warc.resolved_pages(warc.read_archives(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op13_hard_negatives", oracles.HARD_NEGATIVES)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 50th vector, with wrong labels planted."""
