@@ -115,8 +115,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_warc_revisits", oracles.REVISITS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record in the deduplicated archives says, read back and resolved."""
-    index = warc.deduplicated(table(spark, sf_dir, "pages"), Workspace(spark, "warc").path)
-    return warc.resolved_pages(warc.read_archives(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    work = Workspace(spark, "warc")
+    index = warc.deduplicated(table(spark, sf_dir, "pages"), work.path)
+    heads = work.store("heads", warc.read_archives(index, payloads=False))
+    return warc.resolved_pages(heads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op13_hard_negatives", oracles.HARD_NEGATIVES)

@@ -215,36 +215,37 @@ def write_resolved(resolved: DataFrame, folder: str, roll_bytes: int = ROLL_BYTE
         writer.close()
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    index = resolved.repartition(tasks, "path").sortWithinPartitions("path", "offset").mapInArrow(rewrite, INDEX)
+    index = resolved.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(rewrite, INDEX)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """Every record of the files that an index names, read from the files alone and checked: the index columns and ``payload`` (null in a revisit)."""
+def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of the files that an index names, read from the files alone and checked: the index columns and, if asked for, ``payload`` (null in a revisit)."""
     spark = index.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def given(rows: list[dict], payloads: list[bytes | None]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*_batch(rows).columns, pa.array(payloads, pa.binary())], [*_NAMES, "payload"])
+        def given(rows: list[dict], found: list[bytes | None]) -> pa.RecordBatch:
+            heads = _batch(rows)
+            return heads.append_column("payload", pa.array(found, pa.binary())) if payloads else heads
 
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                rows, payloads, waiting = [], [], 0
+                rows, found, waiting = [], [], 0
                 for offset, length, data in members(path):
                     head, payload = _parsed(data, f"{path} at {offset}")
                     rows.append(head | {"path": path, "offset": offset, "length": length})
-                    payloads.append(payload if head["record_type"] == RESPONSE else None)
+                    found.append(payload if payloads and head["record_type"] == RESPONSE else None)
                     waiting += len(data)
                     if waiting >= READ_BYTES:
-                        yield given(rows, payloads)
-                        rows, payloads, waiting = [], [], 0
+                        yield given(rows, found)
+                        rows, found, waiting = [], [], 0
                 if rows:
-                    yield given(rows, payloads)
+                    yield given(rows, found)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    files = index.select("path").distinct().repartition(tasks, "path")
-    return files.mapInArrow(read, f"{INDEX}, payload binary")
+    files = index.select("path").distinct().repartitionByRange(tasks, "path")
+    return files.mapInArrow(read, f"{INDEX}, payload binary" if payloads else INDEX)
 
 
 def members(path: str) -> Iterator[tuple[int, int, bytes]]:
@@ -271,7 +272,8 @@ def resolved_pages(records: DataFrame) -> DataFrame:
     """A row per record of ``read_archives`` with revisits joined to their originals: page_id, url, record_type, refers_to, payload_digest, payload_bytes, resolved.
 
     Lengths and digests are those of the full payload, which a revisit takes from the response that it refers to.
-    ``resolved`` is false, and what the revisit says itself stands, if that response is not among the records.
+    ``resolved`` is false, and what the revisit says itself stands, if that response is not among the records.  The records
+    are read twice: give a stored table, whose size also tells Spark how to join.
     """
     heads = records.select(*_NAMES)
     originals = heads.where(F.col("record_type") == RESPONSE).select(
