@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bytebpe, decontaminate, hmm, licenses, negatives, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity, warc
+from barloom.llm import bytebpe, conversations, decontaminate, hmm, licenses, negatives, oracles, pathjoin, records, sharding, suffixdedup, topk, toxicity, warc
 from barloom.llm.work import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathjoin.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("key", "class_key")
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation, with damage planted."""
+    return conversations.audited(table(spark, sf_dir, "conversations"), Workspace(spark, "conversations"))
+
+
 @query("op12_warc_revisits", oracles.REVISITS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as its record in the deduplicated archives says, read back and resolved."""
