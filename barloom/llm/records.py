@@ -9,6 +9,7 @@ Spark commits, names those that count.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -20,6 +21,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from barloom.llm.pretokens import PieceTable
 from barloom.llm.textops import buffers, slices
@@ -28,8 +30,10 @@ NULL_ID, WIDE = 1, 2
 HEAD, HEAD_SIZE = "<Bq", 9
 FRAME = 12
 READ_BYTES = 4 << 20
-MANIFEST = "part int, path string, index_path string, n_records long, n_ids long, n_bytes long"
-RECORD = "part int, place long, doc_id long, before long, n_tokens long, ids binary"
+ROLL_BYTES = 1 << 30
+FILES_OF_TASK = 1 << 32  # a file's part number: task times this, plus its place
+MANIFEST = "part long, path string, index_path string, n_records long, n_ids long, n_bytes long"
+RECORD = "part long, place long, doc_id long, before long, n_tokens long, ids binary"
 
 
 def masked(data: bytes) -> int:
@@ -59,66 +63,110 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
 
-@cache
-def piece_table(path: str) -> tuple[PieceTable, int]:
-    """The tokenizer of a file behind a table of its pre-tokens; special tokens in a text are ordinary text."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
+class Coder:
+    """Ids as the tokenizer's library gives them without special tokens added: added tokens that stand in a text are
+    cut out first, as one id each, and what lies between goes through a table of pre-tokens."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        plain, own = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        plain.encode_special_tokens = True
+        added = own.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens must stand for their own text only")
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        self.marks = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
+        self.size = own.get_vocab_size()
+
+        def encode(pieces: list[bytes]) -> list[list[int]]:
+            return [x.ids for x in plain.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+        self.table = PieceTable(encode)
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the offsets of each among them."""
+        data = raw.tobytes()
+        if self.marks is None or not self.marks.search(data):
+            return self.table.encode(raw, offsets)
+        cuts, found, first = [], {}, []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            first.append(len(cuts))
+            cuts.append(a)
+            for m in self.marks.finditer(data, a, b):
+                found[len(cuts)] = self.added[m[0]]
+                cuts += [m.start(), m.end()]
+        first.append(len(cuts))
+        ids, ends = self.table.encode(raw, np.array([*cuts, len(raw)], np.int64))
+        pieces = [np.array([found[k]], ids.dtype) if k in found else ids[ends[k]:ends[k + 1]] for k in range(len(cuts))]
+        total = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
+        return np.concatenate(pieces) if pieces else ids, total[first]
 
-    def encode(pieces: list[bytes]) -> list[list[int]]:
-        found = own.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [x.ids for x in found]
 
-    return PieceTable(encode), own.get_vocab_size()
+@cache
+def coder(path: str) -> Coder:
+    return Coder(path)
 
 
-def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
+def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the ids of ``df``'s texts (doc_id, text) to record files below ``path`` in ascending doc_id order; the manifest.
 
-    Each text is encoded without special tokens and followed by ``end_id``.  A null text counts as empty, an empty text
-    is the end id alone.  A null doc_id is kept as such and comes first; equal ids follow in the order of their texts,
-    repeated rows stay repeated.  Other columns are ignored.  An empty table gives an empty manifest.  The tokenizer must
-    split texts by the byte-level pattern of ``pretokens`` and have no normaliser.
+    Each text is encoded as the tokenizer's library does without adding special tokens, and followed by ``end_id``; an
+    added token that stands in a text is its one id.  A null text counts as empty, an empty text is the end id alone, and
+    a text is one record whatever its length.  ``doc_id`` is of an integer type; a null one is kept as such and comes
+    first.  Equal ids follow in the order of their texts, repeated rows stay repeated.  Other columns are ignored.  An
+    empty table gives an empty manifest.  The tokenizer must split texts by the byte-level pattern of ``pretokens`` and
+    have no normaliser.
+
+    A task closes a file after ``roll_bytes`` and starts the next, so that files and their indexes stay small however
+    much a task writes.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table, size = piece_table(tokenizer)
-        wide = max(size - 1, end_id) >= 1 << 16
+        own_coder = coder(tokenizer)
+        wide = max(own_coder.size - 1, end_id) >= 1 << 16
         kind = np.dtype("<u4" if wide else "<u2")
-        part = TaskContext.get().partitionId()
-        base = f"{path}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        fs, local = file_system(base)
-        out, starts, at, total = None, [], 0, 0
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        out, base, starts, at, total, files = None, "", [], 0, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            fs, local = file_system(base)
+            with fs.open_output_stream(f"{local}.idx") as index:
+                index.write(np.array([*starts, at], "<u8").tobytes())
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([task * FILES_OF_TASK + files], pa.int64()), "path": [f"{base}.rec"], "index_path": [f"{base}.idx"],
+                "n_records": [len(starts)], "n_ids": [total], "n_bytes": [at]})
+
         for batch in batches:
             for piece in slices(batch, "text"):
-                if out is None and len(piece):
-                    fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
-                    out = fs.open_output_stream(f"{local}.rec")
                 raw, offsets = buffers(piece.column("text"))
-                ids, ends = table.encode(raw, offsets)
+                ids, ends = own_coder.encode(raw, offsets)
                 for k, doc in enumerate(piece.column("doc_id").to_pylist()):
+                    if out is not None and at >= roll_bytes:
+                        yield closed()
+                        out, files = None, files + 1
+                    if out is None:
+                        base = f"{path}/part-{task:06d}-{attempt}-{files:05d}"
+                        fs, local = file_system(base)
+                        fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                        out, starts, at, total = fs.open_output_stream(f"{local}.rec"), [], 0, 0
                     own = np.append(ids[ends[k]:ends[k + 1]], end_id).astype(kind)
                     data = frame(struct.pack(HEAD, NULL_ID * (doc is None) | WIDE * wide, doc or 0) + own.tobytes())
                     out.write(data)
                     starts.append(at)
                     at, total = at + len(data), total + len(own)
-        if out is None:
-            return
-        out.close()
-        with fs.open_output_stream(f"{local}.idx") as index:
-            index.write(np.array([*starts, at], "<u8").tobytes())
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([part], pa.int32()), "path": [f"{base}.rec"], "index_path": [f"{base}.idx"],
-            "n_records": [len(starts)], "n_ids": [total], "n_bytes": [at]})
+        if out is not None:
+            yield closed()
 
     ordered = (df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
                .repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
@@ -136,7 +184,7 @@ def _parsed(found: list[tuple], part: int) -> pa.RecordBatch:
         sizes.append(len(own))
         ids.append(own.astype("<u4").tobytes())
     return pa.RecordBatch.from_arrays([
-        pa.array([part] * len(found), pa.int32()), pa.array([x[0] for x in found], pa.int64()), pa.array(docs, pa.int64()),
+        pa.array([part] * len(found), pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array(docs, pa.int64()),
         pa.array([x[2] for x in found], pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()),
     ], ["part", "place", "doc_id", "before", "n_tokens", "ids"])
 
@@ -147,7 +195,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     ``before`` counts the ids of all records in earlier files and earlier in the same one.  A file is streamed in pieces
     of a few megabytes, found by its index.
     """
-    # A row per file: as many as the partitions that wrote them.
+    # A row per file.
     files = manifest.withColumn("_base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
     parts = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
 
@@ -193,7 +241,7 @@ def read_shuffled(manifest: DataFrame, seed: int, partitions: int | None = None)
                 with fs.open_input_stream(local) as f:
                     index = np.frombuffer(f.read(), "<u8").astype(np.int64)
                 n = len(index) - 1
-                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * n, pa.int32()), "path": [row["path"]] * n,
+                yield pa.RecordBatch.from_pydict({"part": pa.array([row["part"]] * n, pa.int64()), "path": [row["path"]] * n,
                                                   "place": np.arange(n), "at": index[:-1], "size": np.diff(index)})
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +256,7 @@ def read_shuffled(manifest: DataFrame, seed: int, partitions: int | None = None)
                 yield _parsed([(row["place"], payload, None)], row["part"])
 
     key = F.xxhash64(F.lit(seed), "part", "place")
-    return (manifest.repartition(partitions, "part").mapInArrow(entries, "part int, path string, place long, at long, size long")
+    return (manifest.repartition(partitions, "part").mapInArrow(entries, "part long, path string, place long, at long, size long")
             .withColumn("_key", key).repartitionByRange(partitions, "_key").sortWithinPartitions("_key", "part", "place").drop("_key")
             .mapInArrow(fetch, RECORD).drop("before"))
 

@@ -68,19 +68,35 @@ def test_records_round_trip_in_order_and_shuffled(spark):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    rows = [(3, "b c"), (1, None), (None, "x"), (1, ""), (7, "long word " * 5000), (3, "b c"), (9, "<|endoftext|>")]
+    rows = [(3, "b c"), (1, None), (None, "x"), (1, ""), (7, "long word " * 5000), (3, "b c"), (9, "<|endoftext|>"), (10, "a <|endoftext|> b"),
+            (11, "<|endoftext|><|endoftext|>\n<|endoftext"), (12, "|>"), (13, "x<|endoftext|>'s  <|endof"), (14, "text|>")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int")
     path = f"{tempfile.mkdtemp(prefix='records-')}/out"
-    manifest = records.write_records(df, path, public_tokenizers.path("byte_bpe_50k.json"), 2, partitions=3)
-    got = records.read_records(manifest).orderBy("before").collect()
-    assert [r.doc_id for r in got] == [None, 1, 1, 3, 3, 7, 9]
-    want = {(d, t or ""): np.array(own.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for d, t in rows}
-    assert sorted(bytes(r.ids) for r in got) == sorted([*want.values(), want[3, "b c"]])
-    assert [r.before for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
-    again = records.read_shuffled(manifest, 5).collect()
-    assert sorted((r.part, r.place, bytes(r.ids)) for r in again) == sorted((r.part, r.place, bytes(r.ids)) for r in got)
+    want = [np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t in rows]
+    for roll in (1 << 30, 40):
+        manifest = records.write_records(df, f"{path}-{roll}", public_tokenizers.path("byte_bpe_50k.json"), 2, partitions=3, roll_bytes=roll)
+        assert (manifest.count() > 3) == (roll == 40)
+        got = records.read_records(manifest).orderBy("before").collect()
+        assert [r.doc_id for r in got] == [None, 1, 1, 3, 3, 7, 9, 10, 11, 12, 13, 14]
+        assert sorted((r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((d or 0, x) for (d, _), x in zip(rows, want))
+        assert [r.before for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+        again = records.read_shuffled(manifest, 5).collect()
+        assert sorted((r.part, r.place, bytes(r.ids)) for r in again) == sorted((r.part, r.place, bytes(r.ids)) for r in got)
     assert records.write_records(df.limit(0), path + "-none", public_tokenizers.path("byte_bpe_50k.json"), 2).count() == 0
+    with pytest.raises(TypeError):
+        records.write_records(df.selectExpr("string(doc_id) AS doc_id", "text"), path + "-no", public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+def test_added_tokens_are_cut_as_the_library_cuts_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, coder = Tokenizer.from_file(path), records.Coder(path)
+    rnd = random.Random(3)
+    found = ["".join(rnd.choice([*PIECES, "<|endoftext|>", "<|endoftext|>", "<|", "endoftext|>"]) for _ in range(rnd.randint(0, 9))) for _ in range(2000)]
+    raw, offsets = textops.buffers(pa.array(found, pa.string()))
+    ids, at = coder.encode(raw, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [own.encode(t, add_special_tokens=False).ids for t in found]
 
 
 def test_damaged_frames_are_noticed():
