@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -75,16 +77,53 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "ra
 
     One method at every size: values are ranked by bins and joined back, so no task holds a group.
     """
+    return rank_correlations(df, keys, {name: x}, y)
+
+
+def rank_correlations(df: DataFrame, keys: Sequence[str], columns: dict[str, str], y: str) -> DataFrame:
+    """Rank correlation of each column with ``y`` per key (name: column), and the row count ``pairs``.
+
+    Rows count where ``y`` and all columns are present, so ``y`` is ranked once for all of them.
+    """
     keys = list(keys)
-    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, (F.col(x) + F.lit(0.0)).alias("_x"), (F.col(y) + F.lit(0.0)).alias("_y")
+    values = {f"_x{i}": c for i, c in enumerate(columns.values())} | {"_y": y}
+    pairs = df.filter(reduce(and_, [F.col(c).isNotNull() for c in values.values()])).select(
+        *keys, *[(F.col(c) + F.lit(0.0)).alias(v) for v, c in values.items()]
     )
-    # Both lookups are built from the pairs themselves, so neither repeats the other's join.
+    # Every lookup is built from the pairs themselves, so none repeats another's join.
     ranked = pairs
-    for v, r in (("_x", "_rx"), ("_y", "_ry")):
-        ranked = ranked.join(value_ranks(pairs, keys, v).select(*keys, v, F.col("avg_rank").alias(r)), [*keys, v])
+    for v in values:
+        ranked = ranked.join(value_ranks(pairs, keys, v).select(*keys, v, F.col("avg_rank").alias(f"_r{v}")), [*keys, v]).drop(v)
     return ranked.groupBy(*keys).agg(
-        pearson(F.col("_rx"), F.col("_ry")).alias(name), F.count(F.lit(1)).alias("pairs")
+        *[pearson(F.col(f"_r_x{i}"), F.col("_r_y")).alias(name) for i, name in enumerate(columns)], F.count(F.lit(1)).alias("pairs")
+    )
+
+
+def local_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with the average rank of each column within small groups (name: column); null where the value is.
+
+    For keys whose groups are bounded by construction, such as blocks of a fixed number of rows: one exchange serves all columns.
+    """
+    keys, out = list(keys), df
+    for name, c in columns.items():
+        value = F.col(c) + F.lit(0.0)
+        order, ties = Window.partitionBy(*keys).orderBy(value.asc_nulls_last()), Window.partitionBy(*keys, value)
+        out = out.withColumn(name, F.when(value.isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2))
+    return out
+
+
+def unpivoted_ranks(df: DataFrame, ids: Sequence[str], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Average rank of every column within ``keys``, as ids, keys and one rank column each: all columns in one ranking.
+
+    ``ids`` and ``keys`` together name a row.  Cells without a value have no rank.
+    """
+    ids, keys = [i for i in ids if i not in keys], list(keys)
+    long = df.select(*ids, *keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_column"), (F.col(c) + F.lit(0.0)).alias("_value")) for i, c in enumerate(columns)
+    ])).alias("_cell")).select(*ids, *keys, "_cell.*").filter(F.col("_value").isNotNull())
+    ranks = value_ranks(long, [*keys, "_column"], "_value").select(*keys, "_column", "_value", "avg_rank")
+    return long.join(ranks, [*keys, "_column", "_value"]).groupBy(*ids, *keys).agg(
+        *[F.max(F.when(F.col("_column") == i, F.col("avg_rank"))).alias(c) for i, c in enumerate(columns)]
     )
 
 

@@ -12,7 +12,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import quantiles, spearman, with_row_index
+from barloom.functions.stats import quantiles, rank_correlations, spearman, with_row_index
 
 # Default windows, in rows of the long panel, and purged fold sizes.
 TRAIN_ROWS, TEST_ROWS, STEP_ROWS = 252, 63, 63
@@ -116,21 +116,37 @@ def out_of_sample(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def fold_metrics(rows: DataFrame, layout: Layout | None = None) -> DataFrame:
-    """Per fold: window times and sizes, selected rows in train, and return metrics of the test window."""
+    """Per fold: window times and sizes, selected rows in train, and return metrics of the test window.
+
+    The panel is folded once into units that make up train and test windows alike (rows themselves in a short series);
+    deviations of units add up about the means of their window.
+    """
     layout = layout or Layout()
-    train = train_parts(rows, layout, (), {
-        "train_start": (F.min("selection_time"), "min"),
-        "train_end": (F.max("selection_time"), "max"),
-        "train_rows": (F.count(F.lit(1)), "sum"),
-        "selected_factors": (F.count_if("selected"), "sum"),
-    })
     gained = F.when(F.col("selected"), F.col(RETURN))
-    test = out_of_sample(rows, layout).groupBy("timeframe", "fold").agg(
-        F.min("selection_time").alias("test_start"), F.max("selection_time").alias("test_end"),
-        F.count(F.lit(1)).alias("test_rows"), F.count(gained).alias("_n"), F.avg(gained).alias("mean_return"),
-        F.stddev_samp(gained).alias("_sd"), F.count_if(gained > 0).alias("_wins"),
+    start = F.when(layout.short(), F.col("row_id")).otherwise((F.floor(F.col("row_id") / layout.unit) * layout.unit).cast("long"))
+    units = with_sizes(rows).groupBy("timeframe", "_size", start.alias("row_id")).agg(
+        F.min("selection_time").alias("start"), F.max("selection_time").alias("end"), F.count(F.lit(1)).alias("rows"),
+        F.count_if("selected").alias("chosen"), F.count(gained).alias("n"), F.avg(gained).alias("mean"),
+        (F.var_pop(gained) * F.count(gained)).alias("spread"), F.count_if(gained > 0).alias("wins"),
+    )
+    alone = F.when(layout.short_train(), F.array(F.lit(1)))
+    train_folds = F.when(layout.short(), alone).otherwise(layout.train_folds(F.col("row_id")))
+    train = units.withColumn("fold", F.explode(train_folds)).groupBy("timeframe", "fold").agg(
+        F.min("start").alias("train_start"), F.max("end").alias("train_end"), F.sum("rows").alias("train_rows"), F.sum("chosen").alias("selected_factors"),
+    )
+    tests = units.withColumn("fold", F.explode(layout.test_folds()))
+    n, total = F.sum("n"), F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0)))
+    test = tests.groupBy("timeframe", "fold").agg(
+        F.min("start").alias("test_start"), F.max("end").alias("test_end"), F.sum("rows").alias("test_rows"), n.alias("_n"),
+        F.try_divide(total, n).alias("mean_return"), F.sum("wins").alias("_wins"),
+        F.collect_list(F.struct("n", "mean", "spread")).alias("_units"),  # as many as units fit a test window
+    )
+    about = F.aggregate(
+        F.filter("_units", lambda u: u["n"] > 0), F.lit(0.0),
+        lambda acc, u: acc + u["spread"] + u["n"] * (u["mean"] - F.col("mean_return")) * (u["mean"] - F.col("mean_return")),
     )
-    return train.join(test, ["timeframe", "fold"]).select(
+    deviation = F.sqrt(F.try_divide(about, F.col("_n") - 1))
+    return train.join(test, ["timeframe", "fold"]).withColumn("_sd", F.when(F.col("_n") > 1, deviation)).select(
         "timeframe", "fold", "train_start", "train_end", "test_start", "test_end", "train_rows", "test_rows",
         "selected_factors", "mean_return", F.try_divide("mean_return", F.when(F.col("_sd") > 0, F.col("_sd"))).alias("sharpe"),
         F.try_divide(F.col("_wins").cast("double"), F.col("_n").cast("double")).alias("win_rate"),
@@ -192,17 +208,18 @@ def factor_train_counts(rows: DataFrame, layout: Layout | None = None) -> DataFr
 
 
 def fold_factor_metrics(oos: DataFrame) -> DataFrame:
-    """Per fold and factor: returns of selected rows, raw and oriented rank IC."""
+    """Per fold and factor: returns of selected rows, raw and oriented rank IC.
+
+    A selected factor has one direction, 1 or -1, so its oriented IC is the raw one times it.
+    """
     keys = ["timeframe", "fold", *FACTOR]
-    chosen = oos.filter("selected").withColumn("_oriented", F.col("factor_value") * F.col("selected_direction"))
+    chosen = oos.filter("selected")
     stats = chosen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("oos_rows"), *return_statistics(),
         F.first("selection_ic").alias("selection_ic"), F.first("selection_rank_ic").alias("selection_rank_ic"), F.first("selected_direction").alias("selected_direction"),
     )
-    for value, name in (("factor_value", "raw_oos_ic"), ("_oriented", "oriented_oos_ic")):
-        ic = spearman(chosen, keys, value, RETURN, name).drop("pairs")
-        stats = stats.join(ic, keys, "left")
-    return stats.withColumn("oos_ic", F.col("oriented_oos_ic"))
+    stats = stats.join(spearman(chosen, keys, "factor_value", RETURN, "raw_oos_ic").drop("pairs"), keys, "left")
+    return stats.withColumn("oriented_oos_ic", F.col("raw_oos_ic") * F.col("selected_direction")).withColumn("oos_ic", F.col("oriented_oos_ic"))
 
 
 def panel_summary(oos_folds: DataFrame, oos: DataFrame) -> DataFrame:
@@ -290,13 +307,12 @@ def map_observations(evaluation: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def purged_fold_metrics(oos: DataFrame) -> DataFrame:
-    """Per purged fold: pooled return statistics and rank ICs of the selected rows."""
+    """Per purged fold: pooled return statistics and rank ICs of the selected rows, whose direction is 1 or -1."""
     keys = ["timeframe", "fold"]
     chosen = oos.filter("selected").withColumn("_oriented", F.col("factor_value") * F.col("selected_direction"))
     median = quantiles(chosen, keys, RETURN, [0.5]).select(*keys, F.col("quantiles")[0].alias("oos_return_median"))
-    stats = chosen.groupBy(*keys).agg(*return_statistics()).join(median, keys, "left")
-    for value, name in (("factor_value", "raw_oos_ic"), ("_oriented", "oriented_oos_ic")):
-        stats = stats.join(spearman(chosen, keys, value, RETURN, name).drop("pairs"), keys, "left")
+    ics = rank_correlations(chosen, keys, {"raw_oos_ic": "factor_value", "oriented_oos_ic": "_oriented"}, RETURN).drop("pairs")
+    stats = chosen.groupBy(*keys).agg(*return_statistics()).join(median, keys, "left").join(ics, keys, "left")
     return stats.withColumn("oos_ic", F.col("oriented_oos_ic"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.pairwise import pair_correlations
 from barloom.functions.stats import (
-    correlation_t, pair_count, pearson, quantiles, spearman, t_p_value, value_ranks, with_ordinal,
+    correlation_t, local_ranks, pair_count, pearson, quantiles, spearman, t_p_value, unpivoted_ranks, with_ordinal,
 )
 
 # Defaults of the toolkit.
@@ -90,14 +90,20 @@ def stability(
 ) -> DataFrame:
     """Rank correlation per consecutive block of rows, and its spread over full blocks.
 
-    Blocks are cut from all rows; inside a block the correlation uses the complete pairs.
+    Blocks are cut from all rows; inside a block the correlation uses the complete pairs.  A block has ``block`` rows at
+    most, so its ranks are a plain window.
     """
     from barloom.functions.stats import with_row_index
 
     keys = list(keys)
-    blocks = with_row_index(df, keys, "open_time", ["symbol"], "_row").withColumn("_block", F.floor(F.col("_row") / block))
-    whole = blocks.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == block)
-    ics = spearman(blocks, [*keys, "_block"], x, y, "ic").join(whole, [*keys, "_block"])
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    cut = with_row_index(df.select(*keys, "open_time", "symbol", x, y), keys, "open_time", ["symbol"], "_row").select(
+        *keys, F.floor(F.col("_row") / block).alias("_block"), F.when(pair, F.col(x)).alias("_x"), F.when(pair, F.col(y)).alias("_y")
+    )
+    ranked = local_ranks(cut, [*keys, "_block"], {"_rx": "_x", "_ry": "_y"})
+    ics = ranked.groupBy(*keys, "_block").agg(
+        pearson(F.col("_rx"), F.col("_ry")).alias("ic"), F.count("_x").alias("_pairs"), F.count(F.lit(1)).alias("_rows")
+    ).filter((F.col("_rows") == block) & (F.col("_pairs") > 0))
     out = ics.groupBy(*keys).agg(
         F.count("ic").alias("blocks"), F.avg("ic").alias("mean_ic"), F.coalesce(F.stddev_samp("ic"), F.lit(0.0)).alias("std_ic"),
         F.min("ic").alias("min_ic"), F.max("ic").alias("max_ic"),
@@ -106,14 +112,14 @@ def stability(
     return out.withColumn("stability_score", F.coalesce(score, F.lit(0.0)))
 
 
-def correlation_matrix(wide: DataFrame, group: str, factors: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Correlation of every pair of factor columns on rows where all of them are present."""
+def correlation_matrix(
+    wide: DataFrame, group: str, factors: Sequence[str], method: str = "pearson", ids: Sequence[str] = ("symbol", "timeframe", "open_time"),
+) -> DataFrame:
+    """Correlation of every pair of factor columns on rows where all of them are present; ``ids`` name a row."""
     whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in factors])
     rows = wide.filter(whole)
     if method == "spearman":
-        for f in factors:
-            ranks = value_ranks(rows, [group], f).select(group, F.col(f).alias("_value"), F.col("avg_rank").alias("_rank"))
-            rows = rows.withColumn("_value", F.col(f) + F.lit(0.0)).join(ranks, [group, "_value"]).withColumn(f, F.col("_rank")).drop("_value", "_rank")
+        rows = unpivoted_ranks(rows, ids, [group], list(factors))
     pairs = pair_correlations(rows, group, list(factors), signed=True)
     names = F.array(*[F.lit(f) for f in factors])
     return pairs.select(
