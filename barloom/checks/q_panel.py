@@ -347,6 +347,54 @@ add("orthogonal_combinations",
     lambda s, d: orthogonal(s, d).select("combination_id", "timeframe", "selected", "redundancy_reference_combination_id",
                                          "correlation_score", "correlation_overlap", "orthogonalization_rank"),
     f"WITH RECURSIVE {ORTH_SQL} SELECT * FROM orth", ["correlation_score"])
+def orthogonal_table(s, d):
+    times = factor_panel(s, d).agg(F.min("open_time"), F.max("open_time")).first()
+    return combination.orthogonal_combinations(combos(s, d), factor_panel(s, d), 0.6, 500, combination.Lineage(times[0], times[1], dataset_version="test"))
+
+
+add("orthogonalization_table", lambda s, d: csv_ready(orthogonal_table(s, d)), f"""WITH RECURSIVE {ORTH_SQL}
+SELECT c.combination_id, {", ".join(f"array_to_string(c.{x}, '|') AS {x}" for x in ("factor_names", "factor_versions", "factor_categories"))}, c.timeframe, c.combination_size, c.combination_method,
+  'correlation_filter' AS orthogonalization_method, '1.0.0' AS orthogonalization_version, CAST(NULL AS BIGINT) AS analysis_time, combination_rank AS source_combination_rank,
+  combination_score AS source_combination_score, stability_score AS source_stability_score, confidence_score AS source_confidence_score, correlation_score, CAST(NULL AS DOUBLE) AS vif_score,
+  correlation_score AS redundancy_score, CAST(NULL AS DOUBLE) AS orthogonality_score, CAST(NULL AS DOUBLE) AS information_retained, correlation_overlap,
+  CAST(0.6 AS DOUBLE) AS correlation_threshold, CAST(500 AS BIGINT) AS min_overlap_threshold, true AS redundancy_checked, NOT o.selected AS redundancy_rejected, redundancy_reference_combination_id,
+  o.selected, orthogonalization_rank, CASE WHEN o.selected THEN 'accepted' ELSE 'redundant' END AS orthogonalization_reason, '1.0.0' AS source_combination_version,
+  '1.0.0' AS source_fta_version, '1.0.0' AS source_selection_version, 'test' AS dataset_version, (SELECT min(open_time) FROM long) AS validation_start_time,
+  (SELECT max(open_time) FROM long) AS validation_end_time, CASE WHEN o.selected THEN 'PASS' ELSE 'FAIL' END AS status FROM combos c JOIN orth o USING (combination_id)""",
+    ["source_combination_score", "source_stability_score", "source_confidence_score", "correlation_score", "redundancy_score", "correlation_threshold",
+     "vif_score", "orthogonality_score", "information_retained"])
+
+
+def damaged_combos(s, d):
+    """Combination 1 with another score, 2 with an unknown member, 3 twice."""
+    rank, score = F.col("combination_rank"), F.col("combination_score")
+    changed = combos(s, d).withColumns({
+        "combination_score": F.when(rank == 1, score + 1).otherwise(score),
+        "factor_names": F.when(rank == 2, F.array(F.lit("ghost"), F.col("factor_names")[1])).otherwise(F.col("factor_names"))})
+    return changed.withColumn("_copy", F.explode(F.when(rank == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("_copy")
+
+
+add("combination_lineage", lambda s, d: verify.combination_lineage(damaged_combos(s, d), selection.timeframe_analysis(selected(s, d))), f"""WITH {COMBO_SQL}
+SELECT combination_id, CASE combination_rank WHEN 1 THEN 'score_mismatch' WHEN 2 THEN 'missing_factor' ELSE 'duplicate_id' END AS rule,
+  CASE WHEN combination_rank = 2 THEN 'ghost' END AS detail FROM combos WHERE combination_rank <= 3""")
+
+
+def damaged_orthogonal(s, d):
+    """Combination 1 with another rank and once more under an unknown id, 2 twice, the last one gone, rejections without a correlation."""
+    rank = F.col("source_combination_rank")
+    table = orthogonal(s, d)
+    last = table.agg(F.max("source_combination_rank")).first()[0]
+    copies = F.when(rank == 1, F.array(F.col("combination_id"), F.lit("ghost"))).when(rank == 2, F.array(F.col("combination_id"), F.col("combination_id"))).otherwise(F.array("combination_id"))
+    return table.filter(rank != last).withColumns({
+        "correlation_score": F.when(F.col("redundancy_rejected"), F.lit(0.0)), "combination_id": F.explode(copies)}).withColumn(
+        "source_combination_rank", F.when(rank == 1, 999).otherwise(rank))
+
+
+add("orthogonalization_lineage", lambda s, d: verify.orthogonalization_lineage(damaged_orthogonal(s, d), combos(s, d)), f"""WITH RECURSIVE {ORTH_SQL},
+j AS (SELECT combination_id, combination_rank, selected, max(combination_rank) OVER () AS last FROM combos JOIN orth USING (combination_id))
+SELECT combination_id, 'rank_mismatch' AS rule FROM j WHERE combination_rank = 1 UNION ALL SELECT 'ghost', 'unknown_combination'
+UNION ALL SELECT combination_id, 'duplicate_id' FROM j WHERE combination_rank = 2 UNION ALL SELECT combination_id, 'missing_combination' FROM j WHERE combination_rank = last
+UNION ALL SELECT combination_id, 'weak_rejection' FROM j WHERE NOT selected AND combination_rank < last""")
 add("alpha_scores", lambda s, d: combination.alpha_scores(orthogonal(s, d), factor_panel(s, d)),
     f"WITH RECURSIVE {ORTH_SQL} SELECT sig.combination_id, symbol, sig.timeframe, open_time, signal AS alpha_score FROM sig JOIN orth USING (combination_id) WHERE selected",
     ["alpha_score"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,19 @@ from .panel import BAR_KEY
 MAX_COMBINATION_CORRELATION = 0.9
 MIN_COMBINATION_OVERLAP = 500
 ID_SEPARATOR = "|"
+ORTHOGONALIZATION_METHOD, ORTHOGONALIZATION_VERSION = "correlation_filter", "1.0.0"
+
+
+class Lineage(NamedTuple):
+    """Where an orthogonalization table comes from: the validation window and the versions of its sources."""
+
+    validation_start_time: int | None = None
+    validation_end_time: int | None = None
+    source_combination_version: str = "1.0.0"
+    source_fta_version: str = "1.0.0"
+    source_selection_version: str = "1.0.0"
+    dataset_version: str = "1.0.0"
+    analysis_time: int | None = None
 
 
 def combinations(analysis: DataFrame) -> DataFrame:
@@ -86,66 +101,81 @@ def combined_signal(combos: DataFrame, panel: DataFrame) -> DataFrame:
 
 def orthogonal_combinations(
     combos: DataFrame, panel: DataFrame, max_correlation: float = MAX_COMBINATION_CORRELATION,
-    min_overlap: int = MIN_COMBINATION_OVERLAP,
+    min_overlap: int = MIN_COMBINATION_OVERLAP, lineage: Lineage | None = None,
 ) -> DataFrame:
-    """Greedy filter over combined signals, with ranks of the survivors and audit columns.
+    """Greedy filter over combined signals, with ranks of the survivors, audit columns and lineage.
 
-    The combination list (bounded by the catalog) is read to the driver to lay out the matrix; the
-    signals and their pair moments are computed where the panel rows are.
+    Only bars of the lineage's window (both ends included) count.  The combination list (bounded by the square of the
+    catalog) is read to the driver to lay out the matrix; the signals and their pair moments are computed where the panel
+    rows are, all timeframes in one pass, and only pairs at the limit or above reach the filter.  Without a combination
+    the table is empty.
     """
+    lineage = lineage or Lineage()
     position = F.row_number().over(
         Window.partitionBy("timeframe").orderBy("combination_rank", "combination_id")) - 1
     placed = combos.withColumn("position", position.cast("int"))
-    layout = placed.select("timeframe", "position", "factor_names", "factor_versions").collect()
+    layout = sorted(placed.select("timeframe", "position", "factor_names", "factor_versions").collect(), key=lambda r: r.position)
     factors = sorted({(n, v) for r in layout for n, v in zip(r.factor_names, r.factor_versions)})
-    column = {f: f"f{i}" for i, f in enumerate(factors)}
-    values = [
-        F.first(F.when((F.col("factor_name") == n) & (F.col("factor_version") == v), F.col("factor_value")), ignorenulls=True)
-        .alias(column[(n, v)])
-        for n, v in factors
-    ]
-    wide = panel.groupBy(*BAR_KEY).agg(*values) if values else None
-    parts = []
-    for timeframe in sorted({r.timeframe for r in layout}):
-        rows = sorted((r for r in layout if r.timeframe == timeframe), key=lambda r: r.position)
-        index = np.array([
-            [factors.index((n, v)) for n, v in zip(r.factor_names, r.factor_versions)] for r in rows
-        ])
-
-        def signals(values: np.ndarray, index: np.ndarray = index) -> np.ndarray:
-            members = values[:, index]
-            whole = np.isfinite(members).all(axis=2)
-            return np.where(whole, np.where(np.isfinite(members), members, 0.0).mean(axis=2), np.nan)
-
-        here = wide.filter(F.col("timeframe") == timeframe)
-        parts.append(pair_correlations(here, "timeframe", [column[f] for f in factors], signals))
-    # Without a combination there is no pair either.
-    pairs = parts[0] if parts else combos.sparkSession.createDataFrame([], "timeframe string, a int, b int, overlap long, abs_corr double")
-    for other in parts[1:]:
-        pairs = pairs.unionByName(other)
+    place = {f: i for i, f in enumerate(factors)}
+    index: dict[str, list] = {}
+    for r in layout:
+        index.setdefault(r.timeframe, []).append([place[f] for f in zip(r.factor_names, r.factor_versions)])
+
+    def signals(timeframe: str, values: np.ndarray) -> np.ndarray:
+        return np.stack([_mean_of(values[:, own]) for own in index[timeframe]], axis=1)
+
+    if factors:
+        values = [
+            F.first(F.when((F.col("factor_name") == n) & (F.col("factor_version") == v), F.col("factor_value")), ignorenulls=True).alias(f"f{i}")
+            for (n, v), i in place.items()
+        ]
+        inside = F.lit(True)
+        if lineage.validation_start_time is not None:
+            inside &= F.col("open_time") >= lineage.validation_start_time
+        if lineage.validation_end_time is not None:
+            inside &= F.col("open_time") <= lineage.validation_end_time
+        wide = panel.filter(F.col("timeframe").isin(list(index)) & inside).groupBy(*BAR_KEY).agg(*values)
+        pairs = pair_correlations(wide, "timeframe", [f"f{i}" for i in place.values()], signals,
+                                  widths={t: len(x) for t, x in index.items()}, limit=max_correlation, min_overlap=min_overlap)
+    else:
+        pairs = combos.sparkSession.createDataFrame([], "timeframe string, a int, b int, overlap long, abs_corr double")
     decisions = greedy_decisions(pairs, placed, "timeframe", max_correlation, min_overlap)
     names = placed.select("timeframe", F.col("position").alias("reference"),
                           F.col("combination_id").alias("redundancy_reference_combination_id"))
     joined = placed.join(decisions, ["timeframe", "position"]).join(names, ["timeframe", "reference"], "left")
     survivors = Window.partitionBy("timeframe").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     rank = F.sum(F.when(~F.col("rejected"), 1).otherwise(0)).over(survivors)
+    nothing = F.lit(None).cast("double")
     return joined.select(
-        "combination_id", "factor_names", "factor_versions", "factor_categories", "timeframe", "combination_size",
-        "combination_method", F.col("combination_rank").alias("source_combination_rank"),
+        "combination_id", "factor_names", "factor_versions", "factor_categories", "timeframe", "combination_size", "combination_method",
+        F.lit(ORTHOGONALIZATION_METHOD).alias("orthogonalization_method"), F.lit(ORTHOGONALIZATION_VERSION).alias("orthogonalization_version"),
+        F.lit(lineage.analysis_time).cast("long").alias("analysis_time"),
+        F.col("combination_rank").alias("source_combination_rank"),
         F.col("combination_score").alias("source_combination_score"),
         F.col("stability_score").alias("source_stability_score"),
         F.col("confidence_score").alias("source_confidence_score"),
-        F.col("abs_corr").alias("correlation_score"), F.col("abs_corr").alias("redundancy_score"),
-        F.col("overlap").alias("correlation_overlap"), F.lit(max_correlation).alias("correlation_threshold"),
+        F.col("abs_corr").alias("correlation_score"), nothing.alias("vif_score"), F.col("abs_corr").alias("redundancy_score"),
+        nothing.alias("orthogonality_score"), nothing.alias("information_retained"),
+        F.col("overlap").alias("correlation_overlap"), F.lit(float(max_correlation)).alias("correlation_threshold"),
         F.lit(min_overlap).cast("long").alias("min_overlap_threshold"), F.lit(True).alias("redundancy_checked"),
         F.col("rejected").alias("redundancy_rejected"), "redundancy_reference_combination_id",
         (~F.col("rejected")).alias("selected"),
         F.when(~F.col("rejected"), rank).cast("int").alias("orthogonalization_rank"),
         F.when(F.col("rejected"), "redundant").otherwise("accepted").alias("orthogonalization_reason"),
+        F.lit(lineage.source_combination_version).alias("source_combination_version"), F.lit(lineage.source_fta_version).alias("source_fta_version"),
+        F.lit(lineage.source_selection_version).alias("source_selection_version"), F.lit(lineage.dataset_version).alias("dataset_version"),
+        F.lit(lineage.validation_start_time).cast("long").alias("validation_start_time"),
+        F.lit(lineage.validation_end_time).cast("long").alias("validation_end_time"),
         F.when(F.col("rejected"), "FAIL").otherwise("PASS").alias("status"),
     )
 
 
+def _mean_of(members: np.ndarray) -> np.ndarray:
+    """Mean of a combination's members on rows where all are finite, else NaN."""
+    whole = np.isfinite(members).all(axis=1)
+    return np.where(whole, np.where(np.isfinite(members), members, 0.0).mean(axis=1), np.nan)
+
+
 def alpha_scores(orthogonal: DataFrame, panel: DataFrame) -> DataFrame:
     """Alpha score of every surviving combination on every bar where all its members are finite."""
     return combined_signal(orthogonal.filter("selected"), panel).withColumnRenamed("signal", "alpha_score")

@@ -238,3 +238,55 @@ def same_members(derived: DataFrame, source: DataFrame, keys: Iterable[str]) ->
     return a.join(b, keys, "left_anti").withColumn("missing_from", F.lit("source")).unionByName(
         b.join(a, keys, "left_anti").withColumn("missing_from", F.lit("derived"))
     )
+
+
+def combination_lineage(combos: DataFrame, analysis: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Cross-check of combinations with the timeframe analysis they come from: one row per violated rule and combination.
+
+    Rules: duplicate_id; and per member missing_factor (no such name and version), not_selected; score_mismatch if the
+    combination's score is not the mean of its members' scores.
+    """
+    members = combos.select("combination_id", "combination_score", F.size("factor_names").alias("_size"), F.explode(F.arrays_zip("factor_names", "factor_versions")).alias("m"))
+    known = analysis.groupBy(F.col("factor_name"), F.col("factor_version")).agg(
+        F.max(F.col("selected").cast("int")).alias("_selected"), F.max(F.when(F.col("selected"), F.col("best_selection_score"))).alias("_score"))
+    found = members.select("combination_id", "combination_score", "_size", F.col("m.factor_names").alias("factor_name"), F.col("m.factor_versions").alias("factor_version")).join(
+        known, ["factor_name", "factor_version"], "left")
+    rule = F.when(F.col("_selected").isNull(), "missing_factor").when(F.col("_selected") == 0, "not_selected")
+    per_member = found.select("combination_id", rule.alias("rule"), F.col("factor_name").alias("detail")).filter("rule IS NOT NULL")
+    mean = found.groupBy("combination_id", "combination_score", "_size").agg(F.sum("_score").alias("_sum"), F.count("_score").alias("_n"))
+    scores = mean.filter((F.col("_n") == F.col("_size")) & ~F.coalesce(F.abs(F.col("_sum") / F.col("_n") - F.col("combination_score")) <= tolerance, F.lit(False)))
+    twice = combos.groupBy("combination_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    nothing = F.lit(None).cast("string").alias("detail")
+    return per_member.unionByName(scores.select("combination_id", F.lit("score_mismatch").alias("rule"), nothing)).unionByName(
+        twice.select("combination_id", F.lit("duplicate_id").alias("rule"), nothing))
+
+
+def orthogonalization_lineage(orthogonal: DataFrame, combos: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Cross-check of an orthogonalization table with its combinations and with itself: one row per violated rule and combination.
+
+    Rules: duplicate_id; unknown_combination, missing_combination (each side lacks the other's); timeframe_mismatch,
+    member_mismatch, rank_mismatch against the source; rejected_selected (a rejected row that is selected, passes or has another
+    reason), accepted_not_selected; weak_rejection (a rejected row whose correlation is below the threshold or whose overlap is
+    too small), missing_reference (a rejected row without an accepted reference of its timeframe).
+    """
+    source = combos.select("combination_id", F.col("timeframe").alias("_timeframe"), F.col("factor_names").alias("_names"), F.col("factor_versions").alias("_versions"),
+                           F.col("combination_rank").alias("_rank"))
+    accepted = orthogonal.filter("selected").select(F.col("combination_id").alias("redundancy_reference_combination_id"), "timeframe", F.lit(True).alias("_accepted")).distinct()
+    both = orthogonal.join(source, "combination_id", "left").join(accepted, ["redundancy_reference_combination_id", "timeframe"], "left")
+    rejected, known = F.col("redundancy_rejected"), F.col("_timeframe").isNotNull()
+    rules = {
+        "unknown_combination": ~known,
+        "timeframe_mismatch": known & (F.col("_timeframe") != F.col("timeframe")),
+        "member_mismatch": known & ((F.col("_names") != F.col("factor_names")) | (F.col("_versions") != F.col("factor_versions"))),
+        "rank_mismatch": known & (F.col("_rank") != F.col("source_combination_rank")),
+        "rejected_selected": rejected & (F.col("selected") | (F.col("status") == "PASS") | (F.col("orthogonalization_reason") != "redundant")),
+        "accepted_not_selected": ~rejected & (~F.col("selected") | (F.col("status") != "PASS")),
+        "weak_rejection": rejected & ~F.coalesce((F.col("correlation_score") >= F.col("correlation_threshold") - tolerance)
+                                                 & (F.col("correlation_overlap") >= F.col("min_overlap_threshold")), F.lit(False)),
+        "missing_reference": rejected & F.col("_accepted").isNull(),
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    rows = both.select("combination_id", F.explode(broken).alias("rule")).distinct()
+    twice = orthogonal.groupBy("combination_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("combination_id", F.lit("duplicate_id").alias("rule"))
+    absent = combos.select("combination_id").join(orthogonal.select("combination_id"), "combination_id", "left_anti").distinct().withColumn("rule", F.lit("missing_combination"))
+    return rows.unionByName(twice).unionByName(absent)
