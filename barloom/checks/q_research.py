@@ -293,6 +293,40 @@ SELECT timeframe, selected_direction, count(*) AS factor_folds, avg(raw_oos_ic)
 add("walk_forward_audit", lambda s, d: stability.walk_forward_audit(walk(s, d)), f"""WITH {ORDERED}
 SELECT timeframe, count(*) AS folds, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status <> 'PASS') AS failed, CAST(sum(test_rows) AS BIGINT) AS oos_rows,
   count(*) FILTER (train_end > test_start) AS overlapping, min(test_start) AS first_oos, max(test_end) AS last_oos FROM walk GROUP BY ROLLUP (timeframe)""")
+
+
+def audited_rows(s, d):
+    """Observations with faults: one factor's rows twice every 7th day, another's as train rows every 5th."""
+    rows = folds.observations(fold_rows(s, d))
+    day = F.floor(F.col("open_time") / 86_400_000)
+    copies = F.when((F.col("factor_name") == "momentum") & (day % 7 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    train = (F.col("factor_name") == "price_zscore") & (day % 5 == 0)
+    return rows.withColumn("partition", F.when(train, "TRAIN").otherwise("OOS")).withColumn("_copy", F.explode(copies)).drop("_copy")
+
+
+AUDIT = f"""{ORDERED},
+ob AS MATERIALIZED (SELECT o.* EXCLUDE (status), CASE WHEN g.n > 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+    CASE WHEN factor_name = 'price_zscore' AND (open_time // 86400000) % 5 = 0 THEN 'TRAIN' ELSE 'OOS' END AS "partition"
+  FROM (SELECT *, 0 AS status, unnest(CASE WHEN factor_name = 'momentum' AND (open_time // 86400000) % 7 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM oos) o
+  JOIN (SELECT timeframe, fold, count(future_return_1) FILTER (selected) AS n FROM oos GROUP BY ALL) g USING (timeframe, fold)),
+wi AS (SELECT symbol, timeframe, fold, min(open_time) AS a, max(open_time) AS z FROM ob WHERE "partition" = 'OOS' GROUP BY ALL),
+fa AS (SELECT symbol, timeframe, count(*) - 1 AS dup, 0 AS ov, 0 AS tr FROM ob GROUP BY symbol, timeframe, open_time, factor_name, factor_version, fold, "partition"
+  UNION ALL SELECT symbol, timeframe, 0, 1, 0 FROM (SELECT *, max(z) OVER (PARTITION BY symbol, timeframe ORDER BY a, fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM wi) WHERE a < reached
+  UNION ALL SELECT symbol, timeframe, 0, 0, 1 FROM ob JOIN wi USING (symbol, timeframe, fold) WHERE "partition" = 'TRAIN' AND open_time BETWEEN a AND z),
+lv AS (SELECT CASE grouping(symbol, timeframe) WHEN 0 THEN 'symbol' WHEN 2 THEN 'timeframe' ELSE 'total' END AS level, symbol, timeframe, count(*) AS rows, count(*) FILTER (selected) AS selected_rows,
+  count(*) FILTER (status = 'PASS') AS pass_rows, count(*) FILTER (status <> 'PASS') AS fail_rows, count(*) FILTER ("partition" = 'OOS') AS oos_rows, min(open_time) AS first_open_time, max(open_time) AS last_open_time,
+  count(future_return_1) AS return_non_null, count(*) - count(future_return_1) AS return_null, avg(future_return_1) AS return_mean, stddev_samp(future_return_1) AS return_std, min(future_return_1) AS return_min,
+  max(future_return_1) AS return_max, avg(future_return_1) FILTER ("partition" = 'OOS') AS oos_return_mean, stddev_samp(future_return_1) FILTER ("partition" = 'OOS') AS oos_return_std,
+  count(DISTINCT factor_name) AS unique_factors, count(DISTINCT (factor_name, factor_version)) AS unique_factor_versions, count(DISTINCT (timeframe, fold)) AS unique_folds
+  FROM ob GROUP BY GROUPING SETS ((symbol, timeframe), (timeframe), ())),
+fl AS (SELECT CASE grouping(symbol, timeframe) WHEN 0 THEN 'symbol' WHEN 2 THEN 'timeframe' ELSE 'total' END AS level, symbol, timeframe, CAST(sum(dup) AS BIGINT) AS duplicates,
+  CAST(sum(ov) AS BIGINT) AS overlapping_windows, CAST(sum(tr) AS BIGINT) AS train_rows_in_test FROM fa GROUP BY GROUPING SETS ((symbol, timeframe), (timeframe), ()))"""
+AUDIT_DOUBLES = ["return_mean", "return_std", "return_min", "return_max", "oos_return_mean", "oos_return_std"]
+add("observation_audit", lambda s, d: stability.observation_audit(audited_rows(s, d)), f"""WITH {AUDIT}
+SELECT *, CASE WHEN error = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT lv.*, duplicates, overlapping_windows, train_rows_in_test,
+  array_to_string([x for x in [CASE WHEN duplicates > 0 THEN 'duplicates' END, CASE WHEN overlapping_windows > 0 THEN 'overlapping_windows' END,
+    CASE WHEN train_rows_in_test > 0 THEN 'train_rows_in_test' END] if x IS NOT NULL], '; ') AS error
+  FROM lv JOIN fl ON lv.level = fl.level AND lv.symbol IS NOT DISTINCT FROM fl.symbol AND lv.timeframe IS NOT DISTINCT FROM fl.timeframe)""", AUDIT_DOUBLES)
 COV = f"""{PURGED}, cov AS (SELECT timeframe, factor_name, factor_version, count(*) AS rows, count(*) FILTER (factor_value IS NULL) / count(*) AS null_rate, min(open_time) FILTER (factor_value IS NOT NULL) AS first_value,
   max(open_time) FILTER (factor_value IS NOT NULL) AS last_value, max(open_time) AS last_row, count(DISTINCT open_time) AS bars FROM poos GROUP BY ALL)"""
 add("factor_coverage", lambda s, d: stability.coverage(purged_rows(s, d)), f"WITH {COV} SELECT * FROM cov", ["null_rate"])

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from barloom.operators import performance, selection, verify
 from barloom.operators.combination import alpha_scores
+from barloom.operators.features import feature_frame
 from barloom.operators.folds import purged_folds
+from barloom.operators.labels import label_frame
 from barloom.operators.ledger import executions, positions, risk_decisions
 
 from . import q_folds, q_ledger, q_panel, q_research, tables
-from .q_data import LABELS, verify_sql
+from .factor_sql import FEATURE_SQL, SERIES, staged
+from .q_data import FEATURE_INPUTS_1D, FEATURE_NAMES, LABELS, RET, verify_sql
 from .registry import add
 from .sql import BARS_1D
 
@@ -66,3 +69,54 @@ def _positions(s, d):
 
 
 add("verify_positions", _positions)
+
+
+# -- damaged feature and training tables ---------------------------------------------------------------
+DAY = "(open_time // 86400000)"
+
+
+def _broken(table):
+    """Every 7th day a NaN, every 11th an infinity, every 13th the row twice, every 17th a time before the epoch."""
+    day = F.floor(F.col("open_time") / 86_400_000)
+    changed = table.withColumns({
+        "returns": F.when(day % 7 == 0, F.lit(float("nan"))).otherwise(F.col("returns")), "atr": F.when(day % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("atr")),
+        "open_time": F.when(day % 17 == 0, -F.col("open_time")).otherwise(F.col("open_time")),
+        "_copy": F.explode(F.when(day % 13 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))})
+    return changed.drop("_copy")
+
+
+FEATS_SQL = f"""feats AS (SELECT * EXCLUDE (place) FROM ({staged('inputs', [], {**FEATURE_SQL, 'place': f'row_number() OVER ({SERIES})'}, 'symbol, timeframe, open_time')}) WHERE place > 20)"""
+
+
+def broken_sql(source: str) -> str:
+    return f"""{FEATS_SQL}, broken AS MATERIALIZED (SELECT * REPLACE (CASE WHEN {DAY} % 7 = 0 THEN 'nan'::DOUBLE ELSE returns END AS returns,
+  CASE WHEN {DAY} % 11 = 0 THEN '-inf'::DOUBLE ELSE atr END AS atr, CASE WHEN {DAY} % 17 = 0 THEN -open_time ELSE open_time END AS open_time),
+  unnest(CASE WHEN {DAY} % 13 = 0 THEN [1, 2] ELSE [1] END) AS copy FROM {source})"""
+
+
+def any_sql(test: str, columns) -> str:
+    return "(" + " OR ".join(f"coalesce({test.format(c)}, false)" for c in columns) + ")"
+
+
+def broken_tests(numbers, required) -> dict[str, str]:
+    return {"null_rows": any_sql("{} IS NULL", required) if required else "false", "nan_rows": any_sql("isnan({})", numbers),
+            "infinite_rows": any_sql("isinf({})", numbers), "invalid_time_rows": "open_time <= 0"}
+
+
+def _features(s, d):
+    return feature_frame(tables.feature_inputs_1d(s, d))
+
+
+def _training(s, d):
+    """Features with labels; every 5th day lacks a return."""
+    day = F.floor(F.col("open_time") / 86_400_000)
+    labels = label_frame(tables.bars_1d(s, d)).withColumn("future_return_5", F.when(day % 5 != 0, F.col("future_return_5")))
+    return _features(s, d).join(labels, ["symbol", "timeframe", "open_time"])
+
+
+add("verify_features", lambda s, d: verify.verify(_broken(_features(s, d)), verify.catalog()["features"]),
+    f"WITH {FEATURE_INPUTS_1D}, {broken_sql('feats')} " + verify_sql("broken", BAR, broken_tests(FEATURE_NAMES, ())))
+JOINED = f"""(SELECT f.*, l.* EXCLUDE (symbol, timeframe, open_time) REPLACE (CASE WHEN (l.open_time // 86400000) % 5 <> 0 THEN l.future_return_5 END AS future_return_5)
+  FROM feats f JOIN labels_1d l USING (symbol, timeframe, open_time))"""
+add("verify_training", lambda s, d: verify.verify(_broken(_training(s, d)), verify.catalog()["training"]),
+    f"WITH {FEATURE_INPUTS_1D}, {LABELS}, {broken_sql(JOINED)} " + verify_sql("broken", BAR, broken_tests([*FEATURE_NAMES, *RET], RET)))

@@ -214,6 +214,50 @@ def walk_forward_audit(folds: DataFrame) -> DataFrame:
     )
 
 
+def observation_audit(observations: DataFrame) -> DataFrame:
+    """Rows, uniqueness, returns and isolation of walk-forward observations per symbol, per timeframe and in total.
+
+    ``observations`` have symbol, timeframe, open_time, factor, fold, partition (OOS or TRAIN), selected, status and
+    future_return_1.  ``level`` is symbol, timeframe or total.  Faults are found per symbol and added up: ``duplicates`` (rows
+    beyond the first of a key), ``overlapping_windows`` (test windows that begin before an earlier one has ended, by one sweep
+    over sorted starts with the running maximum of ends) and ``train_rows_in_test`` (train rows within their fold's test
+    window).  A level without a fault passes.  An empty table gives no level.
+    """
+    series = ["symbol", "timeframe"]
+    sets = [series, ["timeframe"], []]
+    level = F.when(F.grouping_id() == 0, "symbol").when(F.grouping_id() == 2, "timeframe").otherwise("total").alias("level")
+    y, oos = F.col("future_return_1"), F.col("partition") == "OOS"
+    stats = observations.groupingSets(sets, *series).agg(
+        level, F.count(F.lit(1)).alias("rows"), F.count_if("selected").alias("selected_rows"), F.count_if(F.col("status") == "PASS").alias("pass_rows"),
+        F.count_if(F.col("status") != "PASS").alias("fail_rows"), F.count_if(oos).alias("oos_rows"), F.min("open_time").alias("first_open_time"),
+        F.max("open_time").alias("last_open_time"), F.count(y).alias("return_non_null"), F.count_if(y.isNull()).alias("return_null"), F.avg(y).alias("return_mean"),
+        F.stddev_samp(y).alias("return_std"), F.min(y).alias("return_min"), F.max(y).alias("return_max"),
+        F.avg(F.when(oos, y)).alias("oos_return_mean"), F.stddev_samp(F.when(oos, y)).alias("oos_return_std"),
+    )
+    # Distinct counts run over one row per series, factor and fold.
+    units = observations.select(*series, *FACTOR, "fold").distinct()
+    unique = units.groupingSets(sets, *series).agg(
+        level, F.count_distinct("factor_name").alias("unique_factors"), F.count_distinct(*FACTOR).alias("unique_factor_versions"),
+        F.count_distinct("timeframe", "fold").alias("unique_folds"),
+    )
+    twice = observations.groupBy(*BAR_KEY, *FACTOR, "fold", "partition").agg((F.count(F.lit(1)) - 1).alias("duplicates")).filter("duplicates > 0")
+    windows = observations.filter(oos).groupBy(*series, "fold").agg(F.min("open_time").alias("_start"), F.max("open_time").alias("_end"))
+    sweep = Window.partitionBy(*series).orderBy("_start", "fold").rowsBetween(Window.unboundedPreceding, -1)
+    overlaps = windows.withColumn("_reached", F.max("_end").over(sweep)).filter(F.col("_start") < F.col("_reached")).select(*series, F.lit(1).alias("overlapping_windows"))
+    inside = (observations.filter(F.col("partition") == "TRAIN").join(windows, [*series, "fold"])
+              .filter(F.col("open_time").between(F.col("_start"), F.col("_end"))).select(*series, F.lit(1).alias("train_rows_in_test")))
+    names = ["duplicates", "overlapping_windows", "train_rows_in_test"]
+    faults = twice.select(*series, "duplicates").unionByName(overlaps, allowMissingColumns=True).unionByName(inside, allowMissingColumns=True)
+    summed = faults.groupingSets(sets, *series).agg(level, *[F.sum(n).alias(n) for n in names])
+    # A level is a group whatever is null in it, so its parts are grouped and not joined.
+    parts = stats.unionByName(unique, allowMissingColumns=True).unionByName(summed, allowMissingColumns=True)
+    values = [c for c in parts.columns if c not in ("level", *series)]
+    counts = ["unique_factors", "unique_factor_versions", "unique_folds", *names]
+    out = parts.groupBy("level", *series).agg(*[(F.coalesce(F.max(c), F.lit(0)) if c in counts else F.max(c)).alias(c) for c in values])
+    errors = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(n)) for n in names]))
+    return out.withColumn("error", F.array_join(errors, "; ")).withColumn("status", F.when(F.col("error") == "", "PASS").otherwise("FAIL"))
+
+
 def coverage(oos: DataFrame, keys: Sequence[str] = ("timeframe", *FACTOR)) -> DataFrame:
     """Null rate and value times per factor in the out-of-sample rows."""
     value = F.col("factor_value")

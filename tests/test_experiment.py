@@ -132,3 +132,26 @@ def test_universe_lists_completed_and_skipped_runs(spark):
     assert got["one", "S0", 1] == ("SKIPPED", "analyze", "TOO_FEW_PAIRS") and got["one", "S1", 1] == got["none", "S0", 1] == ("SKIPPED", "compute", "NO_VALUES")
     board = {r.factor_name: r for r in experiment.universe_leaderboard(runs).collect()}
     assert board["f"].place == 1 and board["f"].completed == 4 and board["absent"].failed_compute == 4 and board["flat"].failed_analyze == 2
+
+
+def test_audit_finds_one_overlap_and_one_duplicate_at_all_levels(spark):
+    from barloom.operators import stability
+
+    def row(symbol, timeframe, time, fold, partition="OOS", value=0.5):
+        return (symbol, timeframe, time, "f", "1", fold, partition, True, "PASS", value)
+
+    rows = [row(s, tf, t, 1 + t // 4) for s in ("A", "B") for tf in ("1d", "1h") for t in range(8)]
+    rows.append(row("A", "1d", 2, 1))  # once more
+    rows.append(row("A", "1d", 5, 1))  # the first window now ends inside the second
+    rows.append(row("B", "1h", 6, 2, "TRAIN", None))  # a train row inside its fold's test window
+    names = "symbol string, timeframe string, open_time long, factor_name string, factor_version string, fold int, partition string, selected boolean, status string, future_return_1 double"
+    got = {(r.level, r.symbol, r.timeframe): r for r in stability.observation_audit(spark.createDataFrame(rows, names)).collect()}
+    assert len(got) == 4 + 2 + 1
+    for level in (("symbol", "A", "1d"), ("timeframe", None, "1d")):
+        assert (got[level].duplicates, got[level].overlapping_windows, got[level].train_rows_in_test, got[level].status) == (1, 1, 0, "FAIL")
+        assert got[level].error == "duplicates; overlapping_windows"
+    assert got["symbol", "B", "1h"].error == got["timeframe", None, "1h"].error == "train_rows_in_test"
+    assert got["symbol", "B", "1d"].status == got["symbol", "A", "1h"].status == "PASS"
+    total = got["total", None, None]
+    assert (total.rows, total.duplicates, total.overlapping_windows, total.train_rows_in_test, total.unique_folds, total.return_null, total.oos_rows) == (35, 1, 1, 1, 4, 1, 34)
+    assert stability.observation_audit(spark.createDataFrame([], names)).count() == 0
