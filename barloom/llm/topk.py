@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 TILE_BITS = 12  # rows of a candidate tile: 4,096
 QUERY_BLOCK = 8192  # queries of one grid column
+CELL_ROWS = 1 << 20  # candidates of one grid cell
 SCORE_CELLS = 1 << 22  # entries of one score tile
 MERGE_FAN = 8
 _LONG = (1 << 63) - 1
@@ -128,8 +129,8 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0
     vectors of their own length (empty ones score 0).  Ties go to the smaller id.  Rows of a repeated id are
     candidates of their own, and as queries they fill one list together.  With fewer than ``k`` candidates all are returned; an empty table gives none.
 
-    Queries are cut into blocks and rows into parts; a task holds one block and streams its part, so memory does not
-    grow.  Rows are copied once per query block: that is the least a stated query set against all rows takes.
+    Queries are cut into blocks and rows into parts of at most about a million; a task holds one block and streams its
+    part, so neither memory nor a task's reading grows.  Rows are copied once per query block: that is the least a stated query set against all rows takes.
     """
     if k < 1 or query_every < 1:
         raise ValueError("k and query_every must be positive")
@@ -144,9 +145,10 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, scale: float = 64.0
                .select(F.col("vec_id").cast("long").alias("vec_id"), quantised.alias("values"))
                .withColumn("dim", F.size("values")))
     is_query = F.pmod(F.col("vec_id"), F.lit(query_every)) == 0
-    n_queries = max(1, vectors.where(is_query).count())
-    blocks = -(-n_queries // QUERY_BLOCK)
-    parts = max(1, -(-max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) // blocks))
+    n_rows, n_queries = vectors.select(F.count("*"), F.count(F.when(is_query, 1))).first()
+    blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = max(1, -(-tasks // blocks), -(-n_rows // CELL_ROWS))
     hashed = F.xxhash64("vec_id", "values")  # of a repeated id too, the rows go to different cells
     queries = vectors.where(is_query).select(
         F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), "dim", F.lit(0).alias("kind"), "vec_id", "values",

@@ -306,3 +306,13 @@ def test_language_model_without_training_rows(spark):
     row = found.first()
     assert (row.n_tokens, row.n_known, language.words.total) == (3, 0, 0) and row.base_score == 0.0 and row.score == pytest.approx(0)
     assert hmm.scored(df.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_top_k_with_more_query_blocks_than_partitions(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.uniform(-2, 2) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in topk.top_k(df, 3, 2).collect())
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "CELL_ROWS", 30)
+    assert sorted(tuple(r) for r in topk.top_k(df, 3, 2).collect()) == want and len(want) == 300
