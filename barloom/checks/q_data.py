@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.clock import utc_year
-from barloom.operators import asof, cleaning, labels, validation, verify
+from barloom.operators import asof, cleaning, labels, training, validation, verify
 from barloom.operators.factors import CATALOG, dependency_class, executable, factor_frame, required_datasets
 from barloom.operators.features import FEATURES, feature_frame
 from barloom.sources import payloads
@@ -411,9 +411,23 @@ add("forward_return", lambda s, d: labels.forward_return(tables.bars_1d(s, d), 3
     f"WITH {BARS_1D} SELECT symbol, open_time, lead(open, 3) OVER ({SERIES}) / open - 1 AS forward_return FROM bars", ["forward_return"])
 
 
+def _sides(s, d):
+    return feature_frame(tables.bars_1d(s, d), ["returns", "rolling_mean", "atr", "dollar_volume"]), labels.label_frame(tables.bars_1d(s, d))
+
+
 def _training(s, d):
-    feats = feature_frame(tables.bars_1d(s, d), ["returns", "rolling_mean", "atr", "dollar_volume"])
-    return feats.join(labels.label_frame(tables.bars_1d(s, d)), ["symbol", "timeframe", "open_time"])
+    return training.training_join(*_sides(s, d))
+
+
+def _damaged_sides(s, d):
+    """Every 13th day's features twice, every 17th day's labels thrice, every 19th day's label times null."""
+    day = F.floor(F.col("open_time") / 86_400_000)
+
+    def copied(df, every, n):
+        return df.withColumn("_copy", F.explode(F.when(day % every == 0, F.sequence(F.lit(1), F.lit(n))).otherwise(F.array(F.lit(1))))).drop("_copy")
+
+    feats, targets = _sides(s, d)
+    return copied(feats, 13, 2), copied(targets, 17, 3).withColumn("open_time", F.when(day % 19 != 0, F.col("open_time")))
 
 
 _tf = {n: FEATURE_SQL[n] for n in ("returns", "rolling_mean", "atr", "dollar_volume")}
@@ -421,3 +435,12 @@ add("training_join", _training, f"""
 WITH {BARS_1D}, {LABELS}, feats AS ({staged('bars', [], {**_tf, 'place': f'row_number() OVER ({SERIES})'}, 'symbol, timeframe, open_time')})
 SELECT f.* EXCLUDE (place), l.* EXCLUDE (symbol, timeframe, open_time) FROM feats f JOIN labels_1d l USING (symbol, timeframe, open_time)
 WHERE place > 20""", [*_tf, *RET], special={"dollar_volume": 3})
+SIDES = f"""{BARS_1D}, {LABELS}, feats AS ({staged('bars', [], {**_tf, 'place': f'row_number() OVER ({SERIES})'}, 'symbol, timeframe, open_time')}),
+fs AS MATERIALIZED (SELECT * EXCLUDE (place), unnest(CASE WHEN (open_time // 86400000) % 13 = 0 THEN [1, 2] ELSE [1] END) AS c FROM feats WHERE place > 20),
+ls AS MATERIALIZED (SELECT * REPLACE (CASE WHEN (open_time // 86400000) % 19 <> 0 THEN open_time END AS open_time), unnest(CASE WHEN (open_time // 86400000) % 17 = 0 THEN [1, 2, 3] ELSE [1] END) AS c FROM labels_1d),
+kf AS MATERIALIZED (SELECT side, symbol, timeframe, open_time, count(*) AS copies, CASE WHEN open_time IS NULL THEN 'NULL_KEY' ELSE 'DUPLICATE_KEY' END AS fault
+  FROM (SELECT 'features' AS side, symbol, timeframe, open_time FROM fs UNION ALL SELECT 'labels', symbol, timeframe, open_time FROM ls) GROUP BY ALL HAVING count(*) > 1 OR open_time IS NULL)"""
+add("training_key_faults", lambda s, d: training.key_faults(*_damaged_sides(s, d)), f"WITH {SIDES} SELECT * FROM kf")
+add("training_join_of_unique_keys", lambda s, d: training.training_join(*_damaged_sides(s, d), strict=False), f"""WITH {SIDES}
+SELECT fs.* EXCLUDE (c), ls.* EXCLUDE (symbol, timeframe, open_time, c) FROM fs JOIN ls USING (symbol, timeframe, open_time)
+WHERE (symbol, timeframe, open_time) NOT IN (SELECT (symbol, timeframe, open_time) FROM kf WHERE fault = 'DUPLICATE_KEY')""", [*_tf, *RET], special={"dollar_volume": 3})

@@ -14,6 +14,7 @@ from barloom.operators.labels import label_frame
 from . import tables
 from .factor_sql import FACTOR_SQL, FEATURE_SQL, SERIES, staged
 from .q_data import GROUPS, LABELS, RET
+from .q_experiment import keeper
 from .q_factors import COMPANION_COLUMNS  # noqa: F401
 from .q_folds import FF, ORDERED, PURGED, fold_rows, ic_pair_sql, purged_oos, rank_sql, walk
 from .q_ledger import PRED_SQL, predictions
@@ -263,7 +264,7 @@ def _status(s, d):
     return stability.timeframe_status(stable(s, d), pooled, pooled)
 
 
-add("stability_status", _status, f"""WITH {FIC},
+STATUS_SQL = f"""WITH {FIC},
 sf AS (SELECT timeframe, fold FROM poos WHERE selected GROUP BY ALL),
 pool AS (SELECT timeframe, avg(oriented_oos_ic) AS ic, count(*) AS folds, count(*) FILTER (oriented_oos_ic < 0) AS negative_folds
   FROM sf LEFT JOIN {ic_pair_sql('timeframe, fold', 'poos')} i USING (timeframe, fold) GROUP BY timeframe),
@@ -278,12 +279,42 @@ SELECT * EXCLUDE (ic_weak), CASE WHEN status = 'INSUFFICIENT_DATA' OR coalesce(f
   WHEN 2 * lost > factors THEN 'SELECTION_OVERFITTING' WHEN status = 'ORIENTATION_INSUFFICIENT' THEN 'FACTOR_ORIENTATION_INSUFFICIENT' WHEN status = 'STABLE_SIGNAL' THEN 'STABLE_SIGNAL'
   WHEN ic_weak THEN 'TIMEFRAME_SIGNAL_WEAKNESS' WHEN walk_ic > 0 AND positive_share >= 0.5 THEN 'STABLE_SIGNAL' WHEN walk_ic > 0 THEN 'SELECTION_OVERFITTING'
   WHEN walk_ic IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'TIMEFRAME_SIGNAL_WEAKNESS' END AS verdict
-FROM (SELECT *, coalesce(walk_ic <= 0, false) AS ic_weak FROM ss)""", ["positive_share", "walk_ic", "purged_ic"])
+FROM (SELECT *, coalesce(walk_ic <= 0, false) AS ic_weak FROM ss)"""
+add("stability_status", _status, STATUS_SQL, ["positive_share", "walk_ic", "purged_ic"])
 add("redundancy_groups",
     lambda s, d: stability.redundancy_groups(research.correlation_matrix(wide_five(s, d), "timeframe", FIVE, "spearman"), 0.6), f"""WITH RECURSIVE m AS MATERIALIZED ({_matrix_sql('spearman')}),
 e AS (SELECT timeframe, factor_a AS a, factor_b AS b FROM m WHERE abs(corr) >= 0.6 UNION SELECT timeframe, factor_b, factor_a FROM m WHERE abs(corr) >= 0.6),
 r AS (SELECT timeframe, a, a AS z FROM e UNION SELECT r.timeframe, r.a, e.b FROM r JOIN e ON e.timeframe = r.timeframe AND e.a = r.z)
 SELECT timeframe, min(z) AS group_name, a AS factor_name FROM r GROUP BY timeframe, a""")
+REDUNDANT = 0.4
+TRAIN_PAIRS = f"""tv AS (SELECT symbol, timeframe, open_time, factor_name, factor_version, factor_value FROM rows
+  WHERE selected AND factor_value IS NOT NULL AND row_id < (size - 315) // 63 * 63 + 252),
+tp AS (SELECT a.timeframe, a.factor_name AS fa, b.factor_name AS fb, a.factor_value AS x, b.factor_value AS y FROM tv a JOIN tv b USING (symbol, timeframe, open_time) WHERE a.factor_name < b.factor_name),
+tc AS MATERIALIZED ({IC0.format(k='timeframe, fa, fb', src=f"SELECT timeframe, fa, fb, {rank_sql('timeframe, fa, fb', 'x')} AS x, {rank_sql('timeframe, fa, fb', 'y')} AS y FROM tp")}),
+te AS MATERIALIZED (SELECT timeframe, fa AS a, fb AS b FROM tc WHERE ic >= {REDUNDANT} UNION SELECT timeframe, fb, fa FROM tc WHERE ic >= {REDUNDANT}),
+tr AS (SELECT timeframe, a, a AS z FROM te UNION SELECT tr.timeframe, tr.a, te.b FROM tr JOIN te ON te.timeframe = tr.timeframe AND te.a = tr.z),
+tg AS MATERIALIZED (SELECT timeframe, a AS factor_name, '1.0.0' AS factor_version, min(z) AS group_name FROM tr GROUP BY timeframe, a)"""
+
+
+@tables.staged
+def redundant_train(s, d):
+    return stability.train_redundancy(folds.train_observations(fold_rows(s, d)), keeper(s, d, "redundancy"), REDUNDANT)
+
+
+add("train_redundancy", redundant_train, f"WITH RECURSIVE {ORDERED}, {TRAIN_PAIRS} SELECT * FROM tg")
+
+
+def _verdict(s, d):
+    per_fold = folds.purged_fold_metrics(purged_rows(s, d))
+    pooled = per_fold.groupBy("timeframe").agg(F.avg("oos_ic").alias("oos_ic"), F.count(F.lit(1)).alias("folds"), F.count_if(F.col("oos_ic") < 0).alias("negative_folds"))
+    return stability.timeframe_status(stable(s, d), pooled, pooled, redundant_train(s, d)).select("timeframe", "status", "redundant_groups", "verdict")
+
+
+VERDICT = STATUS_SQL.replace("WHEN status = 'STABLE_SIGNAL' THEN", "WHEN redundant_groups > 0 AND positive_share < 0.5 THEN 'FACTOR_REDUNDANCY' WHEN status = 'STABLE_SIGNAL' THEN").replace(
+    "FROM ss)", "FROM ss LEFT JOIN (SELECT timeframe, count(DISTINCT group_name) AS rg FROM tg GROUP BY timeframe) USING (timeframe))").replace(
+    "coalesce(walk_ic <= 0, false) AS ic_weak", "coalesce(walk_ic <= 0, false) AS ic_weak, coalesce(rg, 0) AS redundant_groups").replace("WITH ", f"WITH RECURSIVE ", 1).replace(
+    "\nsf AS (", f"\n{TRAIN_PAIRS},\nsf AS (", 1)
+add("stability_verdict", _verdict, f"SELECT timeframe, status, redundant_groups, verdict FROM ({VERDICT})")
 add("integrity_audit", lambda s, d: stability.integrity_audit(evaluated(s, d), factor_panel(s, d).filter(F.col("open_time") % 7 != 0)), f"""WITH {PURGED}
 SELECT timeframe, count(*) AS rows, 0::BIGINT AS duplicate_rows, 0::BIGINT AS time_mismatches, count(*) FILTER (future_return_1 IS NULL) AS missing_returns,
   count(*) FILTER (open_time % 7 = 0) AS not_in_store, 0::BIGINT AS value_mismatches FROM evaluation GROUP BY timeframe""")

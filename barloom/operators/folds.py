@@ -202,6 +202,13 @@ def observations(rows: DataFrame, layout: Layout | None = None) -> DataFrame:
     return oos.withColumn("partition", F.lit("OOS")).withColumn("status", F.when(status == 1, "PASS").otherwise("FAIL"))
 
 
+def train_observations(rows: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """Rows that stand in at least one train window, once each, tagged TRAIN."""
+    layout = layout or Layout()
+    inside = F.when(layout.short(), layout.short_train()).otherwise(layout.train_folds(F.col("row_id")).isNotNull())
+    return with_sizes(rows).filter(inside).drop("_size").withColumn("partition", F.lit("TRAIN"))
+
+
 def factor_train_counts(rows: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Rows of each factor in each train window."""
     return train_parts(rows, layout or Layout(), FACTOR, {"train_rows": (F.count(F.lit(1)), "sum")})

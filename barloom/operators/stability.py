@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import quantiles
+from barloom.functions.graph import Keep, components
+from barloom.functions.stats import quantiles, spearman
 
 from .panel import BAR_KEY
 
@@ -112,10 +113,12 @@ def degradation(stability: DataFrame) -> DataFrame:
     )
 
 
-def timeframe_status(stability: DataFrame, walk_ic: DataFrame, purged_ic: DataFrame) -> DataFrame:
+def timeframe_status(stability: DataFrame, walk_ic: DataFrame, purged_ic: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Status and verdict per timeframe from class counts and pooled out-of-sample ICs.
 
-    ``walk_ic`` and ``purged_ic`` have timeframe, oos_ic, folds and negative_folds.
+    ``walk_ic`` and ``purged_ic`` have timeframe, oos_ic, folds and negative_folds; ``groups`` are those of ``train_redundancy``.  With
+    groups, ``redundant_groups`` is counted, and a timeframe that has some while less than half of its factors have a
+    positive IC gets the verdict FACTOR_REDUNDANCY.
     """
     count = lambda label: F.count_if(F.col("stability_class") == label)
     facts = stability.groupBy("timeframe").agg(
@@ -127,6 +130,11 @@ def timeframe_status(stability: DataFrame, walk_ic: DataFrame, purged_ic: DataFr
     joined = facts.join(walk_ic.select("timeframe", F.col("oos_ic").alias("walk_ic"), "folds", "negative_folds"), "timeframe", "left").join(
         purged_ic.select("timeframe", F.col("oos_ic").alias("purged_ic")), "timeframe", "left"
     )
+    redundant = F.lit(False)
+    if groups is not None:
+        counted = groups.groupBy("timeframe").agg(F.count_distinct("group_name").alias("redundant_groups"))
+        joined = joined.join(counted, "timeframe", "left").withColumn("redundant_groups", F.coalesce("redundant_groups", F.lit(0)))
+        redundant = (F.col("redundant_groups") > 0) & (F.col("positive_share") < 0.5)
     c = F.col
     not_up = lambda x: F.coalesce(c(x) <= 0, F.lit(True))
     dropped = c("lost") > c("factors") / 2
@@ -148,6 +156,7 @@ def timeframe_status(stability: DataFrame, walk_ic: DataFrame, purged_ic: DataFr
         .when(weak_both & (c("negative_folds") > c("folds") / 2), "TIMEFRAME_SIGNAL_WEAKNESS")
         .when(dropped, "SELECTION_OVERFITTING")
         .when(c("status") == "ORIENTATION_INSUFFICIENT", "FACTOR_ORIENTATION_INSUFFICIENT")
+        .when(F.coalesce(redundant, F.lit(False)), "FACTOR_REDUNDANCY")
         .when(c("status") == "STABLE_SIGNAL", "STABLE_SIGNAL")
         .when(weak_both, "TIMEFRAME_SIGNAL_WEAKNESS")
         .when(c("walk_ic") > 0, F.when(c("positive_share") >= 0.5, "STABLE_SIGNAL").otherwise("SELECTION_OVERFITTING"))
@@ -157,6 +166,26 @@ def timeframe_status(stability: DataFrame, walk_ic: DataFrame, purged_ic: DataFr
     return staged.withColumn("verdict", verdict)
 
 
+def train_redundancy(train: DataFrame, keep: Keep, limit: float = REDUNDANCY_LIMIT) -> DataFrame:
+    """Groups of redundant factors per timeframe: timeframe, factor_name, factor_version, group_name.
+
+    ``train`` holds observations with ``partition`` and ``selected``; only selected TRAIN rows count.  Two factors are tied if
+    the rank correlation over the bars that have both is ``limit`` or more; groups are the connected components.  A bar
+    holds one row per selected factor, so its pairs are bounded by the selection.
+    """
+    name = F.concat("factor_name", F.lit("::"), "factor_version")
+    rows = train.filter((F.col("partition") == "TRAIN") & F.col("selected") & F.col("factor_value").isNotNull()).select(
+        *BAR_KEY, F.struct(name.alias("name"), F.col("factor_value").alias("value")).alias("cell"))
+    bars = rows.groupBy(*BAR_KEY).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    later = F.filter("cells", lambda c: c["name"] > F.col("a.name"))
+    pairs = bars.select("timeframe", "cells", F.explode("cells").alias("a")).select("timeframe", "a", F.explode(later).alias("b")).select(
+        "timeframe", F.col("a.name").alias("factor_a"), F.col("b.name").alias("factor_b"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
+    strong = spearman(pairs, ["timeframe", "factor_a", "factor_b"], "x", "y", "corr").filter(F.col("corr") >= limit)
+    parts = F.split("node", "::")
+    return components(strong, ["timeframe"], "factor_a", "factor_b", keep).select(
+        "timeframe", parts[0].alias("factor_name"), parts[1].alias("factor_version"), F.split("component", "::")[0].alias("group_name"))
+
+
 def redundancy_groups(pairs: DataFrame, limit: float = REDUNDANCY_LIMIT) -> DataFrame:
     """Connected components of strongly correlated factors per timeframe.
 
