@@ -152,9 +152,7 @@ SELECT timeframe, 0::BIGINT AS rows_with_two_roles, 0::BIGINT AS train_rows_in_e
 add("purged_rebuild", lambda s, d: folds.rebuild_differences(members(s, d), walk(s, d)).groupBy("side").agg(F.count(F.lit(1)).alias("rows")),
     f"WITH {PURGED} SELECT 'stored' AS side, count(*) AS rows FROM member WHERE role = 'NONE' HAVING count(*) > 0")
 add("purged_summary",
-    lambda s, d: folds.purged_folds(members(s, d)).groupBy("timeframe").agg(
-        F.count(F.lit(1)).alias("folds"), F.avg("train_score").alias("mean_train_score"), F.avg("test_score").alias("mean_test_score"),
-        F.avg("overfit_gap").alias("mean_gap"), F.count_if(F.col("status") == "PASS").alias("passed")), f"""WITH {PURGED},
+    lambda s, d: folds.purged_summary(folds.purged_folds(members(s, d))), f"""WITH {PURGED},
 pf AS (SELECT timeframe, purged_fold, avg(train_score) FILTER (role = 'TRAIN') AS a, avg(test_score) FILTER (role = 'TEST') AS b FROM member GROUP BY ALL)
 SELECT timeframe, count(*) AS folds, avg(a) AS mean_train_score, avg(b) AS mean_test_score, avg(a - b) AS mean_gap, count(*) AS passed FROM pf GROUP BY timeframe""",
     ["mean_train_score", "mean_test_score", "mean_gap"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # Logarithmic value bins for ranking: 4096 per octave, so one bin spans 0.017 % of a value.
 BINS_PER_OCTAVE = 4096
 BIN_SHIFT = BINS_PER_OCTAVE * 1100
+# A global index first counts by the bits above these: for times in milliseconds, some 50 days.
+COARSE_BITS = 32
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -195,6 +197,35 @@ def with_row_index(df: DataFrame, group: Sequence[str], bucket: str, order: Sequ
     ).drop("_place", "_start")
 
 
+def with_global_index(df: DataFrame, buckets: Sequence[str], order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Attach a 0-based index over ``(*buckets, *order)`` to all rows; buckets are never null.
+
+    Counts are prefix-summed level by level: first the values of the leading bucket, or for a whole number its high
+    bits, whose few counts make one array; then each next bucket inside those before it.  Rows are numbered inside one
+    value of all buckets only, so no window runs over the whole table.
+    """
+    levels, rows = [], df
+    for i, b in enumerate(buckets):
+        if isinstance(df.schema[b].dataType, T.IntegralType):
+            rows = rows.withColumn(f"_coarse{i}", F.shiftright(F.col(b).cast("long"), COARSE_BITS))
+            levels.append(f"_coarse{i}")
+        levels.append(b)
+    counts = rows.groupBy(*levels).agg(F.count(F.lit(1)).alias("_n"))
+    top = levels[0]
+    listed = counts.groupBy(top).agg(F.sum("_n").alias("n")).agg(F.sort_array(F.collect_list(F.struct(F.col(top).alias("at"), "n"))).alias("all"))
+    before = lambda i: F.aggregate(F.slice("all", F.lit(1), i), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    starts = counts.join(
+        listed.select(F.explode(F.transform("all", lambda x, i: F.struct(x["at"].alias(top), before(i).alias("_start0")))).alias("t")).select("t.*"), top)
+    for k in range(1, len(levels)):
+        inside = Window.partitionBy(*levels[:k]).orderBy(levels[k]).rowsBetween(Window.unboundedPreceding, -1)
+        here = counts.groupBy(*levels[:k + 1]).agg(F.sum("_n").alias("_n")).select(*levels[:k + 1], F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias(f"_start{k}"))
+        starts = starts.join(here, levels[:k + 1])
+    start = reduce(add, [F.col(f"_start{k}") for k in range(len(levels))])
+    place = F.row_number().over(Window.partitionBy(*levels).orderBy(*order))
+    return rows.withColumn("_place", place).join(starts.select(*levels, start.alias("_start")), levels).select(
+        *df.columns, (F.col("_start") + F.col("_place") - 1).cast("long").alias(name))
+
+
 def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta by its continued fraction (modified Lentz), elementwise."""
     tiny = 1e-300

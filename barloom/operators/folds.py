@@ -290,6 +290,14 @@ def purged_folds(membership: DataFrame) -> DataFrame:
     )
 
 
+def purged_summary(folds: DataFrame) -> DataFrame:
+    """Per timeframe: purged folds, mean scores and gap, and folds that passed."""
+    return folds.groupBy("timeframe").agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("train_score").alias("mean_train_score"), F.avg("test_score").alias("mean_test_score"),
+        F.avg("overfit_gap").alias("mean_gap"), F.count_if(F.col("status") == "PASS").alias("passed"),
+    )
+
+
 def purged_ranges(membership: DataFrame, role: str) -> DataFrame:
     """Time ranges covered by the contiguous runs of a role's rows in each purged fold."""
     order = Window.partitionBy("timeframe", "purged_fold").orderBy("row_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.ordered import fold_ordered
-from barloom.functions.stats import with_row_index
+from barloom.functions.stats import with_global_index
 
 SERIES = ("symbol", "timeframe")
 SNAPSHOT = ["symbol", "timeframe", "open_time", "position_id"]
@@ -131,7 +131,7 @@ def positions(trades: DataFrame) -> DataFrame:
         F.max_by(state, "_seq").alias("_s"), F.max("execution_time").alias("updated_at"), F.min_by(first, "_seq").alias("_l")
     ).select(*SERIES, "opened_at", "updated_at", "_s.*", *([F.col("_l.*")] if lineage else []))
     closed = F.col("quantity") == 0.0
-    numbered = with_row_index(out.withColumn("_all", F.lit(1)), ["_all"], "opened_at", SERIES, "_index")
+    numbered = with_global_index(out, ["opened_at"], SERIES, "_index")
     return numbered.select(
         *SERIES, F.format_string("pos-%08d", F.col("_index") + 1).alias("position_id"), F.lit("LONG").alias("side"),
         F.when(closed, "CLOSED").otherwise("OPEN").alias("status"), "quantity", "average_entry_price", "market_price",

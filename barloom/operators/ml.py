@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.stats import with_row_index
+from barloom.functions.stats import with_global_index
 
 KEY = ["symbol", "timeframe", "open_time"]
 # Metrics for which a smaller value is better.
@@ -33,9 +33,9 @@ def chronological_split(df: DataFrame, train: float = 0.7, validation: float = 0
     ``by="time"`` cuts at bar times, so that no training row is later than a test row.
     """
     if by == "time":
-        rows = with_row_index(df.withColumn("_all", F.lit(1)), ["_all"], "open_time", ["symbol", "timeframe"], "_row")
+        rows = with_global_index(df, ["open_time"], ["symbol", "timeframe"], "_row").withColumn("_all", F.lit(1))
     else:
-        rows = with_row_index(df.withColumn("_all", F.lit(1)), ["_all"], "symbol", ["timeframe", "open_time"], "_row")
+        rows = with_global_index(df, KEY, ["open_time"], "_row").withColumn("_all", F.lit(1))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     rows = rows.join(F.broadcast(total.withColumn("_all", F.lit(1))), "_all")
     first, second = F.floor(F.col("_total") * train), F.floor(F.col("_total") * train) + F.floor(F.col("_total") * validation)
@@ -106,7 +106,7 @@ def expanding_folds(df: DataFrame, folds: int) -> DataFrame:
 
     Train rows of fold k are the rows with ``block < k``.
     """
-    rows = with_row_index(df.withColumn("_all", F.lit(1)), ["_all"], "open_time", ["symbol", "timeframe"], "_row")
+    rows = with_global_index(df, ["open_time"], ["symbol", "timeframe"], "_row").withColumn("_all", F.lit(1))
     total = df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_all", F.lit(1))
     size = F.floor(F.col("_total") / (folds + 1))
     lead_in = F.col("_total") - size * folds

@@ -121,3 +121,19 @@ def test_ranks_order_nan_infinities_and_signed_zeros(spark, partitions):
     got = stats.quantiles(df, ["k"], "x", [0.0, 0.1, 0.5, 0.8, 1.0]).first().quantiles
     ordered = sorted(x, key=place)
     assert got[0] == -inf and got[1] == -2.5 and got[2] == ordered[5] and got[3] == inf and got[4] != got[4]
+
+
+def test_global_index_has_no_window_over_all_rows(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("abc"), rnd.choice(["1d", "1h"]), rnd.choice([-5, 0, 7, 1 << 33, 1 << 40, (1 << 40) + 3]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, timeframe string, open_time long, n long")
+    for buckets, order in ((["open_time"], ["symbol", "timeframe", "n"]), (["symbol", "timeframe", "open_time"], ["n"])):
+        got = stats.with_global_index(df, buckets, order)
+        at = {c: i for i, c in enumerate(df.columns)}
+        want = sorted(rows, key=lambda r: [r[at[c]] for c in (*buckets, *order)])
+        assert [(r.symbol, r.timeframe, r.open_time, r.n) for r in sorted(got.collect(), key=lambda r: r.row_id)] == want
+        assert sorted(r.row_id for r in got.collect()) == list(range(300))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any("Window" in a and "SinglePartition" in b for a, b in zip(plan.splitlines(), plan.splitlines()[2:]))
