@@ -44,3 +44,38 @@ def test_stages(spark, folder):
     before = {r.doc_id: r.text for r in tables[2].collect()}
     assert all(after[i].text == before[i] for i in ids[3] - {400, 401})
     assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == ids[5]
+
+
+def test_cut_characters_go_and_replacement_characters_stay(spark):
+    from pyspark.sql import functions as F
+
+    whole = "é\ufffd\x01b\x01\ufffd\x01a漢😀"
+    data = whole.encode()
+    rows = [(data,), (data[1:],), (data[:-1],), (data[:-2],), ("漢".encode()[:2] + data + "😀".encode()[1:],), (b"\xef\xbf" + data,), (b"",)]
+    got = spark.createDataFrame(rows, "b binary").select(corpus_pipeline.without_cut_characters(F.col("b").cast("string")).alias("t")).collect()
+    assert [r.t for r in got] == [whole, whole[1:], whole[:-1], whole[:-1], whole, whole, ""]
+
+
+def test_stages_on_odd_tables(spark, folder):
+    path, _ = folder
+    rnd = random.Random(3)
+    long = " ".join(f"v{rnd.randrange(50_000)}é" for _ in range(60_000))
+    shared = "\ufffd" + "漢" * 120
+    rows = [(1, "a b c", 1), (1, "a b c", 2), (None, "only a null id \ufffd here", 3), (None, None, 4), (2, "", 5), (2, None, 6), (3, long, 7), (4, f"x é{shared}ü y", 8), (5, f"z è{shared}ö w", 9)]
+    names = "doc_id long, text string, _toxicity int, _kept string, _spans string, _removed string, key string"
+    docs = spark.createDataFrame([(i, t, k, "k", "s", "r", "y") for i, t, k in rows], names)
+    tables = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, tables[-1], path).write.parquet(f"{path}/odd-{i}")
+        tables.append(spark.read.parquet(f"{path}/odd-{i}"))
+        assert stage(spark, docs.limit(0), path).count() == 0
+    assert all(t.columns == docs.columns for t in tables[:-1])
+    assert tables[1].count() == len(rows)
+    near = tables[2].collect()
+    assert sorted(r.doc_id or 0 for r in near) == [0, 0, 1, 2, 3, 4, 5] or sorted(r.doc_id or 0 for r in near) == [0, 0, 1, 2, 2, 3, 4, 5]
+    cut = {r.doc_id: r.text for r in tables[3].collect() if r.doc_id}
+    # The first byte of ü and ö is shared too: what is left of them goes.
+    assert cut[4] == "x é y" and cut[5] == "z è w" and cut[3] == long
+    assert {r.text for r in tables[3].collect() if r.doc_id is None} == {None, "only a null id \ufffd here"}
+    assert tables[4].count() == tables[5].count() == len(near)
+    assert sum(r.n_tokens == 0 for r in tables[5].collect()) >= 2
