@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from barloom.functions.clock import utc_year
 from barloom.operators import folds, ml, research, stability
 from barloom.operators.asof import first_complete_times
 from barloom.operators.factors import CATALOG, factor_frame
@@ -14,12 +15,12 @@ from barloom.operators.labels import label_frame
 from . import tables
 from .factor_sql import FACTOR_SQL, FEATURE_SQL, SERIES, staged
 from .q_data import GROUPS, LABELS, RET
-from .q_experiment import keeper
+from .q_experiment import corr_sql, keeper
 from .q_factors import COMPANION_COLUMNS  # noqa: F401
 from .q_folds import FF, ORDERED, PURGED, fold_rows, ic_pair_sql, purged_oos, rank_sql, walk
 from .q_ledger import PRED_SQL, predictions
 from .q_panel import (
-    ID_SQL, PANEL_FACTORS, PANEL_SQL, P_VALUE, bars_all, evaluated, factor_panel, panel,
+    ID_SQL, PANEL_FACTORS, PANEL_SQL, P_VALUE, bars_all, evaluated, factor_panel, panel, selected,
 )
 from .registry import add
 from .sql import BARS_1D, INPUTS_1D
@@ -419,6 +420,111 @@ add("factor_set_comparison",
 g AS (SELECT {KEYS}, avg(oriented_oos_ic) AS ic, count(oriented_oos_ic) AS n FROM fic GROUP BY ALL)
 SELECT {KEYS}, CASE WHEN factor_name <> 'momentum' THEN ic END AS old_ic, CASE WHEN factor_name <> 'momentum' THEN n END AS old_folds, CASE WHEN factor_name <> 'atr_percent' THEN ic END AS new_ic,
   CASE WHEN factor_name <> 'atr_percent' THEN n END AS new_folds, CASE factor_name WHEN 'momentum' THEN 'ADDED' WHEN 'atr_percent' THEN 'REMOVED' ELSE 'KEPT' END AS membership FROM g""", ["old_ic", "new_ic"])
+# A retired factor, one that the new selection calls ineligible, and one that neither selection has.
+RETIRED, LOW, ABSENT, NEW_TOP = "relative_volume", "stochastic_k", "distance_from_high", 6
+
+
+def _sets(s, d):
+    name = F.col("factor_name")
+    rows = selected(s, d).filter(name != ABSENT).withColumn("selection_ic", F.col("information_coefficient"))
+    new = rows.filter(name != RETIRED).withColumns({
+        "eligibility_status": F.when(name == LOW, "INELIGIBLE_LOW_COVERAGE").otherwise(F.col("eligibility_status")),
+        "selected": (name != LOW) & (F.col("selection_rank") <= NEW_TOP)})
+    return rows, new
+
+
+SETS = f"""{FIC},
+os AS MATERIALIZED (SELECT {KEYS}, 'ELIGIBLE' AS st, selected, CASE WHEN information_coefficient < 0 THEN -1 ELSE 1 END AS dir, information_coefficient AS ic, selection_rank
+  FROM selection WHERE factor_name <> '{ABSENT}'),
+ns AS MATERIALIZED (SELECT * REPLACE (CASE WHEN factor_name = '{LOW}' THEN 'INELIGIBLE_LOW_COVERAGE' ELSE st END AS st, factor_name <> '{LOW}' AND selection_rank <= {NEW_TOP} AS selected)
+  FROM os WHERE factor_name <> '{RETIRED}')"""
+add("factor_replacement", lambda s, d: stability.factor_replacement(purged_rows(s, d), *_sets(s, d), purged_factor_ics(s, d), [RETIRED]), f"""WITH {SETS},
+cv AS (SELECT {KEYS}, 1 - count(*) FILTER ({PAIRS}) / count(*) AS null_rate_oos, count(*) FILTER ({PAIRS}) AS observation_count_oos,
+  count(DISTINCT open_time // 86400000) FILTER ({PAIRS}) AS days_covered FROM poos GROUP BY ALL),
+fi AS (SELECT {KEYS}, avg(raw_oos_ic) AS mean_fold_raw_ic, avg(oriented_oos_ic) AS mean_fold_oriented_ic, count(oriented_oos_ic) AS fold_count,
+  count(*) FILTER (oriented_oos_ic > 0) AS positive_folds, count(*) FILTER (oriented_oos_ic < 0) AS negative_folds FROM fic GROUP BY ALL),
+po AS (SELECT {KEYS}, {corr_sql('a', 'b')} AS pooled FROM (SELECT {KEYS}, {rank_sql(KEYS, 'factor_value')} AS a, {rank_sql(KEYS, 'future_return_1')} AS b FROM poos WHERE {PAIRS}) GROUP BY ALL)
+SELECT {KEYS}, coalesce(os.selected, false) AS in_old_selected, coalesce(ns.selected, false) AS in_new_selected,
+  CASE WHEN factor_name = '{RETIRED}' THEN 'RETIRED_EXISTING_FACTOR' WHEN os.st IS NULL THEN 'INELIGIBLE_ZERO_OBSERVATIONS' WHEN ns.st LIKE 'INELIGIBLE%' THEN ns.st
+    WHEN coalesce(ns.selected, os.selected) THEN 'ELIGIBLE_AND_SELECTED' ELSE 'ELIGIBLE_NOT_SELECTED' END AS decision,
+  coalesce(ns.dir, os.dir) AS selected_direction, coalesce(ns.ic, os.ic) AS selection_ic, null_rate_oos, observation_count_oos, days_covered, mean_fold_raw_ic, mean_fold_oriented_ic,
+  pooled * coalesce(ns.dir, os.dir, 1) AS aggregate_oriented_ic, coalesce(positive_folds, 0) AS positive_folds, coalesce(negative_folds, 0) AS negative_folds, coalesce(fold_count, 0) AS fold_count
+FROM cv LEFT JOIN os USING ({KEYS}) LEFT JOIN ns USING ({KEYS}) LEFT JOIN fi USING ({KEYS}) LEFT JOIN po USING ({KEYS})""",
+    ["selection_ic", "null_rate_oos", "mean_fold_raw_ic", "mean_fold_oriented_ic", "aggregate_oriented_ic"])
+add("factor_set_coverage", lambda s, d: stability.set_coverage(purged_rows(s, d), *_sets(s, d)), f"""WITH {SETS},
+mb AS (SELECT timeframe, factor_name, 'old' AS side FROM os WHERE selected UNION ALL SELECT timeframe, factor_name, 'new' FROM ns WHERE selected),
+sz AS (SELECT timeframe, count(*) FILTER (side = 'old') AS old_factors, count(*) FILTER (side = 'new') AS new_factors FROM mb GROUP BY timeframe),
+dd AS (SELECT timeframe, d, count(*) FILTER (side = 'old') AS o, count(*) FILTER (side = 'new') AS n FROM mb
+  JOIN (SELECT DISTINCT timeframe, factor_name, open_time // 86400000 AS d FROM poos WHERE {PAIRS}) USING (timeframe, factor_name) GROUP BY timeframe, d)
+SELECT timeframe, old_factors, new_factors, count(*) FILTER (o > 0) AS old_any_days, count(*) FILTER (o = old_factors) AS old_every_days, count(*) FILTER (n > 0) AS new_any_days,
+  count(*) FILTER (n = new_factors) AS new_every_days, count(*) FILTER (o > 0 AND n > 0) AS shared_days FROM dd JOIN sz USING (timeframe) GROUP BY ALL""")
+
+
+def _oriented(s, d):
+    years = purged_rows(s, d).groupBy("timeframe", "fold").agg(utc_year(F.max("open_time")).cast("int").alias("year"))
+    ics = purged_factor_ics(s, d).withColumn("selected_direction", F.col("selected_direction").cast("int"))
+    return stability.orientation_detail(ics.join(years, ["timeframe", "fold"]))
+
+
+DETAIL = f"""{FIC}, od AS MATERIALIZED (SELECT timeframe, year, factor_name, factor_version, fold, selected_direction, selection_ic, selection_ic * selected_direction AS oriented_selection_ic,
+  raw_oos_ic, oriented_oos_ic FROM (SELECT * REPLACE (CAST(selected_direction AS INTEGER) AS selected_direction) FROM fic)
+  JOIN (SELECT timeframe, fold, CAST(year(make_timestamp_ms(max(open_time))) AS INTEGER) AS year FROM poos GROUP BY ALL) USING (timeframe, fold))"""
+add("orientation_detail", _oriented, f"WITH {DETAIL} SELECT * FROM od", ["selection_ic", "oriented_selection_ic", "raw_oos_ic", "oriented_oos_ic"])
+add("orientation_by_year", lambda s, d: stability.orientation_by_year(_oriented(s, d)), f"""WITH {DETAIL},
+fa AS (SELECT timeframe, year, {KEYS.replace('timeframe, ', '')}, arg_min(selected_direction, fold) AS dir, arg_min(selection_ic, fold) AS ic FROM od GROUP BY ALL)
+SELECT timeframe, year, count(*) AS selected_factor_count, count(*) FILTER (dir = 1) AS positive_direction_count, count(*) FILTER (dir = -1) AS negative_direction_count,
+  avg(ic) AS mean_raw_selection_ic, avg(ic * dir) AS mean_oriented_selection_ic, any_value(r) AS mean_raw_oos_ic, any_value(o) AS mean_oriented_oos_ic
+FROM fa JOIN (SELECT timeframe, year, avg(raw_oos_ic) AS r, avg(oriented_oos_ic) AS o FROM od GROUP BY ALL) USING (timeframe, year) GROUP BY timeframe, year""",
+    ["mean_raw_selection_ic", "mean_oriented_selection_ic", "mean_raw_oos_ic", "mean_oriented_oos_ic"])
+
+#: Factors whose values are blanked, one for each cause.
+BLANK = ["momentum", "price_zscore", "sma_distance", "trend_slope", "relative_volume", "donchian_position"]
+
+
+def _causes(s, d):
+    name = F.col("factor_name")
+    rows = purged_rows(s, d).withColumn("factor_value", F.when(~name.isin(*BLANK), F.col("factor_value")))
+    table = stability.coverage(rows).withColumns({
+        "store_null_rate": F.col("null_rate"), "inputs_present": name != BLANK[0], "input_null_rate": F.when(name == BLANK[1], 1.0).otherwise(0.0),
+        "effective_warmup": F.when(name == BLANK[2], 1_000_000).when(name == BLANK[5], 0).otherwise(1),
+        "store_first_value": F.when(name == BLANK[3], F.col("last_row") + 1).otherwise(F.col("first_value")),
+        "required_lookback": F.when(name == BLANK[5], 0).otherwise(20)})
+    return stability.null_cause(table).select("timeframe", "factor_name", "null_cause")
+
+
+add("null_cause_branches", _causes, f"""WITH {PURGED},
+cv AS (SELECT timeframe, factor_name, count(*) FILTER (factor_value IS NULL) / count(*) AS r FROM poos GROUP BY ALL)
+SELECT timeframe, factor_name, CASE factor_name WHEN '{BLANK[0]}' THEN 'INPUT_DATA_MISSING' WHEN '{BLANK[1]}' THEN 'INPUT_DATA_MISSING' WHEN '{BLANK[2]}' THEN 'ROLLING_WINDOW_TOO_LARGE'
+  WHEN '{BLANK[3]}' THEN 'EVALUATION_BOUNDARY' WHEN '{BLANK[4]}' THEN 'INSUFFICIENT_HISTORY' WHEN '{BLANK[5]}' THEN 'IMPLEMENTATION_BUG'
+  ELSE CASE WHEN r >= 0.9 THEN 'INSUFFICIENT_HISTORY' ELSE 'UNKNOWN' END END AS null_cause FROM cv""")
+
+# -- levels over year borders ---------------------------------------------------------------------------
+HURT_YEAR = 1996
+
+
+def _hurt_levels(s, d):
+    """Levels that run on over the years, and labels, damaged on some days of a later year."""
+    inputs = tables.factor_inputs_1d(s, d)
+    stored = factor_frame(inputs, [CATALOG[n] for n in stability.LEVELS], carry_over=True, align=False)
+    rows = stored.join(label_frame(inputs, (1,), trim=False).select("symbol", "timeframe", "open_time", "future_return_1"), ["symbol", "timeframe", "open_time"])
+    day, late = F.floor(F.col("open_time") / 86_400_000), utc_year(F.col("open_time")) == HURT_YEAR
+    hurt = {"on_balance_volume": (97, 5.0), "open_interest_level": (89, 1.0), "future_return_1": (83, 0.25)}
+    return rows.withColumns({c: F.col(c) + F.when(late & (day % n == 0), add_).otherwise(0.0) for c, (n, add_) in hurt.items()})
+
+
+LEVEL_SQL = f"""{INPUTS_1D},
+lv AS MATERIALIZED (SELECT symbol, timeframe, open_time, year, open_time // 86400000 AS dy, CAST(open_interest AS DOUBLE) AS oi, close, volume, lag(close) OVER w AS p, lead(close) OVER w AS nx,
+  lead(close) OVER (PARTITION BY symbol, timeframe, year ORDER BY open_time) AS ny FROM inputs WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY open_time))"""
+add("rebuilt_levels", lambda s, d: stability.rebuilt_levels(tables.factor_inputs_1d(s, d)), f"""WITH {LEVEL_SQL}
+SELECT symbol, timeframe, open_time, CASE WHEN p IS NOT NULL THEN sum(sign(close - p) * volume) OVER w END AS on_balance_volume,
+  CASE WHEN p IS NOT NULL THEN sum((close / p - 1) * volume) OVER w END AS price_volume_trend, oi AS open_interest_level, (nx - close) / close AS future_return_1
+FROM lv WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY open_time)""", [*stability.LEVELS, "future_return_1"], special={"price_volume_trend": 3})
+add("level_differences", lambda s, d: stability.level_differences(_hurt_levels(s, d), tables.factor_inputs_1d(s, d)), f"""WITH {LEVEL_SQL},
+ce AS (SELECT timeframe, open_time, unnest([{{'n': 'on_balance_volume', 'v': p IS NOT NULL, 'm': 97, 'e': 5.0}}, {{'n': 'price_volume_trend', 'v': p IS NOT NULL, 'm': 0, 'e': 0.0}},
+    {{'n': 'open_interest_level', 'v': oi IS NOT NULL, 'm': 89, 'e': 1.0}}, {{'n': 'future_return_1', 'v': ny IS NOT NULL, 'm': 83, 'e': 0.25}}]) AS u, dy, year FROM lv),
+cf AS (SELECT timeframe, open_time, u.n AS factor_name, u.v AS v, CASE WHEN u.m > 0 AND year = {HURT_YEAR} AND dy % nullif(u.m, 0) = 0 THEN CAST(u.e AS DOUBLE) ELSE 0.0 END AS e FROM ce)
+SELECT timeframe, factor_name, count(*) FILTER (v) AS values, max(e) FILTER (v) AS max_abs_difference, count(*) FILTER (v AND e > 0) AS wrong_rows, 0::BIGINT AS null_mismatches,
+  min(open_time) FILTER (v AND e > 0) AS first_wrong_time FROM cf GROUP BY ALL""", ["max_abs_difference"])
 _G = [g for g in GROUPS if g != "all"]
 add("input_boundaries",
     lambda s, d: stability.boundary_comparison(first_complete_times(tables.factor_inputs_1d(s, d), GROUPS), _G).withColumn("year", F.col("year").cast("long")),

@@ -219,3 +219,29 @@ def split_series(df: DataFrame, reach: int, rows_per_part: int, keys: Iterable[s
         F.array(F.struct(part.alias("_part"), F.lit(False).alias("_carried")), F.struct((part + 1).alias("_part"), F.lit(True).alias("_carried"))),
     ).otherwise(F.array(F.struct(part.alias("_part"), F.lit(False).alias("_carried"))))
     return indexed.withColumn("_place", F.explode(places)).select(*df.columns, "_place.*")
+
+
+def across_parts(df: DataFrame, keys: Iterable[str], part: str, x: str, name: str, order: str = "open_time", ahead: bool = False) -> DataFrame:
+    """``x`` of the row before (``ahead``: after) in the series, also where that row is in another part.
+
+    A window covers one part of a series, a stored year for instance; over a border goes one value per part.  A row
+    with a null key has no neighbour in another part.
+    """
+    keys = list(keys)
+    move, edge = (F.lead, F.min_by(x, order)) if ahead else (F.lag, F.max_by(x, order))
+    own = Window.partitionBy(*keys, part).orderBy(order)
+    edges = df.groupBy(*keys, part).agg(edge.alias("_edge")).withColumn("_edge", move("_edge").over(Window.partitionBy(*keys).orderBy(part)))
+    inside = df.select("*", move(x).over(own).alias("_inside"), move(F.lit(True)).over(own).isNull().alias("_border"))
+    return inside.join(edges, [*keys, part], "left").select(
+        *[F.col(c) for c in df.columns], F.when(F.col("_border"), F.col("_edge")).otherwise(F.col("_inside")).alias(name))
+
+
+def total_across_parts(df: DataFrame, keys: Iterable[str], part: str, x: str, name: str, order: str = "open_time") -> DataFrame:
+    """Running sum of ``x`` over a whole series, null where ``x`` is; each part adds to the total that the ones before hand over."""
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    handed = df.groupBy(*keys, part).agg(F.sum(x).alias("_total")).select(*keys, part, F.sum("_total").over(before).alias("_before"))
+    own = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = df.withColumn("_inside", F.sum(x).over(own))
+    total = F.when(F.col(x).isNotNull(), F.coalesce("_before", F.lit(0.0)) + F.col("_inside"))
+    return inside.join(handed, [*keys, part], "left").select(*[F.col(c) for c in df.columns], total.alias(name))

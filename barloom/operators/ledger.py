@@ -160,37 +160,42 @@ def portfolio_risk(
     account: DataFrame, keys: Sequence[str] = SERIES, loss_limit: float = DAILY_LOSS_LIMIT,
     exposure_limit: float = GROSS_EXPOSURE_LIMIT, cooldown_hours: int = COOLDOWN_HOURS,
 ) -> DataFrame:
-    """Drawdown from the running peak and the risk state, with a cooldown after a loss shutdown."""
+    """Drawdown from the running peak and the risk state, with a cooldown after a loss shutdown.
+
+    Only rows with a loss decide when a cooldown begins, so they alone are folded in order; all others read the last cooldown
+    by a running window.  Of rows at one time and position the one that begins a cooldown comes first.
+    """
     pause = cooldown_hours * HOUR_MS
-    running = Window.partitionBy(*keys).orderBy("open_time", "position_id").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max("equity").over(running), F.lit(0.0))
+    running = Window.partitionBy(*keys).orderBy("open_time", "position_id", F.col("_until").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     has_equity = F.col("equity") > 0
     prepared = account.select(
         *dict.fromkeys([*keys, *SNAPSHOT]), "equity", "gross_exposure", "net_exposure", F.col("realized_pnl").alias("daily_realized_pnl"),
         F.col("unrealized_pnl").alias("daily_unrealized_pnl"), F.col("total_pnl").alias("daily_total_pnl"),
         F.coalesce(F.try_divide("total_pnl", "equity"), F.lit(0.0)).alias("daily_return_pct"),
-        F.greatest(F.coalesce(F.try_divide(peak - F.col("equity"), peak), F.lit(0.0)), F.lit(0.0)).alias("daily_drawdown_pct"),
-        F.when(has_equity, F.col("total_pnl") <= -loss_limit * F.col("equity")).otherwise(F.col("total_pnl") < 0).alias("_loss"),
+        F.coalesce(F.when(has_equity, F.col("total_pnl") <= -loss_limit * F.col("equity")).otherwise(F.col("total_pnl") < 0), F.lit(False)).alias("_loss"),
         F.when(has_equity, F.col("gross_exposure") / F.col("equity") > exposure_limit).otherwise(F.col("gross_exposure") > 0).alias("_exposed"),
     )
 
     def step(until, row):
-        time, loss = row
-        if until is not None and time >= until:
-            until = None
-        if until is not None:
-            return until, ("COOLDOWN", until)
-        if loss:
-            return time + pause, ("DAILY_LOSS_LIMIT", time + pause)
-        return None, (None, None)
+        (time,) = row
+        if until is not None and time < until:
+            return until, (None,)
+        return time + pause, (time + pause,)
 
-    walked = fold_ordered(
-        prepared, keys, ["open_time", "position_id"], ["open_time", "_loss"], step, "_halt string, cooldown_until bigint"
-    )
+    losses = fold_ordered(prepared.filter("_loss"), keys, ["open_time", "position_id"], ["open_time"], step, "_until bigint")
+    rows = losses.unionByName(prepared.filter(~F.col("_loss")).withColumn("_until", F.lit(None).cast("long")))
+    peak = F.greatest(F.max("equity").over(running), F.lit(0.0))
+    begun = F.last("_until", ignorenulls=True).over(running)
+    walked = rows.select("*", peak.alias("_peak"), begun.alias("_begun")).withColumn(
+        "_halt", F.when(F.col("_until").isNotNull(), "DAILY_LOSS_LIMIT").when(F.col("_begun") > F.col("open_time"), "COOLDOWN")
+    ).withColumns({
+        "daily_drawdown_pct": F.greatest(F.coalesce(F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak")), F.lit(0.0)), F.lit(0.0)),
+        "cooldown_until": F.when(F.col("_halt").isNotNull(), F.col("_begun")),
+    })
     reason = F.when(F.col("_halt").isNotNull(), F.col("_halt")).when(F.col("_exposed"), "EXPOSURE_LIMIT").otherwise("")
     state = F.when(F.col("_halt").isNotNull(), "SHUTDOWN").when(F.col("_exposed"), "WARNING").otherwise("NORMAL")
     return walked.select(
-        *[c for c in prepared.columns if not c.startswith("_")], state.alias("portfolio_risk_state"),
+        *[c for c in prepared.columns if not c.startswith("_")], "daily_drawdown_pct", state.alias("portfolio_risk_state"),
         (state == "NORMAL").alias("allow_new_entries"), reason.alias("shutdown_reason"), "cooldown_until",
     )
 

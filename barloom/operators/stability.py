@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.clock import DAY_MS
 from barloom.functions.graph import Keep, components
+from barloom.functions.series import across_parts, total_across_parts
 from barloom.functions.stats import quantiles, spearman
 
 from .panel import BAR_KEY
@@ -16,6 +18,9 @@ from .panel import BAR_KEY
 FACTOR = ["factor_name", "factor_version"]
 REDUNDANCY_LIMIT = 0.90
 HIGH_NULL_RATE = 0.90
+# Levels that can be rebuilt from bars, and eligibility statuses that decide about a replacement.
+LEVELS = ("on_balance_volume", "price_volume_trend", "open_interest_level")
+INELIGIBLE = ("INELIGIBLE_ZERO_OBSERVATIONS", "INELIGIBLE_INSUFFICIENT_WARMUP", "INELIGIBLE_LOW_COVERAGE", "INELIGIBLE_COMPANION_HISTORY")
 RETURN_QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -234,6 +239,32 @@ def orientation_summary(fold_ics: DataFrame) -> DataFrame:
     )
 
 
+def orientation_detail(fold_ics: DataFrame) -> DataFrame:
+    """Factor-folds with the selection IC in the chosen direction beside the raw one; a missing direction gives null."""
+    oriented = F.col("selection_ic") * F.col("selected_direction")
+    return fold_ics.select("timeframe", "year", *FACTOR, "fold", "selected_direction", "selection_ic", oriented.alias("oriented_selection_ic"),
+                           F.nanvl("raw_oos_ic", F.lit(None).cast("double")).alias("raw_oos_ic"),
+                           F.nanvl("oriented_oos_ic", F.lit(None).cast("double")).alias("oriented_oos_ic"))
+
+
+def orientation_by_year(detail: DataFrame) -> DataFrame:
+    """Selected factors by direction and mean ICs per timeframe and year, from ``orientation_detail``.
+
+    A factor counts once, by its first fold of the year; out-of-sample ICs are means over all its folds.
+    """
+    keys = ["timeframe", "year"]
+    first = F.min_by(F.struct("selected_direction", "selection_ic", "oriented_selection_ic"), "fold").alias("_one")
+    per_factor = detail.groupBy(*keys, *FACTOR).agg(
+        first, *[f(c).alias(f"_{c}_{n}") for c in ("raw_oos_ic", "oriented_oos_ic") for n, f in (("sum", F.sum), ("n", F.count))])
+    direction = F.col("_one.selected_direction")
+    return per_factor.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("selected_factor_count"), F.count_if(direction == 1).alias("positive_direction_count"),
+        F.count_if(direction == -1).alias("negative_direction_count"), F.avg("_one.selection_ic").alias("mean_raw_selection_ic"),
+        F.avg("_one.oriented_selection_ic").alias("mean_oriented_selection_ic"),
+        *[F.try_divide(F.sum(f"_{c}_sum"), F.sum(f"_{c}_n").cast("double")).alias(f"mean_{c}") for c in ("raw_oos_ic", "oriented_oos_ic")],
+    )
+
+
 def walk_forward_audit(folds: DataFrame) -> DataFrame:
     """Fold counts and isolation checks per timeframe and in total, from one rollup."""
     return folds.rollup("timeframe").agg(
@@ -299,14 +330,17 @@ def coverage(oos: DataFrame, keys: Sequence[str] = ("timeframe", *FACTOR)) -> Da
 
 def null_cause(table: DataFrame) -> DataFrame:
     """Why a factor is null: needs null_rate, store_null_rate, input_null_rate, effective_warmup, bars,
-    store_first_value and last_row."""
+    store_first_value and last_row; inputs_present (default true) and required_lookback (default 1) may be there."""
     whole = 1.0 - 1e-12
     high = F.col("null_rate") >= 0.99
+    present = F.coalesce("inputs_present", F.lit(True)) if "inputs_present" in table.columns else F.lit(True)
+    lookback = F.coalesce("required_lookback", F.lit(1)) if "required_lookback" in table.columns else F.lit(1)
     cause = (
-        F.when((F.col("input_null_rate") >= whole) & high, "INPUT_DATA_MISSING")
+        F.when(~present | ((F.col("input_null_rate") >= whole) & high), "INPUT_DATA_MISSING")
         .when((F.col("store_null_rate") >= whole) & (F.col("bars") > 0) & (F.col("effective_warmup") > F.col("bars")), "ROLLING_WINDOW_TOO_LARGE")
         .when((F.col("store_first_value") > F.col("last_row")) & high, "EVALUATION_BOUNDARY")
         .when((F.col("null_rate") >= HIGH_NULL_RATE) & (F.col("effective_warmup") > 0), "INSUFFICIENT_HISTORY")
+        .when((F.col("null_rate") >= HIGH_NULL_RATE) & (lookback <= 0), "IMPLEMENTATION_BUG")
         .otherwise("UNKNOWN")
     )
     return table.withColumn("null_cause", cause)
@@ -407,6 +441,41 @@ def reconstruction_error(stored: DataFrame, recomputed: DataFrame, factors: Sequ
     return wide.select(F.explode(F.array(*factors)).alias("s")).select("s.*")
 
 
+def rebuilt_levels(bars: DataFrame, part: str = "year") -> DataFrame:
+    """Cumulative levels and the next bar's return, rebuilt from bars stored in parts of a series.
+
+    Each part needs two values of the parts before it (last close, totals) and one of the part behind (first close), so a series
+    of any length is rebuilt by windows over its parts.  ``open_interest`` may be missing; its level is null then.
+    """
+    keys = ["symbol", "timeframe"]
+    interest = F.col("open_interest") if "open_interest" in bars.columns else F.lit(None)
+    rows = bars.select(*keys, part, "open_time", "close", "volume", interest.cast("double").alias("open_interest_level"))
+    rows = across_parts(across_parts(rows, keys, part, "close", "_last"), keys, part, "close", "_next", ahead=True)
+    move = F.col("close") - F.col("_last")
+    rows = rows.withColumns({"_signed": F.signum(move) * F.col("volume"), "_moved": (F.try_divide("close", "_last") - 1) * F.col("volume")})
+    for source, name in (("_signed", "on_balance_volume"), ("_moved", "price_volume_trend")):
+        rows = total_across_parts(rows, keys, part, source, name)
+    return rows.select(*keys, "open_time", *LEVELS, F.try_divide(F.col("_next") - F.col("close"), F.col("close")).alias("future_return_1"))
+
+
+def level_differences(stored: DataFrame, bars: DataFrame, names: Sequence[str] = (*LEVELS, "future_return_1"), part: str = "year", tolerance: float = 1e-9) -> DataFrame:
+    """Stored levels and labels against rebuilt ones, per timeframe and column, with the first wrong bar.
+
+    A value is wrong if it is off by more than ``tolerance`` times the larger of one and the rebuilt value, or not finite.  Null
+    on one side only is a null mismatch; a stored label may be null where the next bar lies in another part.
+    """
+    again = rebuilt_levels(bars, part).select(*BAR_KEY, *[F.col(n).alias(f"_{n}") for n in names])
+    joined = stored.select(*BAR_KEY, *names).join(again, BAR_KEY, "full")
+    cells = joined.select("timeframe", "open_time", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("stored"), F.col(f"_{n}").alias("again")) for n in names])).alias("c")).select("timeframe", "open_time", "c.*")
+    off = F.abs(F.col("stored") - F.col("again"))
+    wrong = F.coalesce(~(off <= tolerance * F.greatest(F.lit(1.0), F.abs("again"))) | F.isnan(off), F.lit(False))
+    mismatch = (F.col("stored").isNull() != F.col("again").isNull()) & ~((F.col("name") == "future_return_1") & F.col("stored").isNull())
+    return cells.groupBy("timeframe", F.col("name").alias("factor_name")).agg(
+        F.count("stored").alias("values"), F.max(off).alias("max_abs_difference"), F.count_if(wrong).alias("wrong_rows"),
+        F.count_if(mismatch).alias("null_mismatches"), F.min(F.when(wrong, F.col("open_time"))).alias("first_wrong_time"))
+
+
 def compare_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old against new selected factor sets: membership and mean fold IC of each factor."""
     def side(df: DataFrame, label: str) -> DataFrame:
@@ -417,6 +486,79 @@ def compare_sets(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.withColumn("membership", kind)
 
 
+def replacement_decision(status: Column, selected: Column, retired: Column) -> Column:
+    """A factor's decision: retired, ineligible by status (none at all: no observations), or eligible with or without selection."""
+    return (
+        F.when(retired, "RETIRED_EXISTING_FACTOR").when(status.isNull() & selected.isNull(), INELIGIBLE[0]).when(status.isin(*INELIGIBLE), status)
+        .when(selected, "ELIGIBLE_AND_SELECTED").otherwise("ELIGIBLE_NOT_SELECTED")
+    )
+
+
+def _usable() -> Column:
+    return F.col("factor_value").isNotNull() & F.col("future_return_1").isNotNull()
+
+
+def day_bitmaps(oos: DataFrame) -> DataFrame:
+    """The days on which a factor has a value and a return, as bitmaps: one row per factor and bucket of 32,768 days."""
+    day = F.floor(F.col("open_time") / DAY_MS)
+    return oos.filter(_usable()).groupBy("timeframe", *FACTOR, F.bitmap_bucket_number(day).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("days"))
+
+
+def factor_replacement(oos: DataFrame, old: DataFrame, new: DataFrame, fold_ics: DataFrame, retired: Sequence[str]) -> DataFrame:
+    """Every factor of an out-of-sample table with its place in the old and the new set, decision, coverage and ICs.
+
+    ``old`` and ``new`` are selections (timeframe, factor, eligibility_status, selected, selected_direction, selection_ic); where both
+    have a factor the new one counts.  ``retired`` factors are retired whatever their status.  A factor in neither selection has no
+    observations to judge.  ``fold_ics`` has raw_oos_ic and oriented_oos_ic per factor and fold.
+    """
+    keys = ["timeframe", *FACTOR]
+    fields = ["eligibility_status", "selected", "selected_direction", "selection_ic"]
+    in_old, in_new = (df.select(*keys, F.struct(*fields).alias(side)) for df, side in ((old, "_old"), (new, "_new")))
+    covered = oos.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.count_if(_usable()).alias("observation_count_oos"))
+    days = day_bitmaps(oos).groupBy(*keys).agg(F.sum(F.bitmap_count("days")).alias("days_covered"))
+    ics = fold_ics.groupBy(*keys).agg(
+        F.avg("raw_oos_ic").alias("mean_fold_raw_ic"), F.avg("oriented_oos_ic").alias("mean_fold_oriented_ic"), F.count("oriented_oos_ic").alias("fold_count"),
+        F.count_if(F.col("oriented_oos_ic") > 0).alias("positive_folds"), F.count_if(F.col("oriented_oos_ic") < 0).alias("negative_folds"))
+    pooled = spearman(oos.filter(_usable()), keys, "factor_value", "future_return_1", "_pooled").select(*keys, "_pooled")
+    sides = covered.select(*keys).join(in_old, keys, "left").join(in_new, keys, "left").withColumn("_one", F.coalesce("_new", "_old"))
+    joined = sides.join(covered, keys).join(days, keys, "left").join(ics, keys, "left").join(pooled, keys, "left")
+    return joined.select(
+        *keys, F.coalesce("_old.selected", F.lit(False)).alias("in_old_selected"), F.coalesce("_new.selected", F.lit(False)).alias("in_new_selected"),
+        replacement_decision(F.col("_one.eligibility_status"), F.col("_one.selected"), F.col("factor_name").isin(*retired)).alias("decision"),
+        F.col("_one.selected_direction").cast("int").alias("selected_direction"), F.col("_one.selection_ic").alias("selection_ic"),
+        (1 - F.col("observation_count_oos") / F.col("_rows")).alias("null_rate_oos"), "observation_count_oos",
+        F.coalesce("days_covered", F.lit(0)).alias("days_covered"), "mean_fold_raw_ic", "mean_fold_oriented_ic",
+        (F.col("_pooled") * F.coalesce(F.col("_one.selected_direction").cast("int"), F.lit(1))).alias("aggregate_oriented_ic"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("positive_folds", "negative_folds", "fold_count")],
+    )
+
+
+def set_coverage(oos: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Days covered by the selected factors of two sets, per timeframe.
+
+    ``any`` counts days with a value of at least one factor of the set, ``every`` days with values of all of them, ``shared_days``
+    days that both sets cover.  Bitmaps are combined bit by bit; no day is listed.
+    """
+    members = old.filter("selected").select("timeframe", *FACTOR, F.lit("old").alias("side")).unionByName(
+        new.filter("selected").select("timeframe", *FACTOR, F.lit("new").alias("side"))).distinct()
+    sizes = members.groupBy("timeframe", "side").agg(F.count(F.lit(1)).alias("factors"))
+    maps = members.join(day_bitmaps(oos), ["timeframe", *FACTOR])
+    per_bucket = maps.groupBy("timeframe", "side", "bucket").agg(
+        F.bitmap_or_agg("days").alias("any"), F.bitmap_and_agg("days").alias("every"), F.count(F.lit(1)).alias("_with")).join(sizes, ["timeframe", "side"])
+    every = F.when(F.col("_with") == F.col("factors"), F.bitmap_count("every")).otherwise(F.lit(0).cast("long"))
+    counted = per_bucket.select("timeframe", "side", "bucket", "any", F.bitmap_count("any").alias("_any"), every.alias("_every"))
+    union = counted.groupBy("timeframe", "bucket").agg(F.bitmap_or_agg("any").alias("both"), *[
+        F.coalesce(F.sum(F.when(F.col("side") == side, F.col(f"_{kind}"))), F.lit(0)).alias(f"{side}_{kind}_days")
+        for side in ("old", "new") for kind in ("any", "every")])
+    names = [f"{side}_{kind}_days" for side in ("old", "new") for kind in ("any", "every")]
+    days = union.groupBy("timeframe").agg(*[F.sum(n).alias(n) for n in names], F.sum(F.bitmap_count("both")).alias("_both"))
+    counts = sizes.groupBy("timeframe").agg(*[F.coalesce(F.max(F.when(F.col("side") == side, F.col("factors"))), F.lit(0)).alias(f"{side}_factors") for side in ("old", "new")])
+    return counts.join(days, "timeframe", "left").select(
+        "timeframe", "old_factors", "new_factors", *[F.coalesce(n, F.lit(0)).alias(n) for n in names],
+        F.coalesce(F.col("old_any_days") + F.col("new_any_days") - F.col("_both"), F.lit(0)).alias("shared_days"))
+
+
 def boundary_comparison(first_times: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Bars gained when a factor waits only for its own companions instead of for all of them."""
     kinds = F.array(*[F.struct(F.lit(g).alias("companions"), F.col(f"first_{g}").alias("own_start")) for g in groups])
