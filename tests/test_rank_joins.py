@@ -40,3 +40,12 @@ def test_rank_correlations_and_ordinals_broadcast_no_ranks(panel):
     assert "Broadcast" not in plan(stats.spearman(panel, ["symbol"], "factor_value", "future_return_1"))
     assert "Broadcast" not in plan(stats.unpivoted_ranks(panel, ["open_time"], ["symbol"], ["future_return_1", "future_return_5"]))
     assert "Broadcast" not in plan(stats.with_ordinal(panel, ["timeframe"], "factor_value", "open_time", "symbol", "place"))
+
+
+def test_a_constant_has_no_correlation_however_its_rows_are_dealt(spark):
+    # 49 rows to a partition: the mean of 49 ones is merged as 49 * (1 / 49), which is less than one.
+    rows = spark.range(0, 49 * 7 + 5, 1, 7).select(F.lit(1.0).alias("x"), F.sin("id").alias("y"), F.cos("id").alias("z"))
+    for n in (1, 3, 7, 49):
+        dealt = rows.repartition(n)
+        got = dealt.agg(stats.pearson(F.col("x"), F.col("y")).alias("xy"), stats.pearson(F.col("y"), F.col("x")).alias("yx"), stats.pearson(F.col("y"), F.col("z")).alias("yz")).first()
+        assert got.xy is None and got.yx is None and -1 < got.yz < 1
