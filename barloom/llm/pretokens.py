@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -15,6 +16,8 @@ import regex
 from barloom.llm.textops import SpanHash, ragged
 
 OTHER, LETTER, DIGIT, SPACE = 0, 1, 2, 3
+#: Bytes of text that are split at a time; small, since the arrays of a pass take a hundred times as much.
+SPLIT_BYTES = 512 << 10
 PIECES_KEPT = 600_000
 
 #: The endings that follow an apostrophe in the pattern.
@@ -100,39 +103,46 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        # Arrays in the order of the keys: a dictionary of as many numbers takes five times the memory.
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _add(self, keys: list[int], pieces: list[bytes]) -> None:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key; -1 where it is not held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _add(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         found = self.encode_pieces(pieces)
-        have, lengths = len(self.place), np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
-        while len(self.begin) < have + len(keys):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         while len(self.ids) < self.used + len(flat):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.begin[have:have + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.size[have:have + len(keys)] = lengths
         self.ids[self.used:self.used + len(flat)] = flat
+        merged = np.concatenate([self.keys, keys])
+        order = np.argsort(merged, kind="stable")
+        self.keys = merged[order]
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(lengths) - lengths])[order]
+        self.size = np.concatenate([self.size, lengths])[order]
         self.used += len(flat)
-        self.place.update(zip(keys, range(have, have + len(keys)), strict=True))
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all documents and the offsets of each document among them."""
         starts, ends = pretokens(raw, offsets)
         keys, where, inverse = np.unique(SpanHash(raw).of(starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(keys) > self.limit and self.place:
-            self._clear()
-        listed = keys.tolist()
-        known = list(map(self.place.get, listed))
-        new = [i for i, k in enumerate(known) if k is None]
-        if new:
+        place = self._find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.keys) and len(self.keys) + len(new) > self.limit:
+                self._clear()
+                new = np.arange(len(keys))
             data = raw.tobytes()
             a, b = starts[where[new]].tolist(), ends[where[new]].tolist()
-            self._add([listed[i] for i in new], [data[x:y] for x, y in zip(a, b, strict=True)])
-            known = list(map(self.place.__getitem__, listed))
-        place = np.array(known, np.int64)[inverse]
+            self._add(keys[new], [data[x:y] for x, y in zip(a, b, strict=True)])
+            place = self._find(keys)
+        place = place[inverse]
         lengths = self.size[place]
         ids = self.ids[ragged(self.begin[place], lengths)]
         before = np.zeros(len(starts) + 1, np.int64)

@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from barloom.llm.pretokens import PieceTable
+from barloom.llm.bytebpe import byte_characters
+from barloom.llm.pretokens import SPLIT_BYTES, PieceTable
 from barloom.llm.textops import buffers, slices
 
 NULL_ID, WIDE = 1, 2
@@ -71,7 +73,7 @@ class Coder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         plain, own = Tokenizer.from_file(path), Tokenizer.from_file(path)
         plain.encode_special_tokens = True
@@ -85,7 +87,17 @@ class Coder:
         def encode(pieces: list[bytes]) -> list[list[int]]:
             return [x.ids for x in plain.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
-        self.table = PieceTable(encode)
+        model, shown = plain.model, np.array(list(map(ord, byte_characters())), "<u2")
+
+        def merged(pieces: list[bytes]) -> list[list[int]]:
+            """Pieces are pre-tokens already, so the library's model takes them as they are, a character for each byte."""
+            text = shown[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-16-le")
+            ends = list(accumulate(map(len, pieces)))
+            return [[t.id for t in model.tokenize(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+
+        split = plain.pre_tokenizer
+        bare = plain.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+        self.table = PieceTable(merged if bare else encode)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each among them."""
@@ -148,7 +160,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, end_id: int, partiti
                 "n_records": [len(starts)], "n_ids": [total], "n_bytes": [at]})
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SPLIT_BYTES):
                 raw, offsets = buffers(piece.column("text"))
                 ids, ends = own_coder.encode(raw, offsets)
                 for k, doc in enumerate(piece.column("doc_id").to_pylist()):

@@ -177,3 +177,53 @@ def test_a_line_in_many_documents_is_not_sorted_by_one_task(spark, monkeypatch):
     got = suffixdedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got.collect()) == sorted(
         (d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows])))
+
+
+def counting_table(limit):
+    """A table of pieces and the list of what it had to encode, each byte as one id."""
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [list(p) for p in pieces]
+
+    return pretokens.PieceTable(encode, limit), asked
+
+
+def test_a_nearly_full_table_encodes_known_pieces_no_more():
+    table, asked = counting_table(8)
+    for words in ("a b c d e f", "f e d c b a", "g h", "a b c d e f g h i j k l"):
+        raw = np.frombuffer(words.encode(), np.uint8)
+        ids, at = table.encode(raw, np.array([0, len(raw)]))
+        assert bytes(ids.astype(np.uint8)) == words.encode() and at.tolist() == [0, len(raw)]
+    # The second text brings "f" and " a" only; the third and the last do not fit with what is held then.
+    assert len(asked) == 6 + 2 + 2 + 12
+
+
+def test_a_full_table_takes_few_bytes_a_piece():
+    import tracemalloc
+
+    table, _ = counting_table(1 << 20)
+    tracemalloc.start()
+    for k in range(0, 200_000, 10_000):
+        words = ("".join(chr(97 + i // 26**d % 26) for d in range(4)) for i in range(k, k + 10_000))
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        table.encode(raw, np.array([0, len(raw)]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 110 * 200_000  # their ids, five each, are 20 of these bytes
+
+
+@pytest.mark.parametrize("split", ["byte level", "sequence"])
+def test_pieces_are_merged_as_the_library_merges_them(tmp_path, split):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    if split == "sequence":  # the same pattern, stated otherwise: pieces go through the whole tokenizer
+        own.pre_tokenizer = pre_tokenizers.Sequence([own.pre_tokenizer])
+    own.save(path := str(tmp_path / "own.json"))
+    coder = records.Coder(path)
+    rows = ["", *texts(60, 60, 9), "\x00\x01 \x7f", "naïve antidisestablishmentarianism 漢字かな交じり文", "x" * 300]
+    data = [r.encode() for r in rows]
+    ids, at = coder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [own.encode(r, add_special_tokens=False).ids for r in rows]
