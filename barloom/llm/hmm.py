@@ -293,13 +293,13 @@ def _class_mass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_rare_words(language: LanguageModel, documents: DataFrame) -> DataFrame:
-    """``documents`` with binary columns of its rarer training words and their counts.
+    """``documents`` with lists of its rarer training words and of their counts.
 
-    Empty as long as the tasks hold all training words; else the words beyond are looked up by a shuffled join.
+    Null as long as the tasks hold all training words; else the words beyond are looked up by a shuffled join.
     """
     words = language.words
     if words.distinct <= len(words.keys):
-        return documents.withColumn("_rare", F.lit(None).cast("binary")).withColumn("_rare_counts", F.lit(None).cast("binary"))
+        return documents.withColumn("_rare", F.lit(None).cast("array<long>")).withColumn("_rare_counts", F.lit(None).cast("array<long>"))
     shared = documents.sparkSession.sparkContext.broadcast(words.keys)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,21 +318,15 @@ def _with_rare_words(language: LanguageModel, documents: DataFrame) -> DataFrame
     found = (wanted.distinct().join(language.counts, "word").groupBy("_key")
              .agg(F.collect_list(F.struct("word", "count")).alias("_found")))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for row in batch.column("_found").to_pylist():
-                k = np.array([x["word"] for x in row], np.int64).view(np.uint64)
-                order = np.argsort(k)
-                a.append(k[order].tobytes())
-                b.append(np.array([x["count"] for x in row], np.int64)[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["_key", "_rare", "_rare_counts"])
-
-    return keyed.join(found.mapInArrow(pack, "_key long, _rare binary, _rare_counts binary"), "_key", "left").drop("_key")
+    # Plain lists that the tasks view without copies: rows of Python objects, or another Python step beside the one that
+    # encodes, would take a multiple of their memory.
+    lists = found.select("_key", F.col("_found.word").alias("_rare"), F.col("_found.count").alias("_rare_counts"))
+    return keyed.join(lists, "_key", "left").drop("_key")
 
 
 def _extra(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.frombuffer(buffers(part.column(c))[0].tobytes(), t) for c, t in (("_rare", np.uint64), ("_rare_counts", np.int64)))
+    keys, counts = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_rare", "_rare_counts"))
+    keys = keys.astype(np.int64, copy=False).view(np.uint64)
     keys, first = np.unique(keys, return_index=True)
     return keys, counts[first]
 

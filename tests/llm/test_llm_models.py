@@ -316,3 +316,13 @@ def test_top_k_with_more_query_blocks_than_partitions(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
     monkeypatch.setattr(topk, "CELL_ROWS", 30)
     assert sorted(tuple(r) for r in topk.top_k(df, 3, 2).collect()) == want and len(want) == 300
+
+
+def test_rare_words_reach_the_encoder_without_another_python_step(spark):
+    """Besides the step that lists the words and the one that encodes, none runs in the tasks."""
+    rows = [(1, "a a b c"), (2, "a b d"), (2, "a b d"), (None, None), (4, "e e zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    language = hmm.count_words(df.where("doc_id < 4"), 2)
+    encoded = hmm.encode(df, language)
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in encoded.collect()) == [("1", 5, 5), ("2", 4, 4), ("2", 4, 4), ("4", 4, 1), ("None", 1, 1)]
