@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.pretokens import PieceTable
+from barloom.llm.pretokens import SPLIT_BYTES, PieceTable
 from barloom.llm.textops import buffers, ragged, slices
 from barloom.llm.work import free_name
 
@@ -121,7 +121,7 @@ def _coder(vocabulary: str, text: str):
 
         own = codec(vocabulary)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SPLIT_BYTES):
                 raw, offsets = buffers(part.column(text))
                 ids, at = own.encode(raw, offsets)
                 sizes = np.zeros(len(ids) + 1, np.int64)
