@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.pretokens import SPLIT_BYTES, PieceTable
 from barloom.llm.textops import buffers, ragged, slices
-from barloom.llm.work import free_name
+from barloom.llm.work import free_name, small_batches
 
 
 def byte_characters() -> list[str]:
@@ -106,6 +106,7 @@ def encode_and_decode(df: DataFrame, vocabulary: str, text: str = "text", ids: s
     for name in (ids, decoded):
         for have in [c for c in df.columns if c.lower() == name.lower()]:
             df = df.withColumnRenamed(have, free_name(df, f"_{name}"))
+    small_batches(df.sparkSession)
     return df.mapInArrow(_coder(vocabulary, text), _with(df, ids, decoded))
 
 

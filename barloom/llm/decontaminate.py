@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.textops import ALNUM_BYTES, ASCII_LOWER, SpanHash, buffers, mix, slices, spans
-from barloom.llm.work import Workspace
+from barloom.llm.work import Workspace, small_batches
 
 WIDTH = 8  # words of a window
 LEAST_LITERAL = 3  # of them, those that are literal; with fewer, numbers, names and units count by value
@@ -25,6 +25,7 @@ LEAST_SHARE = 0.5  # of an item's windows
 LEAST_EVIDENCE = 3  # words, or edges of the sentence, line or text, that the copy of a very short item must have
 NEAR_SHIFTS = 8  # relative positions that add up, so that words put in or left out do not part a copy
 LONG_RUN = 24  # consecutive words of an item that are a leak whatever their share
+TEXT_BYTES = 512 << 10  # bytes of text whose windows are made at a time
 FILTER_WINDOWS = 4_000_000  # benchmark windows up to which their hashes (8 bytes each) sift the documents' windows early
 
 #: Words that are units when they follow a number.
@@ -135,7 +136,7 @@ def _windows_of(column: str, widths: list[int], whole: bool, keep=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = keep.value if keep is not None else None
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 hashes, of, at, width, length, plain, first, slot = template_windows(*buffers(part.column("text")), widths, whole)
                 if wanted is not None:
                     place = np.searchsorted(wanted, hashes).clip(0, max(len(wanted) - 1, 0))
@@ -209,6 +210,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     text, two begin or end it.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     work = Workspace(spark, "decontaminate")
     named = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
     items = work.store("items", named.select(F.xxhash64("item_id", "text").alias("item"), "text")

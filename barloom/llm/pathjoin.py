@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.components import components
 from barloom.llm.textops import binary_column, buffers, mix, ragged, slices, windows, words
-from barloom.llm.work import Workspace, free_name
+from barloom.llm.work import Workspace, free_name, small_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -35,6 +35,8 @@ SIGNATURE = 64
 LEAST_AGREEMENT = 0.55
 BLOCK = 192  # sets of a group that are compared with as many others in one task
 WANTED_BUCKETS = 1 << 20
+TEXT_BYTES = 256 << 10  # bytes of text described at a time
+TOKENS_AT_ONCE = 1 << 18  # shingles of paths that are sampled at a time; the arrays take some 50 bytes for each
 _ODD = np.random.default_rng(31).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOP = 2.0**64
 
@@ -72,11 +74,18 @@ def sampled(tokens: np.ndarray, at: np.ndarray, owner: np.ndarray, path: np.ndar
     Gives the place of the path and the new path.
     """
     size = np.diff(at)[owner]
-    which = np.repeat(np.arange(len(owner)), size)
-    token = tokens[ragged(at[owner], size)]
     limit = np.minimum(_TOP / (SIMILARITY * np.maximum(size, 1)), _TOP * (1 - 2.0**-53)).astype(np.uint64)
-    hit = np.flatnonzero((token ^ path[which]) * factor < limit[which])
-    return which[hit], mix(path[which[hit]] * np.uint64(0x9E3779B97F4A7C15) + token[hit])
+    part = (np.cumsum(size) - size) // TOKENS_AT_ONCE
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(size)]
+    found, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        which = np.repeat(np.arange(a, b), size[a:b])
+        token = tokens[ragged(at[owner[a:b]], size[a:b])]
+        hit = np.flatnonzero((token ^ path[which]) * factor < limit[which])
+        found.append(which[hit])
+        hits.append(token[hit])
+    which = np.concatenate(found)
+    return which, mix(path[which] * np.uint64(0x9E3779B97F4A7C15) + np.concatenate(hits))
 
 
 def paths(tokens: np.ndarray, at: np.ndarray, docs: np.ndarray, runs: int):
@@ -113,7 +122,7 @@ def _describe(runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 tokens, at = shingle_sets(*buffers(part.column("text")))
                 size = np.diff(at)
                 full = np.flatnonzero(size)
@@ -317,6 +326,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     class of null ids alone has a null id.  Other columns are ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     work = Workspace(spark, "pathjoin")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -19,12 +19,13 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from barloom.llm.suffixsort import deep_shallow
 from barloom.llm.textops import SpanHash, binary_column, buffers, mix, ragged, slices
-from barloom.llm.work import Workspace, free_name
+from barloom.llm.work import Workspace, free_name, small_batches
 
 LENGTH = 200
 GRAM = 64
 SPAN = LENGTH - GRAM + 1  # anchors that compete in one string; at most so many strings are in a region
 _COUNT_BITS = 8
+TEXT_BYTES = 512 << 10  # bytes of text or of regions handled at a time; the arrays of a pass take some 100 times as much
 SORTED_AT_ONCE = 1 << 20  # suffixes
 HOT_REGIONS = 4096  # regions up to which one task sorts a bucket: some 561,000 suffixes
 
@@ -59,7 +60,7 @@ def regions(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", TEXT_BYTES):
             doc, first, count, anchor, content = regions(*buffers(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("key").take(pa.array(doc)), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
@@ -69,7 +70,7 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each wanted region."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", TEXT_BYTES):
             raw, offsets = buffers(part.column("text"))
             wanted = part.column("wanted")
             doc = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
@@ -85,7 +86,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of each wanted region: a hash of anchor and bytes, and its place as a run of one."""
     for batch in batches:
         for cut in _cut_out([batch]):
-            for part in slices(cut, "bytes"):
+            for part in slices(cut, "bytes", TEXT_BYTES):
                 raw, offsets = buffers(part.column("bytes"))
                 count = np.diff(offsets) - LENGTH + 1
                 region, start = np.repeat(np.arange(len(count)), count), ragged(offsets[:-1], count)
@@ -177,6 +178,7 @@ def without_repeats(documents: DataFrame, kept: str = "kept", spans: str = "n_sp
     for name in (kept, spans, removed):
         for have in [c for c in documents.columns if c.lower() == name.lower()]:
             documents = documents.withColumnRenamed(have, free_name(documents, f"_{name}"))
+    small_batches(documents.sparkSession)
     work = Workspace(documents.sparkSession, "suffixes")
     key = F.xxhash64("doc_id", "text")
     texts = documents.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -217,7 +219,7 @@ def without_repeats(documents: DataFrame, kept: str = "kept", spans: str = "n_sp
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 raw, offsets = buffers(part.column("text"))
                 lists = part.column(found_name)
                 where = lists.offsets.to_numpy()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.textops import ASCII_LOWER, ALNUM_BYTES, SpanHash, buffers, slices, spans
-from barloom.llm.work import Workspace, free_name
+from barloom.llm.work import Workspace, free_name, small_batches
 
 MAX_LABELLED = 20_000  # labelled rows that a fit uses at most: those with the smallest hash of their id
 MAX_TERMS = 50_000  # terms kept at most: those that tell the classes apart most clearly
@@ -24,6 +24,7 @@ MIN_ROWS = 3
 FACTORS = 8
 EPOCHS = 30
 PREFIXES = (4, 5)
+TEXT_BYTES = 512 << 10  # bytes of text that are cut into terms at a time
 THRESHOLD = 0.7
 
 
@@ -121,7 +122,7 @@ def is_held_out(doc_id="doc_id"):
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", TEXT_BYTES):
             raw, offsets = buffers(part.column("text"))
             docs, terms = document_terms(raw, offsets)
             cuts = np.searchsorted(docs, np.arange(part.num_rows + 1))
@@ -146,6 +147,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Machine:
     class only, every text gets the smoothed share of label 1.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     work = Workspace(spark, "toxicity")
     order = F.xxhash64(F.lit(3), "doc_id")
     chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -205,12 +207,13 @@ def with_score(df: DataFrame, machine: Machine, name: str = "score", text: str =
 
     for have in [c for c in df.columns if c.lower() == name.lower()]:
         df = df.withColumnRenamed(have, free_name(df, f"_{name}"))
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(machine)  # at most MAX_TERMS x (2 + FACTORS) numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 raw, offsets = buffers(part.column(text))
                 docs, at = document_terms(raw, offsets, own.terms)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(docs, at, part.num_rows))], [*part.schema.names, "score_"])
