@@ -68,8 +68,8 @@ def test_batches_of_texts_are_bounded_and_smaller_settings_stay(spark, tmp_path)
 
     before = spark.conf.get(BATCH_SETTING)
     try:
-        for start, most in ((before, MOST_BATCH_BYTES), ("1m", 1 << 20)):
-            spark.conf.set(BATCH_SETTING, start)
+        for start, most in ((None, MOST_BATCH_BYTES), (before, MOST_BATCH_BYTES), ("1m", 1 << 20)):
+            spark.conf.set(BATCH_SETTING, start) if start else spark.conf.unset(BATCH_SETTING)
             pathjoin.near_duplicates(docs.limit(3))
             found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
             assert sum(found) > 2 * most and max(found) < most + 200_000
